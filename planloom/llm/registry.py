@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, personal_data
+from . import chat, exact_dedup, mixing, ngram_join, packing, personal_data, pieces, quality, suffix_dedup, top_k
 
 _MODULES = {
+    "op1_ngram_jaccard_join": ngram_join,
+    "op2_quality_classifier": quality,
+    "op3_exact_top_k": top_k,
     "op4_chat_formatting": chat,
+    "op5_sentencepiece": pieces,
     "op6_exact_dedup": exact_dedup,
+    "op7_packing": packing,
     "op8_source_mixing": mixing,
     "op9_personal_data": personal_data,
+    "op10_suffix_array_dedup": suffix_dedup,
 }
 
 
