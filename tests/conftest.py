@@ -4,7 +4,9 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+REPOSITORY = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, REPOSITORY)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [REPOSITORY, os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")
