@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_plans, queries_text
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "exact_cache_lookup"
+_EVERY = queries_text.QUERIES | queries_plans.QUERIES
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _EVERY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _EVERY.items() if sql}
