@@ -98,13 +98,27 @@ def build_index(docs: DataFrame, rows: DataFrame, capacity: int = CAPACITY) -> D
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs, capacity).drop("n_code_points")
+
+
+def _decided(docs: DataFrame, capacity: int) -> DataFrame:
     rows = hashed_rows(docs)
     index = build_index(docs, rows, capacity).drop("bucket", "depth")
     return rows.join(index, ["key", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_code_points"
     )
 
 
+def deduplicated(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    stay = _decided(docs, capacity).where("kept").select("doc_id", "text_sha256", "n_code_points")
+    stay = stay.select(*(F.col(c).alias(f"_stay_{c}") for c in stay.columns))
+    keyed = docs.withColumn("_sha", F.sha2(without_spaces(F.col("text")), 256)).withColumn("_size", F.coalesce(F.length("text"), F.lit(0)))
+    same = F.col("doc_id").eqNullSafe(F.col("_stay_doc_id")) & (F.col("_sha") == F.col("_stay_text_sha256")) & (F.col("_size") == F.col("_stay_n_code_points"))
+    # Rows repeated as they are (doc_id, text and length) are one row: the join has dealt them to one task already.
+    return keyed.join(stay, same).dropDuplicates(["_stay_doc_id", "_stay_text_sha256", "_stay_n_code_points"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

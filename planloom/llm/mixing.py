@@ -88,9 +88,12 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     return bound.select("source", (F.col("prefix") + (over < under).cast("long")).alias("below"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: doc_id, size, source_size, target, taken."""
-    sizes = written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash")), "mix-sizes")
+def sized(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash")), "mix-sizes")
+
+
+def plan_mix(sizes: DataFrame) -> DataFrame:
+    """source, source_size, target, copies (of all documents), below (documents of a lesser hash enter once more)."""
     plan = targets(sizes)
     copies = F.when(F.col("source_size") == 0, F.lit(0)).when(F.col("target") >= MOST * F.col("source_size"), F.lit(MOST)).otherwise(
         F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
@@ -98,13 +101,34 @@ def mix(docs: DataFrame) -> DataFrame:
     plan = plan.withColumn("copies", copies.cast("long"))
     plan = written(plan.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-plan")
     below = thresholds(sizes, plan.select("source", "rest")).withColumnRenamed("source", "below_source")
-    plan = plan.join(below, F.col("source").eqNullSafe(F.col("below_source")), "left").withColumnRenamed("source", "plan_source")
-    once_more = F.coalesce((F.col("hash") < F.col("below")).cast("long"), F.lit(0).cast("long"))
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + once_more)).alias("taken")
+    return plan.join(below, F.col("source").eqNullSafe(F.col("below_source")), "left").drop("below_source", "rest")
+
+
+def _times(hash_: Column) -> Column:
+    once_more = F.coalesce((hash_ < F.col("_below")).cast("long"), F.lit(0).cast("long"))
+    return F.col("_copies") + once_more
+
+
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in plan.columns))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """A row for each row of docs: doc_id, size, source_size, target, taken."""
+    sizes = sized(docs)
+    return _joined(sizes, plan_mix(sizes)).select(
+        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * _times(F.col("hash"))).alias("taken")
     )
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as the mix takes it, with all their columns."""
+    plan = written(plan_mix(sized(docs)), "mix-final")
+    times = _joined(docs, plan).withColumn("_times", _times(hash60(F.col("doc_id"))).cast("int"))
+    return times.where("_times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).drop("_copy")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

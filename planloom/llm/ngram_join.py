@@ -54,11 +54,11 @@ def bands(grams: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n_shingles, set_a, set_b (a 128-bit hash of the shingle set), bands."""
+    """row, doc_id, digest (of the text), n_shingles, set_a, set_b (a 128-bit hash of the shingle set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).to_pylist()]
+            texts = [t or b"" for t in batch.column(3).to_pylist()]
             for part in in_blocks(texts):
                 grams, ends = shingle_sets(texts[part])
                 n, some = np.diff(ends), np.diff(ends) > 0
@@ -72,16 +72,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                     [
                         batch.column(0).slice(part.start, len(n)),
                         batch.column(1).slice(part.start, len(n)),
+                        batch.column(2).slice(part.start, len(n)),
                         pa.array(n.astype(np.int64)),
                         pa.array(sets[0].view(np.int64)),
                         pa.array(sets[1].view(np.int64)),
                         pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, found.view(np.int64).ravel()),
                     ],
-                    ["row", "doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    ["row", "doc_id", "digest", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -177,6 +178,17 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, class_id, n_links, kept."""
+    return _decided(docs).drop("digest")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of docs of each class, with all its columns."""
+    stay = _decided(docs).where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.xxhash64("text") == F.col("_stay_digest"))
+    return docs.join(stay, same).dropDuplicates(["_stay_id", "_stay_digest"]).select(*docs.columns)
+
+
+def _decided(docs: DataFrame) -> DataFrame:
     signed = written(signatures(docs), "ngram-signatures")
     key = ["set_a", "set_b", "n_shingles"]
     equal = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("head"), F.count("*").alias("copies"))
@@ -188,11 +200,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = links.groupBy(F.col("row").alias("head")).agg(F.sum("links").alias("links"))
     heads = equal.join(joined, "head", "left").join(counts, "head", "left")
     heads = heads.select(*key, F.coalesce("root", "head").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = signed.select("row", "doc_id", *key).join(heads, key, "left")
-    rows = written(rows.select("row", "doc_id", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "ngram-rows")
+    rows = signed.select("row", "doc_id", "digest", *key).join(heads, key, "left")
+    rows = written(rows.select("row", "doc_id", "digest", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "ngram-rows")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     first = rows.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("row").alias("kept_row"))
-    return rows.join(least.join(first, "root"), "root").select("doc_id", "class_id", "n_links", (F.col("row") == F.col("kept_row")).alias("kept"))
+    return rows.join(least.join(first, "root"), "root").select("doc_id", "class_id", "n_links", (F.col("row") == F.col("kept_row")).alias("kept"), "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

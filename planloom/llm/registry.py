@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat, exact_dedup, mixing, ngram_join, packing, personal_data, pieces, quality, suffix_dedup, top_k
 
 _MODULES = {
@@ -23,7 +25,7 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: module.query for name, module in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
