@@ -179,9 +179,22 @@ def settle_by_suffixes(cut: DataFrame, groups: int) -> DataFrame:
     return dealt.groupBy("group").applyInPandas(run, FOUND)
 
 
+#: A window in packed form: two hashes, its text, its start; known is false for a null doc_id.
+WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc_id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("known", "?")])
+PACKED = "group long, rows binary"
+
+
+def pack_rows(rows: np.ndarray, key: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
+    """(groups, bytes): rows dealt to groups by their key, a value of bytes for each group."""
+    group = (key % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    rows, group = rows[order], group[order]
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+    return group[at].tolist(), [rows[a:b].tobytes() for a, b in zip(at, [*at[1:], len(rows)], strict=True)]
+
+
 def settle_by_hashes(cut: DataFrame, groups: int) -> DataFrame:
-    """The same for anchors with very many slices: windows are dealt by their hash, many to a row."""
-    kind = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc_id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("known", "?")])
+    """The same for anchors with very many slices: windows are dealt by their hash, and repeated ones back by their text."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,33 +206,34 @@ def settle_by_hashes(cut: DataFrame, groups: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(n)), n)
                 inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 starts = inside + (np.cumsum(sizes) - sizes)[owner]
-                rows = np.zeros(len(owner), kind)
+                rows = np.zeros(len(owner), WINDOW)
                 rows["a"], rows["b"] = rolling(data, LENGTH, starts), rolling(data, LENGTH, starts, salt=256)
-                for name in ("doc_id", "digest"):
-                    column = batch.column(name).slice(part.start, len(n))
-                    rows[name] = column.fill_null(0).to_numpy(zero_copy_only=False)[owner]
-                    if name == "doc_id":
-                        rows["known"] = ~column.is_null().to_numpy(zero_copy_only=False)[owner]
-                rows["start"] = inside + batch.column("first").slice(part.start, len(n)).to_numpy()[owner]
-                group = (rows["a"] % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(group, kind="stable")
-                rows, group = rows[order], group[order]
-                at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
-                packed = [rows[a:b].tobytes() for a, b in zip(at, [*at[1:], len(rows)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(group[at]), pa.array(packed, pa.binary())], ["group", "rows"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(group.rows), dtype=kind)
-        order = np.lexsort((rows["b"], rows["a"]))
-        rows = rows[order]
+                doc_id, digest, first = (batch.column(name).slice(part.start, len(n)) for name in ("doc_id", "digest", "first"))
+                rows["doc_id"], rows["known"] = doc_id.fill_null(0).to_numpy()[owner], doc_id.is_valid().to_numpy(zero_copy_only=False)[owner]
+                rows["digest"], rows["start"] = digest.to_numpy()[owner], inside + first.to_numpy()[owner]
+                group, packed = pack_rows(rows, rows["a"], groups)
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(packed, pa.binary())], ["group", "rows"])
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(group.rows), dtype=WINDOW)
+        rows = rows[np.lexsort((rows["b"], rows["a"]))]
         same = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
         rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        out = pd.DataFrame({"doc_id": rows["doc_id"], "digest": rows["digest"], "first": rows["start"], "last": rows["start"]})
-        out["doc_id"] = out["doc_id"].astype("Int64").where(rows["known"], pd.NA)
+        back, packed = pack_rows(rows, mix(rows["digest"].astype(np.uint64)), groups)
+        return pd.DataFrame({"group": pd.Series(back, dtype="int64"), "rows": packed})
+
+    def join_runs(group: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(group.rows), dtype=WINDOW)
+        rows = rows[np.lexsort((rows["start"], rows["digest"], rows["doc_id"], rows["known"]))]
+        on = np.concatenate([[False], np.all([rows[c][1:] == rows[c][:-1] for c in ("known", "doc_id", "digest")], axis=0) & (np.diff(rows["start"]) <= 1)])
+        head = np.flatnonzero(~on)
+        first, last = rows[head], rows[np.concatenate([head[1:], [len(rows)]]) - 1]
+        out = pd.DataFrame({"doc_id": first["doc_id"], "digest": first["digest"], "first": first["start"], "last": last["start"]})
+        out["doc_id"] = out["doc_id"].astype("Int64").where(first["known"], pd.NA)
         return out
 
-    dealt = cut.select("doc_id", "digest", "first", "piece").mapInArrow(deal, "group long, rows binary")
-    return dealt.groupBy("group").applyInPandas(run, FOUND)
+    dealt = cut.select("doc_id", "digest", "first", "piece").mapInArrow(deal, PACKED)
+    return dealt.groupBy("group").applyInPandas(settle, PACKED).groupBy("group").applyInPandas(join_runs, FOUND)
 
 
 def cut_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
