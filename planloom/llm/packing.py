@@ -1,6 +1,6 @@
 """Token-id output (7): best-fit-decreasing packing into rows of equal length.
 
-Each document becomes its SentencePiece ids and an end mark. Documents longer than a row are split without loss: full
+Each document becomes its byte-level BPE ids and an end mark. Documents longer than a row are split without loss: full
 rows, and a rest. A task gathers its documents into shards of SHARD_TOKENS and packs each shard: pieces in order of
 decreasing length go to the open row with the least room that is enough, which a segment tree over the rooms finds.
 A shard's packed rows carry the matrix's ids (little-endian, padded), cumulative segment lengths, the offsets at which
@@ -14,21 +14,27 @@ than doc_id and text are not read.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import table
-from .pieces import MODEL_FILE, blocks, encoder
 
 ORACLE_SQL = None
 
+RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how this vocabulary's texts are cut into words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH, SHARD_TOKENS = 2048, 4_000_000
-END_ID, PAD_ID = 2, 0
+#: The first id that the vocabulary leaves free ends documents, and fills rows.
+END_ID = PAD_ID = 50_256
 SCHEMA = """shard long, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>,
 segments array<struct<doc_id:long,document:int,piece:int,start:int,length:int>>"""
 _ARROW = pa.schema(
@@ -44,6 +50,14 @@ _ARROW = pa.schema(
 )
 
 
+@cache
+def encoding(ranks_file: str) -> tiktoken.Encoding:
+    """One a worker process."""
+    with open(ranks_file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("packing", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Rooms:
     """Open rows by their room, in a segment tree over the sizes 0 to length that holds how many rows have that room."""
 
@@ -108,21 +122,19 @@ def pack_shard(shard: int, documents: list[tuple[int, np.ndarray]], length: int,
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def pack(docs: DataFrame, length: int = LENGTH, model_file: str = MODEL_FILE, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, ranks_file: str = RANKS_FILE, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
     """Packed rows of all documents; ids are 16-bit where the shard's ids allow, else 32-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = encoder(model_file, "bpe"), {}
+        encode = encoding(ranks_file).encode_ordinary
         shard, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in blocks(texts):
-                for key, ids in zip(keys[part], model.encode_texts(texts[part], known), strict=True):
-                    held.append((key, np.array([*ids, end_id], dtype=np.int32)))
-                    size += len(ids) + 1
-                    if size >= SHARD_TOKENS:
-                        yield pack_shard(shard, held, length, pad_id)
-                        shard, held, size = shard + 1, [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append((key, np.array([*encode(text.as_py() or ""), end_id], dtype=np.int32)))
+                size += len(held[-1][1])
+                if size >= SHARD_TOKENS:
+                    yield pack_shard(shard, held, length, pad_id)
+                    shard, held, size = shard + 1, [], 0
         if held:
             yield pack_shard(shard, held, length, pad_id)
 
