@@ -212,14 +212,16 @@ def test_packing_is_lossless_and_best_fit(spark):
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
     docs = docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)] + [(-1, None, "s")])
     rows = packing.pack(docs, length=256).collect()
-    want = dict(enumerate(sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE).encode(texts))) | {-1: []}
+    encoding = packing.encoding(packing.RANKS_FILE)
     got = {}
     for r in rows:
         ids = np.frombuffer(r.ids, "<u2")
-        assert len(ids) == 256 and not ids[r.n_tokens :].any() and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1]
+        assert len(ids) == 256 and (ids[r.n_tokens :] == packing.PAD_ID).all() and r.cu_seqlens[-1] == r.n_tokens and r.position_resets == r.cu_seqlens[:-1]
         for s, a, b in zip(r.segments, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             got.setdefault(s.doc_id, []).append((s.piece, ids[a:b].tolist()))
-    assert {k: sum((x for _, x in sorted(v)), []) for k, v in got.items()} == {k: [*v, 2] for k, v in want.items()}
+    whole = {k: sum((x for _, x in sorted(v)), []) for k, v in got.items()}
+    assert all(v[-1] == packing.END_ID for v in whole.values())
+    assert {k: encoding.decode(v[:-1]) for k, v in whole.items()} == dict(enumerate(texts)) | {-1: ""}
 
 
 def test_best_fit_against_a_plain_scan():
