@@ -16,6 +16,7 @@ from ..operators.extraction import Extractor, extract, rules_extractor
 from ..operators.mapping import map_actions
 from ..operators.ordering import order_actions
 from ..operators.retrieval import usable_entries
+from ..session import settled
 from ..sources.readers import GOAL, PlanStore, catalog_uris
 
 
@@ -29,8 +30,8 @@ class BagOfWords:
         words = F.filter(F.split(t.normalize_query(text), " "), lambda x: x != "")
         hashed = F.transform(words, lambda x: (F.crc32(x.cast("binary")) % self.buckets).cast("int"))
         counts = F.transform(F.sequence(F.lit(0), F.lit(self.buckets - 1)), lambda b: F.size(F.filter(hashed, lambda h: h == b)).cast("double"))
-        length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-        return t.let(counts, lambda c: F.transform(c, lambda x: F.when(length(c) > 0, x / length(c)).otherwise(0.0).cast("float")))
+        length = lambda c: F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1.0))
+        return t.let(counts, lambda c: t.let(length(c), lambda n: F.transform(c, lambda x: (x / n).cast("float"))))
 
 
 @dataclass(frozen=True)
@@ -86,15 +87,17 @@ def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder
     if made_by and made_by != embedder.name:  # the vectors mean nothing to this embedder
         doors = doors.withColumn("vec", embedder.encode(F.col("text")))
     asked = complaints.withColumn("article", F.when(F.trim(F.coalesce("content", F.lit(""))) != "", t.article_hash(F.col("title"), F.col("content"))))
-    queries = asked.select("query_id", F.col("query").alias("text"), "article", embedder.encode(F.col("query")).alias("vec"))
+    asked = settled(asked, "complaints")
+    queries = settled(asked.select("query_id", F.col("query").alias("text"), "article", embedder.encode(F.col("query")).alias("vec")), "vectors")
     hits = cache.lookup(queries, plans, doors, settings.threshold, settings.margin).join(plans.select("plan_id", F.col("response").alias("held"), "variations"), "plan_id")
+    hits = settled(hits, "hits")
     served = hits.join(asked.select("query_id", "query"), "query_id").select(
         "query_id", "query", F.col("variations").alias("query_variations"), F.col("held").alias("response"), F.lit(True).alias("cache_hit"),
         "match", "similarity", F.lit(None).cast("string").alias("fallback"),
     )
     missed = asked.join(hits.select("query_id"), "query_id", "left_anti")
-    extracted = extract(missed, extractor, settings.kind)
-    done = finish(extracted, catalog)
+    extracted = settled(extract(missed, extractor, settings.kind), "extracted")
+    done = settled(finish(extracted, catalog), "plans")
     issues = audit(done.select("plan_id", "goal", "title", "score", "actions"), catalog_uris(catalog).union(catalog.sparkSession.createDataFrame([(w.PLACEHOLDER_URI,)], "uri string")))
     answered = done.withColumn("response", F.to_json(response(done), {"ignoreNullFields": "false"}))
     fresh = missed.select("query_id", "query").join(answered.select("query_id", "response", "query_variations"), "query_id", "left").join(extracted.select("query_id", "fallback"), "query_id").select(
@@ -112,8 +115,7 @@ def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder
     seq = top + F.row_number().over(Window.orderBy("plan_id", "place")) - 1  # over the doors of this batch's new plans
     new_doors = new_doors.withColumn("seq", seq.cast("long")).withColumn("vec", embedder.encode(F.col("text")))
     # A reply has to be settled before the store it was looked up in changes.
-    replies = served.unionByName(fresh).checkpoint() if complaints.sparkSession.sparkContext.getCheckpointDir() else served.unionByName(fresh).persist()
-    replies.count()
+    replies = settled(served.unionByName(fresh), "replies")
     all_plans, all_doors = cache.put(plans, doors, new.drop("normalized_query"), new_doors.select("plan_id", "kind", "text", "norm", "vec", "seq"))
     store.write(all_plans, all_doors, embedder.name)
     return replies

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +25,20 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(at))
     _shipped.add(app)
+
+
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="planloom-")
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share and read back: computed once, its plan and lineage cut.
+
+    The folder is the cluster's spark.checkpoint.dir, and a temporary one only where that is unset.
+    """
+    spark = df.sparkSession
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
