@@ -11,6 +11,7 @@ from .functions import wordlists as w
 from .operators import audit as rules
 from .operators import cache, evaluation, extraction, mapping, ordering, relational, retrieval
 from .queries_text import NORM, TOKENS, table
+from .sources import readers
 
 COSINE = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 
@@ -448,7 +449,90 @@ def action_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("p_partkey", F.array_join(mapping.targets(F.col("steps"), strict=False), "|").alias("targets"), F.coalesce(mapping.direction(F.array_join("steps", " ")), F.lit("-")).alias("direction"))
 
 
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some sixty settings named after the distinct part names, each with an on, an off and a view entry."""
+    n = table(spark, sf_dir, "part").select(F.initcap("p_name").alias("key")).distinct()
+    kinds = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(verb).alias("verb")) for kind, verb in (("onURL", "Enable"), ("offURL", "Disable"), ("onClickURL", "View")))))
+    n = n.select("key", kinds.alias("k"))
+    address = lambda scheme: F.concat(F.lit(scheme), F.translate(F.lower("key"), " ", "_"), F.lit("/"), F.col("k.kind"))
+    return n.select(
+        F.concat_ws(":", "key", "k.kind").alias("id"), address("app://").alias("deeplink"), F.concat_ws(" ", "k.verb", "key", F.lit("in device settings")).alias("description"),
+        F.concat_ws(" ", "k.verb", "key").alias("message"), F.col("k.kind").alias("originalType"), F.lit(None).cast("string").alias("qna_description"),
+        F.struct(address("check://").alias("deeplink"), F.col("key").alias("key")).alias("validation"),
+    )
+
+
+def map_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' numbers pick a setting and a direction, which the mapping has to find again."""
+    names = table(spark, sf_dir, "part").select(F.initcap("p_name").alias("key")).distinct()
+    numbered = names.withColumn("k", F.pmod(F.xxhash64("key"), F.lit(97)))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 97).alias("k"))
+    on = F.when(F.col("s_suppkey") % 2 == 0, "on").otherwise("off")
+    actions = s.join(numbered, "k").select(
+        F.concat_ws(":", F.col("s_suppkey").cast("string"), "key").alias("action_id"), F.concat_ws(" ", F.lit("Adjust"), "key").alias("name"), F.lit("auto").alias("category"),
+        F.array(F.lit("Open Settings."), F.concat(F.lit("Turn "), on, F.lit(" "), F.col("key"), F.lit("."))).alias("steps"),
+    )
+    return mapping.map_actions(actions, retrieval.usable_entries(_catalog(spark, sf_dir))).select("action_id", "kind", "category", "chosen_id", "name_score", F.col("link.deeplink").alias("uri"), F.col("check.value").alias("value"))
+
+
+def catalog_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.catalog_uris(_catalog(spark, sf_dir))
+
+
+URIS_SQL = """
+WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS p FROM part), k AS (SELECT unnest(['onURL', 'offURL', 'onClickURL']) AS kind)
+SELECT 'app://' || p || '/' || kind AS uri FROM n, k UNION SELECT 'check://' || p || '/' || kind FROM n, k
+"""
+
+
+def link_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    actions = l.select(
+        F.when(F.col("l_returnflag") == "N", "auto").otherwise("manual").alias("category"),
+        F.when(F.col("l_linenumber") % 3 > 0, F.struct(F.concat(F.lit("s:"), F.col("l_suppkey")).alias("deeplink"))).alias("link"),
+    )
+    catalog = table(spark, sf_dir, "supplier").where("s_nationkey < 20").select(F.concat(F.lit("s:"), F.col("s_suppkey")).alias("uri"))
+    return evaluation.link_coverage(actions, catalog)
+
+
+COVERAGE_SQL = """
+WITH a AS (SELECT l_returnflag = 'N' AS auto, l_linenumber % 3 > 0 AS linked, l_linenumber % 3 > 0 AND s_nationkey < 20 AS known
+           FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey),
+c AS (SELECT CAST(count(*) FILTER (auto) AS BIGINT) AS auto, CAST(count(*) FILTER (auto AND linked) AS BIGINT) AS auto_linked,
+  CAST(count(*) FILTER (linked) AS BIGINT) AS links, CAST(count(*) FILTER (known) AS BIGINT) AS valid FROM a)
+SELECT *, round(auto_linked / greatest(auto, 1), 3) AS auto_coverage, round(valid / greatest(links, 1), 3) AS validity FROM c
+"""
+
+
+def placeholder_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    link = mapping.placeholder_link(F.concat(F.initcap("p_name"), F.lit(" and the screen")))
+    return p.select("p_partkey", link["description"].alias("description"), link["message"].alias("message"))
+
+
+PLACEHOLDER_SQL = """
+SELECT p_partkey, 'Open ' || t || ' screen in Settings' AS description, 'Go to ' || t || ' in Settings' AS message FROM (
+  SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS t FROM part)
+"""
+
+
+def cold_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as model calls: their cost and tokens by kind."""
+    e = table(spark, sf_dir, "events").withColumns({"i": F.col("event_id") % 3000, "o": F.col("event_id") % 700})
+    return e.groupBy("event_type").agg(F.round(F.avg(evaluation.cost(F.col("i"), F.col("o"))), 9).alias("mean_cost"), F.round(F.avg(F.col("i") + F.col("o")), 6).alias("mean_tokens"))
+
+
+COSTS_SQL = """
+SELECT event_type, round(avg(((event_id % 3000) * 0.15::DOUBLE + (event_id % 700) * 0.6::DOUBLE) / 1000000), 9) AS mean_cost,
+  round(avg(event_id % 3000 + event_id % 700), 6) AS mean_tokens FROM events GROUP BY event_type
+"""
+
 QUERIES = {
+    "map_actions": (map_actions, None),
+    "catalog_uris": (catalog_uris, URIS_SQL),
+    "link_coverage": (link_coverage, COVERAGE_SQL),
+    "placeholder_links": (placeholder_links, PLACEHOLDER_SQL),
+    "cold_costs": (cold_costs, COSTS_SQL),
     "equi_pair": (equi_pair, EQUI_PAIR_SQL),
     "semi_cached": (semi_cached, "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
     "anti_uncached": (anti_uncached, "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
