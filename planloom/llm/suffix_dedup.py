@@ -309,9 +309,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS (
+  SELECT id, base, substr(h, 2 * base + 1, 1398) AS h, least(500, length(h) // 2 - 199 - base) AS n
+  FROM (SELECT id, h, unnest(range(0, length(h) // 2 - 199, 500)) AS base FROM d WHERE length(h) >= 400)
 ), w AS (
-  SELECT id, p, md5(substr(h, 2 * p + 1, 400)) AS m
-  FROM (SELECT id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d WHERE length(h) >= 400)
+  SELECT id, base + q AS p, md5(substr(h, 2 * q + 1, 400)) AS m FROM (SELECT id, base, h, unnest(range(0, n)) AS q FROM b)
 ), t AS (
   SELECT m FROM w GROUP BY m HAVING count(*) > 1
 ), s AS (
