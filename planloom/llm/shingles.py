@@ -57,7 +57,8 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     left = upto[1:][text_of] - np.arange(len(words))  # words from this one to the text's end
     grams = np.zeros(len(words), np.uint64)
     for k in range(WORDS_A_SHINGLE):
-        grams[: len(words) - k] += np.where(left[: len(words) - k] > k, words[k:] * up[k + 1], np.uint64(0))
+        n = max(0, len(words) - k)
+        grams[:n] += np.where(left[:n] > k, words[k:] * up[k + 1], np.uint64(0))
     first = np.zeros(len(words), bool)
     first[upto[:-1][n_words > 0]] = True
     keep = (left >= WORDS_A_SHINGLE) | (first & (n_words[text_of] < WORDS_A_SHINGLE))

@@ -93,6 +93,8 @@ def test_shingles_of_short_and_odd_texts():
     texts = [b"", b" ", b"a", b"a b c d e", b"a b c d e f", b"a b c d e a b c d e a b c d e", "é\tü".encode()]
     grams, ends = shingle_sets(texts)
     assert (ends[1:] - ends[:-1]).tolist() == [len(s) for s in sets_of([t.decode() for t in texts])]
+    for some in ([b"a b"], [b""], [b"a", b""], []):
+        assert len(shingle_sets(some)[0]) == sum(bool(t) for t in some)
 
 
 def test_components_of_chains_and_stars(spark):
