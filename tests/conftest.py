@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 REPOSITORY = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, REPOSITORY)
+sys.path[:0] = [REPOSITORY, os.path.dirname(os.path.abspath(__file__))]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [REPOSITORY, os.environ.get("PYTHONPATH")]))
 
 
