@@ -1,33 +1,16 @@
-"""What the operators share: the folder that all executors see, tables written there, and input tables."""
+"""What the operators share: input tables, tables written to the shared folder, and white space as contracts have it."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space as the operators' contracts have it: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="planloom-")
+from planloom.session import settled as written
 
+__all__ = ["SPACES", "table", "without_spaces", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset (tests on one machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage is cut and a lost executor loses nothing."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Space, tab, line feed, vertical tab, form feed, carriage return.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
