@@ -12,12 +12,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions import wordlists as w
-from ..functions.similarity import cosine
+from ..functions.vectors import two_nearest_plans
 from .relational import upsert
 
-#: Plans' rows with hashes alone are broadcast by Spark where it finds them small; nothing here forces it.
-
-
 def allowed(asked: Column, held: Column) -> Column:
     """Whether a plan may serve a complaint: unless both name an article, and not the same."""
     return asked.isNull() | held.isNull() | (asked == held)
@@ -32,11 +29,13 @@ def exact_hits(queries: DataFrame, plans: DataFrame, doors: DataFrame) -> DataFr
 
 
 def best_by_plan(queries: DataFrame, plans: DataFrame, doors: DataFrame) -> DataFrame:
-    """query_id, plan_id, similarity, seq: each plan's nearest door to each query (query_id, vec, article)."""
-    held = doors.select("plan_id", "seq", F.col("vec").alias("door")).join(plans.select("plan_id", F.col("article").alias("held")), "plan_id")
-    pairs = queries.select("query_id", "article", "vec").join(held, allowed(F.col("article"), F.col("held")))
-    pairs = pairs.select("query_id", "plan_id", cosine(F.col("vec"), F.col("door")).alias("similarity"), "seq")
+    """query_id, plan_id, similarity, seq of the nearest door of the plans that can be a query's first or second.
+
+    queries: query_id (long), vec, article. Nothing as large as all pairs leaves a task.
+    """
+    held = doors.select("plan_id", "seq", "vec").join(plans.select("plan_id", F.col("article").alias("held")), "plan_id")
     nearest = F.max(F.struct("similarity", (-F.col("seq")).alias("first")))
+    pairs = two_nearest_plans(queries, held)
     return pairs.groupBy("query_id", "plan_id").agg(nearest.alias("d")).select("query_id", "plan_id", "d.similarity", (-F.col("d.first")).alias("seq"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions import wordlists as w
-from ..functions.similarity import cosine
+from ..functions.vectors import nearest
 
 
 def usable_entries(catalog: DataFrame) -> DataFrame:
@@ -81,10 +81,9 @@ def ranked(scores: DataFrame, score: str, k: int, digits: int | None = None) ->
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, entry_id, dense over vec columns: a stated query set against all entries, which are broadcast to none."""
-    pairs = queries.select("query_id", F.col("vec").alias("q")).crossJoin(corpus.select("entry_id", F.col("vec").alias("v")))
-    return pairs.select("query_id", "entry_id", cosine(F.col("q"), F.col("v")).alias("dense"))
+def dense_candidates(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query_id, entry_id, dense: the k nearest entries of each query by vec, and more; `ranked` takes the k."""
+    return nearest(queries, corpus, k, digits)
 
 
 def grams(text: Column, least: int = 3, most: int = 5) -> Column:

@@ -129,8 +129,8 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    scores = retrieval.dense_scores(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("entry_id"), "vec"))
-    best = retrieval.ranked(scores.where("query_id <> entry_id"), "dense", 15, 6)
+    scores = retrieval.dense_candidates(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("entry_id"), "vec"), 15)
+    best = retrieval.ranked(scores, "dense", 15, 6)
     return best.select("query_id", "entry_id", "dense", F.col("rank").cast("long").alias("rank"))
 
 
@@ -147,8 +147,8 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = _bench(spark, sf_dir)
     by_terms = retrieval.ranked(retrieval.bm25_scores(queries, retrieval.bm25_weights(corpus)), "bm25", 60, 6)
     v = _vectors(spark, sf_dir)
-    scores = retrieval.dense_scores(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("entry_id"), "vec"))
-    by_vectors = retrieval.ranked(scores.where("query_id <> entry_id"), "dense", 60, 6)
+    scores = retrieval.dense_candidates(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("entry_id"), "vec"), 60)
+    by_vectors = retrieval.ranked(scores, "dense", 60, 6)
     best = retrieval.ranked(retrieval.fuse(by_terms, by_vectors), "fused", 15, 9)
     return best.select("query_id", "entry_id", "fused", F.col("rank").cast("long").alias("rank"))
 
