@@ -40,19 +40,30 @@ def is_in(text: Column, values: Sequence[str]) -> Column:
 # ---- links and other noise
 
 
+#: Each pattern with a cheap test that every text with a match passes, so that most texts skip the costly search.
+_LINKS = (
+    (w.MD_LINK, lambda x: x.contains("](")),
+    (w.SCHEME_URL, lambda x: x.contains("://")),
+    (w.WWW, lambda x: F.lower(x).contains("www.")),
+    (w.EMAIL, lambda x: x.contains("@")),
+    (w.DOMAIN, lambda x: x.rlike(rf"(?iu)\.(?:{w.TLDS})")),
+)
+
+
 def contains_url(text: Column) -> Column:
-    found = [text.rlike(p) for p in (w.MD_LINK, w.SCHEME_URL, w.WWW, w.EMAIL, w.DOMAIN)]
-    out = found[0]
-    for one in found[1:]:
-        out = out | one
-    return F.coalesce(out, F.lit(False))
+    found = F.lit(False)
+    for pattern, gate in _LINKS:
+        found = found | (gate(text) & text.rlike(pattern))
+    return F.coalesce(found, F.lit(False))
 
 
 def scrub(text: Column) -> Column:
     """Without links, mail addresses and domains, nor the words and signs that they leave dangling."""
-    out = F.regexp_replace(text, w.MD_LINK, "$1")
-    for pattern in (w.SCHEME_URL, w.WWW, w.EMAIL, w.DOMAIN, w.DANGLING):
-        out = F.regexp_replace(out, pattern, "")
+    out = text
+    for pattern, _ in _LINKS:
+        new = "$1" if pattern == w.MD_LINK else ""
+        out = F.regexp_replace(out, pattern, new)
+    out = F.regexp_replace(out, w.DANGLING, "")
     out = F.regexp_replace(out, r"(?U)\s+([.,;:!?])", "$1")
     out = F.regexp_replace(out, r"([.,;:!?])\1+", "$1")
     return strip(F.regexp_replace(out, r"(?U)\s{2,}", " "), " ,;:")
