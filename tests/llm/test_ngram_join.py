@@ -67,9 +67,10 @@ def test_whole_table(spark):
     assert sum(r.kept for r in rows) == len({r.class_id for r in rows})
 
 
-@pytest.mark.parametrize("block", [2048, 5])
-def test_near_copies_in_one_and_many_blocks(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, broadcast", [(2048, 200_000), (5, 0)])
+def test_near_copies_in_one_and_many_blocks(spark, monkeypatch, block, broadcast):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     rows = []
     for base in range(4):

@@ -29,7 +29,9 @@ def sha(data):
 # ---- exact dedup
 
 
-def test_exact_dedup_cases(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_exact_dedup_cases(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", broadcast)
     rows = [(5, "a b", "s"), (3, "ab", "s"), (4, "a b", "s"), (9, "a\tb", "s"), (9, "a\tb", "s"), (1, None, "s"), (2, "", None), (7, " \n", "s"), (None, "zz", "s"), (8, "é ", "s")]
     got = exact_dedup.exact_duplicates(docs_of(spark, rows), capacity=1).collect()
     groups = {}
@@ -258,9 +260,10 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [400, 1])
-def test_suffix_dedup_cases(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, broadcast", [(400, 2_000_000), (1, 0)])
+def test_suffix_dedup_cases(spark, monkeypatch, hot, broadcast):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ANCHORS", broadcast)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
