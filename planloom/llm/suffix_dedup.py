@@ -189,7 +189,9 @@ def pack_rows(rows: np.ndarray, key: np.ndarray, groups: int) -> tuple[list[int]
     group = (key % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     rows, group = rows[order], group[order]
-    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+    if not len(group):
+        return [], []
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     return group[at].tolist(), [rows[a:b].tobytes() for a, b in zip(at, [*at[1:], len(rows)], strict=True)]
 
 

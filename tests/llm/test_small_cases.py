@@ -275,3 +275,20 @@ def test_suffix_dedup_cases(spark, monkeypatch, hot, broadcast):
     want = [(r[0], *b) for r, b in zip(rows, brute_removed([(t or "").encode() for _, t, _ in rows]), strict=True)]
     assert Counter(map(tuple, got)) == Counter(want)
     assert suffix_dedup.remove_repeats(docs_of(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("copies", [0, 2])
+def test_suffix_dedup_of_a_hot_phrase(spark, copies):
+    """A phrase too short for a window in more than HOT surroundings: hash groups without any repeated window."""
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase = noise(190)
+    texts = [noise(120) + phrase + noise(120) for _ in range(suffix_dedup.HOT + 100)]
+    texts += [noise(50) + texts[k][110:330] + noise(50) for k in range(copies)]
+    owners = suffix_dedup.slices([t.encode() for t in texts])
+    assert max(Counter(owners[1].tolist()).values()) > suffix_dedup.HOT
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = suffix_dedup.remove_repeats(docs_of(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("h")).collect()
+    want = [(r[0], *b) for r, b in zip(rows, brute_removed([t.encode() for t in texts]), strict=True)]
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert sum(r.n_removed for r in got) >= 400 * copies
