@@ -175,7 +175,9 @@ FROM events
 
 
 def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule fixers over each document's first sentences: their results always meet the audit's limits."""
+    """The rule fixers over each document: the title's and names' over its first sentence, where their results always meet
+    the audit's limits, and the steps' over all of its sentences. imperative has an item for each sentence, null where it
+    gives no instruction."""
     d = table(spark, sf_dir, "documents").withColumn("s", t.sentences(F.col("text")))
     first = F.coalesce(F.get("s", F.lit(0)), F.lit(""))
     return d.select(
@@ -184,8 +186,8 @@ def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         t.fix_description(first, F.col("source")).alias("description"),
         t.fix_action_name(first).alias("action_name"),
         t.build_goal(first, F.lit("Configuration")).alias("goal"),
-        t.clean_steps(F.slice("s", 1, 3)).alias("steps"),
-        t.imperative(first).alias("imperative"),
+        t.clean_steps(F.col("s")).alias("steps"),
+        F.transform("s", lambda s: t.imperative(s)).alias("imperative"),
     )
 
 
