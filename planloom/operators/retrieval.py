@@ -128,16 +128,32 @@ def fuse(first: DataFrame, second: DataFrame) -> DataFrame:
     return part(first).unionByName(part(second)).groupBy("query_id", "entry_id").agg(F.sum("part").alias("fused"))
 
 
+def ranked_with_zeros(queries: DataFrame, scores: DataFrame, score: str, entries: DataFrame, k: int, digits: int) -> DataFrame:
+    """As `ranked` over all pairs of queries and entries, where those that scores lacks have 0; few of these are made.
+
+    Where fewer than k scores are above 0, k entries without a score are among the first k + (its scores) by entry_id.
+    """
+    scores = scores.select("query_id", "entry_id", F.round(score, digits).alias(score))
+    counts = scores.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col(score) > 0).alias("above"))
+    short = queries.select("query_id").join(counts, "query_id", "left").na.fill(0, ["n", "above"]).where(F.col("above") < k)
+    # Numbers of all entries: one task sorts their ids, and nothing else of them.
+    places = entries.select("entry_id", F.row_number().over(Window.orderBy("entry_id")).cast("long").alias("place"))
+    zeros = short.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + k)).alias("place")).join(places, "place")
+    every = scores.unionByName(zeros.select("query_id", "entry_id", F.lit(0.0).alias(score)))
+    return ranked(every.groupBy("query_id", "entry_id").agg(F.sum(score).alias(score)), score, k)
+
+
 def hybrid(queries: DataFrame, entries: DataFrame, k: int = w.RETRIEVAL_TOP_K) -> DataFrame:
     """query_id, entry_id, fused, dense, bm25, rank (from 0) of the k best entries by both lists.
 
-    Lists are cut at 4k; an entry without a common term has bm25 0 and still takes a rank, as the lists are full.
+    Lists are cut at 4k; an entry without a common term has bm25 0 and still takes a rank, as the lists are full. Only
+    pairs that share a term or a gram are scored.
     """
-    grid = queries.select("query_id").crossJoin(F.broadcast(entries.select("entry_id")))  # a catalog, not a corpus
     model = tfidf_fit(entries)
     lexical = bm25_scores(queries, bm25_weights(entries))
     dense = sparse_scores(tfidf_vectors(queries, "query_id", model), tfidf_vectors(entries, "entry_id", model))
-    scores = grid.join(lexical, ["query_id", "entry_id"], "left").join(dense, ["query_id", "entry_id"], "left").na.fill(0.0, ["bm25", "dense"])
-    by_terms, by_vectors = (ranked(scores.select("query_id", "entry_id", s), s, 4 * k, 9) for s in ("bm25", "dense"))
+    by_terms = ranked_with_zeros(queries, lexical, "bm25", entries, 4 * k, 9)
+    by_vectors = ranked_with_zeros(queries, dense, "dense", entries, 4 * k, 9)
     best = ranked(fuse(by_terms, by_vectors), "fused", k, 12)
-    return best.join(scores, ["query_id", "entry_id"]).withColumn("rank", F.col("rank") - 1)
+    both = best.join(lexical, ["query_id", "entry_id"], "left").join(dense, ["query_id", "entry_id"], "left").na.fill(0.0, ["bm25", "dense"])
+    return both.withColumn("rank", F.col("rank") - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import similarity
 from .functions import text as t
@@ -463,10 +464,11 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' numbers pick a setting and a direction, which the mapping has to find again."""
-    names = table(spark, sf_dir, "part").select(F.initcap("p_name").alias("key")).distinct()
-    numbered = names.withColumn("k", F.pmod(F.xxhash64("key"), F.lit(97)))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 97).alias("k"))
+    """Suppliers' numbers pick a setting and a direction, which the mapping has to find again. Every supplier has one."""
+    names = table(spark, sf_dir, "part").select(F.initcap("p_name").alias("key")).where("key IS NOT NULL").distinct()
+    numbered = names.withColumn("k", F.row_number().over(Window.orderBy("key")).cast("long") - 1)  # some tens of names at any size
+    s = table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(names.agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))))  # one row
+    s = s.select("s_suppkey", F.pmod(F.col("s_suppkey").cast("long"), F.col("n")).alias("k"))
     on = F.when(F.col("s_suppkey") % 2 == 0, "on").otherwise("off")
     actions = s.join(numbered, "k").select(
         F.concat_ws(":", F.col("s_suppkey").cast("string"), "key").alias("action_id"), F.concat_ws(" ", F.lit("Adjust"), "key").alias("name"), F.lit("auto").alias("category"),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
+from oracle import AT
 from planloom import catalogue
 from planloom.functions import wordlists as w
+from planloom.operators import retrieval
 
 
 def run(spark, tmp_path, query, **tables):
@@ -33,3 +38,35 @@ def test_document_rules_take_every_sentence(spark, tmp_path):
         assert r.steps == list(steps.values())
         assert r.imperative == [x if x.split()[0].lower().strip(",.:") in w.IMPERATIVE_VERBS else None for x in sentences]
     assert max(len(r.steps) for r in rows) > 3
+
+
+def test_map_actions_has_every_supplier(spark):
+    suppliers = sorted(r.s_suppkey for r in spark.read.parquet(f"{AT}/supplier.parquet").collect())
+    names = sorted({r.n for r in spark.read.parquet(f"{AT}/part.parquet").select(F.initcap("p_name").alias("n")).collect()})
+    rows = catalogue.queries()["map_actions"](spark, AT).select("action_id").collect()
+    assert sorted(r.action_id for r in rows) == sorted(f"{k}:{names[k % len(names)]}" for k in suppliers)
+
+
+def test_hybrid_ranks_as_over_all_pairs(spark):
+    rng = random.Random(7)
+    word = lambda: rng.choice("wifi sound display battery touch zoom theme storage".split())
+    # "phone" in nearly all entries has a negative weight, so that entries without it rank before them.
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 4))) + " phone" * (k % 9 > 0) for k in range(60)]
+    entries = spark.createDataFrame([(f"e{k:02}", x) for k, x in enumerate(texts)], "entry_id string, text string")
+    asked = ["phone", "phone wifi", "qqq", "", "touch sound", "battery phone phone zoom"]
+    queries = spark.createDataFrame([(k, x) for k, x in enumerate(asked)], "query_id long, text string")
+    model = retrieval.tfidf_fit(entries)
+    lexical = {(r.query_id, r.entry_id): r.bm25 for r in retrieval.bm25_scores(queries, retrieval.bm25_weights(entries)).collect()}
+    dense = {(r.query_id, r.entry_id): r.dense for r in retrieval.sparse_scores(retrieval.tfidf_vectors(queries, "query_id", model), retrieval.tfidf_vectors(entries, "entry_id", model)).collect()}
+    for k in (2, 5, 15):
+        got = {(r.query_id, r["rank"]): r for r in retrieval.hybrid(queries, entries, k).collect()}
+        assert len(got) == k * len(asked)
+        for q in range(len(asked)):
+            fused = {}
+            for scores in (lexical, dense):
+                best = sorted((-round(scores.get((q, f"e{e:02}"), 0.0), 9), f"e{e:02}") for e in range(len(texts)))[: 4 * k]
+                for at, (_, e) in enumerate(best):
+                    fused[e] = fused.get(e, 0.0) + 1.0 / (w.RRF_K + at + 1)
+            want = [e for _, e in sorted((-round(x, 12), e) for e, x in fused.items())[:k]]
+            assert [got[q, n].entry_id for n in range(k)] == want
+            assert all(abs(got[q, n].bm25 - lexical.get((q, e), 0.0)) < 1e-9 and abs(got[q, n].dense - dense.get((q, e), 0.0)) < 1e-9 for n, e in enumerate(want))
