@@ -428,13 +428,14 @@ SELECT CAST(count(*) AS BIGINT) AS plans, CAST(count(*) FILTER (clean) AS BIGINT
 
 
 def rule_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complaints with articles made of their conversation's assistant turns."""
+    """Each user turn as a complaint, with an article made of all of its conversation's assistant turns in their order."""
     c = table(spark, sf_dir, "conversations")
-    said = F.concat(F.lit("## Try This\n1. Tap on Display. Then turn on Dark mode. "), F.col("text"))
-    user = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
-    article = c.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by(said, F.col("turn")).alias("content"))
-    rows = user.join(article, "conv_id", "left").select(F.col("conv_id").alias("query_id"), "query", F.lit("Dark mode problem on your phone").alias("title"), "content")
-    return extraction.extract(rows).select("query_id", "fallback", "goal", "plan_title", "relevance", F.size("actions").alias("n_actions"), F.size("dropped_steps").alias("n_dropped"))
+    user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    said = F.concat(F.lit("## Try This\n1. Tap on Display. Then turn on Dark mode. "), F.array_join(F.transform(turns, lambda x: x["text"]), "\n"))
+    article = c.where("role = 'assistant' AND text IS NOT NULL").groupBy("conv_id").agg(said.alias("content"))
+    rows = user.join(article, "conv_id", "left").select(F.col("conv_id").alias("query_id"), "turn", "query", F.lit("Dark mode problem on your phone").alias("title"), "content")
+    return extraction.extract(rows).select("query_id", "turn", "fallback", "goal", "plan_title", "relevance", F.size("actions").alias("n_actions"), F.size("dropped_steps").alias("n_dropped"))
 
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

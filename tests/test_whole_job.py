@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oracle import AT
 from planloom import catalogue
 from planloom.functions import wordlists as w
-from planloom.operators import retrieval
+from planloom.operators import extraction, retrieval
 
 
 def run(spark, tmp_path, query, **tables):
@@ -70,3 +70,23 @@ def test_hybrid_ranks_as_over_all_pairs(spark):
             want = [e for _, e in sorted((-round(x, 12), e) for e, x in fused.items())[:k]]
             assert [got[q, n].entry_id for n in range(k)] == want
             assert all(abs(got[q, n].bm25 - lexical.get((q, e), 0.0)) < 1e-9 and abs(got[q, n].dense - dense.get((q, e), 0.0)) < 1e-9 for n, e in enumerate(want))
+
+
+def test_rule_extract_takes_every_turn(spark, tmp_path):
+    turns = [
+        (1, 0, "user", "dark mode is stuck"), (1, 3, "assistant", "Restart the tablet. Open the camera."), (1, 1, "assistant", "Tap on Battery."), (1, 2, "user", "battery and camera fail"),
+        (1, 5, "assistant", None), (2, 0, "user", "nobody answers"), (3, 0, "assistant", "Tap on Sound."), (4, 0, "user", None), (4, 1, "assistant", "Tap on Zoom."), (1, 4, "user", "restart"),
+    ]
+    rows = run(spark, tmp_path, "rule_extract", conversations=(turns, "conv_id long, turn long, role string, text string"))
+    asked = []
+    for conv, turn, role, text in turns:
+        if role == "user":
+            said = [x for _, x in sorted((t, x) for c, t, r, x in turns if c == conv and r == "assistant" and x is not None)]
+            content = "## Try This\n1. Tap on Display. Then turn on Dark mode. " + "\n".join(said) if said else None
+            asked.append((conv, turn, text, "Dark mode problem on your phone", content))
+    plain = extraction.extract(spark.createDataFrame(asked, "conv_id long, turn long, query string, title string, content string")).collect()
+    want = {(r.conv_id, r.turn): (r.fallback, r.relevance, len(r.actions), len(r.dropped_steps)) for r in plain}
+    assert len(rows) == len(want) and {(r.query_id, r.turn): (r.fallback, r.relevance, r.n_actions, r.n_dropped) for r in rows} == want
+    # Words of the second assistant turn are part of what the second complaint is held against.
+    steps = [s for r in plain if (r.conv_id, r.turn) == (1, 2) for a in r.actions for s in a.steps]
+    assert any("camera" in s for s in steps) and any("Battery" in s for s in steps)
