@@ -155,7 +155,7 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     )
     if n <= BROADCAST_ROWS:
         keyed = F.broadcast(keyed)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     found = texts.join(keyed, texts.doc_id.eqNullSafe(keyed.doc_id)).drop("doc_id")
     found = found.withColumn("other", F.explode("others")).select(
         "row", "root", "copies", "bands", "text", "block", "set_a", "set_b", "deal", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")

@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from planloom.llm import chat, exact_dedup, mixing, packing, personal_data, pieces, quality, suffix_dedup, top_k
+from planloom.llm import chat, exact_dedup, mixing, ngram_join, packing, personal_data, pieces, quality, suffix_dedup, top_k
 
 SPACE = re.compile("[\x20\x09-\x0d]")
 
@@ -292,3 +292,14 @@ def test_suffix_dedup_of_a_hot_phrase(spark, copies):
     want = [(r[0], *b) for r, b in zip(rows, brute_removed([t.encode() for t in texts]), strict=True)]
     assert Counter(map(tuple, got)) == Counter(want)
     assert sum(r.n_removed for r in got) >= 400 * copies
+
+
+# ---- n-gram join
+
+
+def test_null_texts_beside_candidates_of_their_doc_id(spark):
+    words = [f"w{k}" for k in range(120)]
+    near = lambda k: " ".join([*words[:-1], f"x{k}"])
+    rows = [(7, near(1), "s"), (7, None, "s"), (8, near(2), "s"), (None, near(3), "s"), (None, None, "s")]
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.kept) for r in ngram_join.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == Counter([(7, 7, 2, True), (8, 7, 2, False), (None, 7, 2, False), (7, 7, 0, True), (None, None, 0, True)])
