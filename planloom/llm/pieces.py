@@ -9,11 +9,14 @@ the word before it.
 The state of a unigram model is the best score and the piece that reaches it. A BPE model's ids aren't those of the
 highest score, so summed scores can't give right results there; its state is the one piece that can end the prefix's
 encoding, namely the piece that the merges leave beside the piece before it. Ids equal the sentencepiece library's.
-
-Nothing is shuffled: a block is part of one task's rows, and its memory is bounded by BLOCK_CHARS and CACHED_WORDS
-(plus one text). Null texts count as empty, which have no ids; an empty table gives no rows; a text of one long word
-is one path of the trie. Decoding gives the text again, except that a mark in a text comes back as a space. Columns
-other than doc_id and text are not read.
+`scores_query` runs the score form over the same pieces: the segmentation of highest summed score of each text.
+
+Nothing is shuffled: a block is part of one task's rows. A worker holds one block of BLOCK_CHARS characters (or one
+longer text, whatever its length), words of CACHED_CHARS characters (WORD_COST more for each) with their ids, and
+BESIDE_PAIRS verdicts on neighbours; what exceeds these bounds is forgotten and worked out again. Null texts count as
+empty, which have no ids; an empty table gives no rows; a text of one long word is one path of the trie. Repeated rows
+are encoded each. Decoding gives the text again, except that a mark in a text comes back as a space. Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +39,13 @@ ORACLE_SQL = None
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of text that are encoded together, and words whose ids a task remembers from block to block.
-BLOCK_CHARS, CACHED_WORDS = 4_000_000, 500_000
+#: Characters of text that are encoded together.
+BLOCK_CHARS = 500_000
+#: Words whose ids a worker remembers from block to block, by their characters and WORD_COST for each word; longer words
+#: than LONGEST_CACHED are not remembered.
+CACHED_CHARS, WORD_COST, LONGEST_CACHED = 8_000_000, 30, 200
+#: Pairs of pieces whose standing side by side a worker remembers.
+BESIDE_PAIRS = 400_000
 
 
 class Encoder:
@@ -65,6 +73,9 @@ class Encoder:
         self.lengths = {tail: tuple(sorted(found, reverse=True)) for tail, found in tails.items()}
         self.least = min(self.score[i] for i in self.ids.values()) - 10.0 if self.ids else 0.0
         self.beside: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.known: dict[str, list[int]] = {}
+        self.total_of: dict[str, float] = {}
+        self.pairs, self.cached = 0, 0
 
     def merged(self, text: str) -> list[str]:
         """A short string's pieces by the model's merges: the best-scored neighbours first, the left of equal ones."""
@@ -80,12 +91,18 @@ class Encoder:
     def stand(self, left: int, right: int) -> bool:
         """Whether merging leaves these two pieces side by side (left -1: whether it makes the right one at all)."""
         if (known := self.beside[right].get(left)) is None:
+            if self.pairs >= BESIDE_PAIRS:
+                for of_piece in self.beside:
+                    of_piece.clear()
+                self.pairs = 0
             parts = ([self.text[left]] if left >= 0 else []) + [self.text[right]]
             known = self.beside[right][left] = self.merged("".join(parts)) == parts
+            self.pairs += 1
         return known
 
-    def bpe_states(self, word: str, at: int, last: list[int], start: list[int]) -> None:
-        """Appends the states of the positions after `at`. last: the piece that ends there, -1 for a character without one."""
+    def bpe_states(self, word: str, at: int, last: list[int], size: list[int]) -> None:
+        """Appends the states of the positions after `at`. last: the piece that ends there, -1 for a character without
+        one; size: its number of characters."""
         ids, lengths, beside, stand = self.ids, self.lengths, self.beside, self.stand
         for end in range(at + 1, len(word) + 1):
             for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
@@ -94,13 +111,13 @@ class Encoder:
                     known = beside[i].get(left)
                     if known if known is not None else stand(left, i):
                         last.append(i)
-                        start.append(end - n)
+                        size.append(n)
                         break
             else:
                 last.append(ids.get(word[end - 1], -1))
-                start.append(end - 1)
+                size.append(1)
 
-    def best_states(self, word: str, at: int, last: list[int], start: list[int], total: list[float]) -> None:
+    def best_states(self, word: str, at: int, last: list[int], size: list[int], total: list[float]) -> None:
         """The same for the highest sum of scores; of equal sums the longest last piece."""
         ids, lengths, score = self.ids, self.lengths, self.score
         for end in range(at + 1, len(word) + 1):
@@ -110,41 +127,52 @@ class Encoder:
                 if n <= end and (i := ids.get(word[end - n : end])) is not None:
                     best = max(best, (total[end - n] + score[i], n, i))
             total.append(best[0])
-            start.append(end - best[1])
+            size.append(best[1])
             last.append(best[2])
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of distinct words, by depth-first traversal of their trie."""
         out, before = {}, ""
-        last, start, total = [-1], [0], [0.0]
+        last, size, total = [-1], [0], [0.0]
         for word in sorted(words):
             shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], start[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
             if self.kind == "bpe":
-                self.bpe_states(word, shared, last, start)
+                self.bpe_states(word, shared, last, size)
             else:
-                self.best_states(word, shared, last, start, total)
+                self.best_states(word, shared, last, size, total)
             ids, end = [], len(word)
             while end:
                 if last[end] >= 0:
                     ids.append(last[end])
                 else:
-                    ids += [self.byte_id.get(b, self.unknown) for b in reversed(word[start[end] : end].encode())]
-                end = start[end]
+                    ids += [self.byte_id.get(b, self.unknown) for b in reversed(word[end - size[end] : end].encode())]
+                end -= size[end]
             ids.reverse()
             out[word] = ids
+            if self.kind != "bpe":
+                self.total_of[word] = total[-1]
             before = word
         return out
 
-    def encode_texts(self, texts: list[str], known: dict[str, list[int]]) -> list[list[int]]:
-        """known: ids of words seen before; words new in this block are added."""
+    def encode_texts(self, texts: list[str]) -> tuple[list[list[int]], list[float]]:
+        """Ids and, of a unigram model, summed scores of texts. Words are remembered up to the bound."""
         cut = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)).difference(known)
-        if len(known) + len(new) > CACHED_WORDS and known:
+        known = self.known
+        new = self.encode_words(set(chain.from_iterable(cut)).difference(known))
+        known.update(new)
+        ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+        totals = [sum(map(self.total_of.__getitem__, words)) for words in cut] if self.kind == "unigram" else [0.0] * len(cut)
+        long_ = [word for word in new if len(word) > LONGEST_CACHED]
+        self.cached += sum(map(len, new)) - sum(map(len, long_)) + WORD_COST * (len(new) - len(long_))
+        if self.cached > CACHED_CHARS:
             known.clear()
-            new = set(chain.from_iterable(cut))
-        known.update(self.encode_words(new))
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+            self.total_of.clear()
+            self.cached = 0
+        for word in long_:
+            known.pop(word, None)
+            self.total_of.pop(word, None)
+        return ids, totals
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
@@ -175,21 +203,22 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], of_block: Callable[[list, list
 
 
 def encode(docs: DataFrame, model_file: str = MODEL_FILE, kind: str = "bpe") -> DataFrame:
-    """doc_id, ids, round_trip: the ids of each whole text, and whether they decode to it."""
+    """doc_id, ids, round_trip, score: the ids of each whole text, whether they decode to it, and for the kind "unigram"
+    the sum of the pieces' scores (0 otherwise)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = encoder(model_file, kind), {}
+        model = encoder(model_file, kind)
 
         def of_block(keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
-            ids = model.encode_texts(texts, known)
+            ids, totals = model.encode_texts(texts)
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             values = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
             same = [model.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, values), pa.array(same)], ["doc_id", "ids", "round_trip"])
+            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, values), pa.array(same), pa.array(totals, pa.float64())], ["doc_id", "ids", "round_trip", "score"])
 
         yield from _in_blocks(batches, of_block)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean, score double")
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL_FILE, kind: str = "bpe") -> DataFrame:
@@ -207,3 +236,9 @@ def decode(encoded: DataFrame, model_file: str = MODEL_FILE, kind: str = "bpe")
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(table(spark, sf_dir, "documents"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
+def scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pieces by the highest summed score of each text instead of by merges."""
+    ids = encode(table(spark, sf_dir, "documents"), kind="unigram")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", F.round("score", 6).alias("score"))

@@ -25,7 +25,7 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()} | {"pipeline": corpus_pipeline.run}
+    return {name: module.query for name, module in _MODULES.items()} | {"sentencepiece_scores": pieces.scores_query, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

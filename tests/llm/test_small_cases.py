@@ -205,9 +205,38 @@ def test_unigram_scores_are_the_best():
         pytest.skip("the model's type could not be changed")
     model, sp = pieces.Encoder(kind="unigram", model_bytes=data), sentencepiece.SentencePieceProcessor(model_proto=data)
     words = sorted(set("the quick brown foxes jumped over unbelievable lazinesses in internationalization".split()))
-    for ids, text in zip(model.encode_texts(words, {}), words, strict=True):
+    for ids, score, text in zip(*model.encode_texts(words), words, strict=True):
         total = lambda x: sum(sp.get_score(i) for i in x)
-        assert "".join(map(sp.id_to_piece, ids)) == "▁" + text and total(ids) >= total(sp.encode(text))
+        assert "".join(map(sp.id_to_piece, ids)) == "▁" + text and score == pytest.approx(total(ids)) and total(ids) >= total(sp.encode(text))
+
+
+def test_scores_against_an_exhaustive_search():
+    model, rng = pieces.Encoder(kind="unigram"), random.Random(8)
+    words = ["".join(rng.choice("aein rst①") for _ in range(rng.randrange(1, 10))) for _ in range(200)]
+
+    def best(marked):
+        """Over all cuts into pieces, and characters without a piece."""
+        if not marked:
+            return 0.0
+        heads = (marked[:n] for n in range(1, len(marked) + 1))
+        return max((model.score[model.ids[h]] if h in model.ids else model.least) + best(marked[len(h) :]) for h in heads if h in model.ids or len(h) == 1)
+
+    ids, scores = model.encode_texts(words)
+    for word, pieces_, score in zip(words, ids, scores, strict=True):
+        assert score == pytest.approx(best("▁" + word.replace(" ", "▁"))) and model.decode(pieces_) == word
+
+
+def test_bounds_of_what_a_worker_remembers(monkeypatch):
+    """Ids stay the library's while words and pairs are forgotten; long words aren't remembered."""
+    monkeypatch.setattr(pieces, "CACHED_CHARS", 500)
+    monkeypatch.setattr(pieces, "BESIDE_PAIRS", 20)
+    model, library = pieces.Encoder(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdeeiou ") for _ in range(400)) for _ in range(30)] + ["z" * 100_000, "ab" * 3000]
+    for text in texts * 2:
+        assert model.encode_texts([text])[0] == [library.encode(text)]
+        assert sum(map(len, model.known)) <= 500 and all(len(w) <= pieces.LONGEST_CACHED for w in model.known)
+        assert sum(map(len, model.beside)) <= 20
 
 
 def test_packing_is_lossless_and_best_fit(spark):
