@@ -45,7 +45,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, round_trip."""
     ship(spark)
-    return pieces.encode(docs)
+    return pieces.encode(docs).select("doc_id", "ids", "round_trip")
 
 
 STAGES = [
