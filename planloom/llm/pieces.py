@@ -25,7 +25,6 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +39,10 @@ ORACLE_SQL = None
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text that are encoded together.
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 1_000_000
 #: Words whose ids a worker remembers from block to block, by their characters and WORD_COST for each word; longer words
 #: than LONGEST_CACHED are not remembered.
-CACHED_CHARS, WORD_COST, LONGEST_CACHED = 8_000_000, 30, 200
+CACHED_CHARS, WORD_COST, LONGEST_CACHED = 16_000_000, 30, 200
 #: Pairs of pieces whose standing side by side a worker remembers.
 BESIDE_PAIRS = 400_000
 
@@ -106,10 +105,10 @@ class Encoder:
         ids, lengths, beside, stand = self.ids, self.lengths, self.beside, self.stand
         for end in range(at + 1, len(word) + 1):
             for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
-                if n <= end and (i := ids.get(word[end - n : end])) is not None:
-                    left = last[end - n]
-                    known = beside[i].get(left)
-                    if known if known is not None else stand(left, i):
+                begin = end - n
+                if begin >= 0 and (i := ids.get(word[begin:end])) is not None:
+                    left = last[begin]
+                    if (known := beside[i].get(left)) or (known is None and stand(left, i)):
                         last.append(i)
                         size.append(n)
                         break
@@ -135,7 +134,9 @@ class Encoder:
         out, before = {}, ""
         last, size, total = [-1], [0], [0.0]
         for word in sorted(words):
-            shared = len(commonprefix((before, word)))
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
             del last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
             if self.kind == "bpe":
                 self.bpe_states(word, shared, last, size)
