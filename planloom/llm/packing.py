@@ -9,12 +9,19 @@ one shard (and one document) at a time.
 
 Null texts count as empty: a document without text is its end mark. Equal lengths go by order of arrival. Rows with
 the same doc_id are told apart by `document`, their number within the shard. An empty table gives no rows. Columns other
-than doc_id and text are not read.
+than doc_id and text are not read. Which documents share a shard follows the input's partitions: a rerun on the same
+files packs the same rows, one on another layout packs the same documents in other company.
+
+Runs of LONG_RUN white-space characters and more are cut out before the tokenizer, whose pattern would overflow its
+stack on a million of them. The pattern takes such a run as one word up to its last character, which goes with what
+follows (at the text's end the whole run is the word), so the ids are the same. Texts without white space are words
+of any length; they take memory in proportion.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,6 +39,10 @@ ORACLE_SQL = None
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's texts are cut into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What the pattern takes for white space (Unicode's property).
+WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = 1024
+_LONG_RUNS = re.compile(f"{WHITE}{{{LONG_RUN},}}")
 LENGTH, SHARD_TOKENS = 2048, 4_000_000
 #: The first id that the vocabulary leaves free ends documents, and fills rows.
 END_ID = PAD_ID = 50_256
@@ -58,6 +69,16 @@ def encoding(ranks_file: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_ids(text: str, model: tiktoken.Encoding) -> list[int]:
+    ids, at = [], 0
+    for run in _LONG_RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += model.encode_ordinary(text[at : run.start()])
+        ids += model._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + model.encode_ordinary(text[at:])
+
+
 class Rooms:
     """Open rows by their room, in a segment tree over the sizes 0 to length that holds how many rows have that room."""
 
@@ -126,11 +147,11 @@ def pack(docs: DataFrame, length: int = LENGTH, ranks_file: str = RANKS_FILE, en
     """Packed rows of all documents; ids are 16-bit where the shard's ids allow, else 32-bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks_file).encode_ordinary
+        model = encoding(ranks_file)
         shard, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((key, np.array([*encode(text.as_py() or ""), end_id], dtype=np.int32)))
+                held.append((key, np.array([*token_ids(text.as_py() or "", model), end_id], dtype=np.int32)))
                 size += len(held[-1][1])
                 if size >= SHARD_TOKENS:
                     yield pack_shard(shard, held, length, pad_id)
