@@ -7,8 +7,10 @@ The thresholds come from nested histograms: words by source and hash bucket, the
 in which the budget runs out, three times over, until that bucket is one hash value, which is taken if that brings
 the source nearer to its target. No rows are sorted, and the same rows give the same mix.
 
-The hash is taken from doc_id, so rows with the same doc_id enter together. Null texts have no words; a source
-without words has target 0. An empty table gives an empty mix. Names of further columns never clash with ours.
+The hash is taken from doc_id, source and text, so only rows that repeat in all three enter together, and a source ends
+within the words of one such group from its target. Null texts have no words; a source without words has target 0, and
+none of its rows enter. No row enters more than ``MOST`` times. Very long texts count like others: whole. An empty table
+gives an empty mix. Names of further columns never clash with ours.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def hash60(doc_id: Column) -> Column:
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+def hash60() -> Column:
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "source", "text"))
+    digest = F.md5(F.concat_ws(":", *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -89,7 +92,7 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash")), "mix-sizes")
+    return written(docs.select("doc_id", "source", words(F.col("text")).alias("size"), hash60().alias("hash")), "mix-sizes")
 
 
 def plan_mix(sizes: DataFrame) -> DataFrame:
@@ -100,7 +103,8 @@ def plan_mix(sizes: DataFrame) -> DataFrame:
     )
     plan = plan.withColumn("copies", copies.cast("long"))
     plan = written(plan.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")), "mix-plan")
-    below = thresholds(sizes, plan.select("source", "rest")).withColumnRenamed("source", "below_source")
+    open_ = plan.where((F.col("copies") < MOST) & (F.col("rest") > 0)).select("source", "rest")
+    below = thresholds(sizes, open_).withColumnRenamed("source", "below_source")
     return plan.join(below, F.col("source").eqNullSafe(F.col("below_source")), "left").drop("below_source", "rest")
 
 
@@ -125,7 +129,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it, with all their columns."""
     plan = written(plan_mix(sized(docs)), "mix-final")
-    times = _joined(docs, plan).withColumn("_times", _times(hash60(F.col("doc_id"))).cast("int"))
+    times = _joined(docs, plan).withColumn("_times", _times(hash60()).cast("int"))
     return times.where("_times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
@@ -136,7 +140,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(source, 'null') || ':' || coalesce(text, 'null')), 1, 15) AS BIGINT) AS hash
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3 * CAST(sum(size) AS BIGINT) AS most,
@@ -152,7 +156,7 @@ WITH d AS (
                  ELSE CAST(floor(target / nullif(source_size, 0)) AS BIGINT) END AS copies FROM t
 ), h AS (
   SELECT d.source, hash, sum(d.size) AS words, any_value(target - copies * source_size) AS rest
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY d.source, hash
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source WHERE copies < 3 AND target > copies * source_size GROUP BY d.source, hash
 ), c AS (
   SELECT *, sum(words) OVER (PARTITION BY source ORDER BY hash) AS upto FROM h
 ), b AS (

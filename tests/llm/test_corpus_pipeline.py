@@ -55,10 +55,10 @@ def plain_mix(rows):
     target |= {s: weight[s] * level for s in open_}
     out = Counter()
     for s in sources:
-        copies = int(target[s] // total[s])
+        copies = min(3, int(target[s] // total[s]))
         rest, upto = target[s] - copies * total[s], 0
-        ids = sorted((int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16), r.doc_id) for r in rows if r.source == s)
-        taking = True
+        ids = sorted((int(hashlib.md5(f"{r.doc_id}:{r.source}:{r.text}".encode()).hexdigest()[:15], 16), r.doc_id) for r in rows if r.source == s)
+        taking = rest > 0 and copies < 3
         for _, doc_id in ids:
             if taking and upto + size[doc_id] > rest:
                 taking = False

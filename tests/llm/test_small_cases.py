@@ -73,9 +73,21 @@ def test_mixing_cases(spark):
     assert Counter(got) == Counter(again)
     times = Counter(r.doc_id for r in mixing.mixed(docs_of(spark, rows)).collect())
     assert all(times[r.doc_id] * r.size == r.taken for r in got if r.size and r.doc_id != 502)
+    assert max(times[r.doc_id] for r in got if r.doc_id != 502) <= mixing.MOST
     assert mixing.mix(docs_of(spark, [])).collect() == []
 
 
+def test_mixing_of_a_capped_source_and_of_null_ids(spark):
+    """Documents without words of a source at its cap enter no fourth time; rows without ids enter one by one."""
+    rows = [(k, None if k % 3 else "one two", "a") for k in range(30)] + [(None, f"w{k} w", "b") for k in range(2000)]
+    times = Counter(r.doc_id for r in mixing.mixed(docs_of(spark, rows)).collect())
+    assert all(times[k] <= mixing.MOST for k in range(30)) and times[0] == mixing.MOST
+    got = {(r.source_size, r.target): 0 for r in mixing.mix(docs_of(spark, rows)).collect()}
+    for r in mixing.mix(docs_of(spark, rows)).collect():
+        got[r.source_size, r.target] += r.taken
+    assert all(abs(taken - target) <= 2 for (_, target), taken in got.items())
+
+
 # ---- chat
 
 
@@ -255,6 +267,24 @@ def test_packing_is_lossless_and_best_fit(spark):
     assert {k: encoding.decode(v[:-1]) for k, v in whole.items()} == dict(enumerate(texts)) | {-1: ""}
 
 
+def test_ids_around_long_runs_of_white_space():
+    model, rng = packing.encoding(packing.RANKS_FILE), random.Random(10)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", "1", "'s", "?", " ", "é", "\u3000", "\x1c"]) + rng.choice(" \n\t\u2003") * rng.choice([0, 1, 2, 1023, 1024, 1025, 3000]) for _ in range(6))
+        assert packing.token_ids(text, model) == model.encode_ordinary(text)
+
+
+def test_packing_of_very_long_runs(spark):
+    texts = ["x" + " " * 1_000_000, "\n" * 1_000_000 + "y", "z" * 1_000_000]
+    rows = packing.pack(docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()
+    got, model = {}, packing.encoding(packing.RANKS_FILE)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u2")
+        for s, a, b in zip(r.segments, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            got.setdefault(s.doc_id, {})[s.piece] = ids[a:b].tolist()
+    assert {k: model.decode(sum((v[p] for p in sorted(v)), [])[:-1]) for k, v in got.items()} == dict(enumerate(texts))
+
+
 def test_best_fit_against_a_plain_scan():
     rng = random.Random(4)
     for _ in range(50):
