@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.session import settled as written
 
-__all__ = ["SPACES", "table", "without_spaces", "written"]
+__all__ = ["SPACES", "digest", "joined_by", "marked", "table", "without_spaces", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,3 +19,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def without_spaces(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+
+
+#: Small rows (a few numbers) are broadcast up to this many, and joined by a shuffle beyond it.
+BROADCAST_ROWS = 300_000
+#: Rows of one key beyond which the key counts as hot. At most one key in this many rows can be.
+HOT_ROWS = 10_000
+
+
+def digest() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+
+
+def joined_by(rows: DataFrame, facts: DataFrame, key: list[str], n: str) -> DataFrame:
+    """rows with the columns of facts (one row for each key, not null; n: how many rows have it) but n; inner join.
+
+    The facts of hot keys are broadcast, of which there is at most one in HOT_ROWS rows: so no key makes a task large.
+    """
+    hot = facts.where(F.col(n) > HOT_ROWS).drop(n)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(facts.where(F.col(n) <= HOT_ROWS).drop(n), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def marked(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that are kept. decided: doc_id, digest, kept for each row of docs.
+
+    Only keys of rows that go are joined to docs, so that texts stay where they are while these keys are few enough to
+    be broadcast. Of rows equal in doc_id and text, as many stay as are kept (one at most).
+    """
+    key = [F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")]
+    per = decided.groupBy(*key).agg(F.count("*").alias("_gone_rows"), F.count_if("kept").alias("_gone_kept"))
+    gone = written(per.where("_gone_kept < _gone_rows").drop("_gone_rows"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    keyed = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (digest() == F.col("_gone_digest")), "left")
+    stay = keyed.where(F.col("_gone_kept").isNull()).select(*docs.columns)
+    one = keyed.where("_gone_kept > 0").dropDuplicates(["_gone_id", "_gone_digest"]).select(*docs.columns)
+    return stay.unionByName(one)

@@ -11,12 +11,17 @@ Words are runs of characters other than white space, case and signs kept. A text
 of all of them; a text without words (null ones too) has no links and is a class of its own. Repeated rows and equal
 texts are linked to each other. class_id is the least doc_id of the connected rows (null only if all are null),
 kept marks one row of each class, that of the least doc_id. n_links counts the other rows at 0.8 or more, copies
-included. An empty table gives no rows. Columns other than doc_id and text are not read.
+included. An empty table gives no rows. Columns other than doc_id and text are not read. Very long texts are shingled
+whole. Shingles are compared by 64-bit hashes, and sets that agree in a 128-bit digest of their sorted hashes are equal.
+
+Links are counted exactly, so the work of one candidate group grows with the square of its different texts; its pairs
+of blocks are tasks of their own, each with two blocks of texts, and the texts of a group of b blocks are sent b times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, written
+from .base import digest, joined_by, marked, table, written
 from .components import components
 from .shingles import in_blocks, mix, shingle_sets
 
@@ -34,9 +39,11 @@ BANDS, ROWS = 36, 6
 #: Jaccard similarity of at least 4/5.
 LEAST = (4, 5)
 #: Members and shingles of a block of a candidate group.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
-#: Candidates are broadcast to the documents' scan up to this many rows (under 100 bytes each), else both are shuffled.
-BROADCAST_ROWS = 200_000
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
+#: Candidates are broadcast to the documents' scan up to this many bytes, else both are shuffled.
+BROADCAST_BYTES = 16_000_000
+#: Bytes of a candidate row: its bands and eight numbers, and four bytes for each block that it meets.
+ROW_BYTES = 8 * (BANDS + 8)
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -62,10 +69,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             for part in in_blocks(texts):
                 grams, ends = shingle_sets(texts[part])
                 n, some = np.diff(ends), np.diff(ends) > 0
-                sets = np.zeros((2, len(n)), np.uint64)
-                for k in range(2):
-                    if some.any():
-                        sets[k, some] = np.add.reduceat(mix(grams + _FACTORS[k]), ends[:-1][some])
+                sets = np.frombuffer(b"".join(blake2b(grams[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)), np.int64).reshape(-1, 2)
                 found = np.zeros((len(n), BANDS), np.uint64)
                 found[some] = bands(grams, ends)
                 yield pa.RecordBatch.from_arrays(
@@ -74,14 +78,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                         batch.column(1).slice(part.start, len(n)),
                         batch.column(2).slice(part.start, len(n)),
                         pa.array(n.astype(np.int64)),
-                        pa.array(sets[0].view(np.int64)),
-                        pa.array(sets[1].view(np.int64)),
+                        pa.array(sets[:, 0]),
+                        pa.array(sets[:, 1]),
                         pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, found.view(np.int64).ravel()),
                     ],
                     ["row", "doc_id", "digest", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), digest().alias("digest"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
@@ -130,20 +134,19 @@ def verify_blocks(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[
 def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
     """row, links, root: for each pair of blocks in which a row has links.
 
-    members: row, doc_id, set_a, set_b, copies, bands, n_shingles, root.
+    members: row, doc_id, digest, copies, bands, n_shingles, root.
     """
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES)).cast("int"))
-    members = members.join(sizes.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES)).cast("int")).drop("s")
+    members = joined_by(members, written(sizes, "ngram-sizes"), ["root"], "n").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     members = written(members, "ngram-members")
-    n = members.count()
+    n, n_bytes = members.agg(F.count("*"), F.sum(ROW_BYTES + 4 * F.col("blocks"))).first()
     # Small groups are verified many to a task's data frame; each pair of blocks of a large one has a data frame of its own.
     dealt = max(1, n // 500)
     keyed = members.select(
         "row",
         "doc_id",
-        "set_a",
-        "set_b",
+        "digest",
         "copies",
         "bands",
         "root",
@@ -153,21 +156,19 @@ def verified(docs: DataFrame, members: DataFrame) -> DataFrame:
         .alias("others"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(dealt))).otherwise(F.col("root")).alias("deal"),
     )
-    if n <= BROADCAST_ROWS:
+    if (n_bytes or 0) <= BROADCAST_BYTES:
         keyed = F.broadcast(keyed)
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    found = texts.join(keyed, texts.doc_id.eqNullSafe(keyed.doc_id)).drop("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("of_id"), digest().alias("of_digest"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    found = texts.join(keyed, F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_digest") == F.col("digest")))
     found = found.withColumn("other", F.explode("others")).select(
-        "row", "root", "copies", "bands", "text", "block", "set_a", "set_b", "deal", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        "row", "root", "copies", "bands", "text", "block", "deal", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in group.groupby("root"):
-            # Of rows that share a doc_id, the text is the one whose shingles have the member's hash.
-            grams, ends = shingle_sets(part.text.to_list())
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams + _FACTORS[0]), dtype=np.uint64)])
-            part = part[(sums[ends[1:]] - sums[ends[:-1]]).view(np.int64) == part.set_a.to_numpy()].drop_duplicates("row").sort_values("row")
+            # Equal rows are members once.
+            part = part.drop_duplicates("row").sort_values("row")
             low = part.block == part.low
             same = part.low.eq(part.high).all()
             out += verify_blocks(part, None) if same else verify_blocks(part[low], part[~low])
@@ -183,15 +184,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of docs of each class, with all its columns."""
-    stay = _decided(docs).where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("digest").alias("_stay_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.xxhash64("text") == F.col("_stay_digest"))
-    return docs.join(stay, same).dropDuplicates(["_stay_id", "_stay_digest"]).select(*docs.columns)
+    return marked(docs, _decided(docs))
 
 
 def _decided(docs: DataFrame) -> DataFrame:
     signed = written(signatures(docs), "ngram-signatures")
     key = ["set_a", "set_b", "n_shingles"]
-    equal = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("head"), F.count("*").alias("copies"))
+    some = F.col("n_shingles") > 0
+    equal = signed.where(some).groupBy(*key).agg(F.min("row").alias("head"), F.count("*").alias("copies"))
     equal = written(equal, "ngram-classes")
     classes = signed.join(equal.select(F.col("head").alias("row"), "copies"), "row")
     groups = candidate_groups(classes.select("row", "bands"))
@@ -199,12 +199,15 @@ def _decided(docs: DataFrame) -> DataFrame:
     joined = components(links.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("row", "head")
     counts = links.groupBy(F.col("row").alias("head")).agg(F.sum("links").alias("links"))
     heads = equal.join(joined, "head", "left").join(counts, "head", "left")
-    heads = heads.select(*key, F.coalesce("root", "head").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = signed.select("row", "doc_id", "digest", *key).join(heads, key, "left")
-    rows = written(rows.select("row", "doc_id", "digest", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "ngram-rows")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    first = rows.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("row").alias("kept_row"))
-    return rows.join(least.join(first, "root"), "root").select("doc_id", "class_id", "n_links", (F.col("row") == F.col("kept_row")).alias("kept"), "digest")
+    heads = heads.select(*key, F.coalesce("root", "head").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    small = ["row", "doc_id", "digest"]
+    rows = joined_by(signed.where(some).select(*small, *key), written(heads, "ngram-heads"), key, "copies").select(*small, "root", "n_links")
+    rows = written(rows.unionByName(signed.where(~some).select(*small, F.col("row").alias("root"), F.lit(0).cast("long").alias("n_links"))), "ngram-rows")
+    # The least doc_id of each class, and of its rows with that doc_id the first.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    kept = rows.groupBy("root").agg(first.alias("first"), F.count("*").alias("n")).select("root", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("kept_row"), "n")
+    every = joined_by(rows, written(kept, "ngram-kept"), ["root"], "n")
+    return every.select("doc_id", "class_id", "n_links", (F.col("row") == F.col("kept_row")).alias("kept"), "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

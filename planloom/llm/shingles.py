@@ -10,7 +10,7 @@ import numpy as np
 WORDS_A_SHINGLE = 5
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 #: Bytes of text that are hashed together (or one text).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

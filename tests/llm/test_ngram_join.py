@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
+from planloom.llm import base as shared
 from planloom.llm import ngram_join
 from planloom.llm.components import components
 from planloom.llm.shingles import shingle_sets
@@ -67,10 +68,12 @@ def test_whole_table(spark):
     assert sum(r.kept for r in rows) == len({r.class_id for r in rows})
 
 
-@pytest.mark.parametrize("block, broadcast", [(2048, 200_000), (5, 0)])
+@pytest.mark.parametrize("block, broadcast", [(2048, 16_000_000), (5, 0)])
 def test_near_copies_in_one_and_many_blocks(spark, monkeypatch, block, broadcast):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3 if not broadcast else 10_000)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     rows = []
     for base in range(4):
@@ -82,7 +85,10 @@ def test_near_copies_in_one_and_many_blocks(spark, monkeypatch, block, broadcast
             rows.append((base * 100 + copy, " ".join(changed)))
     rows += [(900, None), (901, ""), (902, "one two"), (903, "one\ttwo "), (None, "one two"), (904, " \n"), (905, "one two three four five"), (905, "one two three four five")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "'x' AS bands").repartition(3)
-    assert got(ngram_join.near_duplicates(docs)) == brute_force(rows)
+    want = brute_force(rows)
+    assert got(ngram_join.near_duplicates(docs)) == want
+    stay = Counter(r.doc_id for r in ngram_join.one_of_each(docs).collect())
+    assert stay == Counter({c for _, c, _ in want if c is not None})
 
 
 def test_empty_table(spark):
