@@ -12,7 +12,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from planloom.llm import chat, exact_dedup, mixing, ngram_join, packing, personal_data, pieces, quality, suffix_dedup, top_k
+from planloom.llm import base, chat, exact_dedup, mixing, ngram_join, packing, personal_data, pieces, quality, suffix_dedup, top_k
 
 SPACE = re.compile("[\x20\x09-\x0d]")
 
@@ -31,8 +31,11 @@ def sha(data):
 
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_exact_dedup_cases(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", broadcast)
-    rows = [(5, "a b", "s"), (3, "ab", "s"), (4, "a b", "s"), (9, "a\tb", "s"), (9, "a\tb", "s"), (1, None, "s"), (2, "", None), (7, " \n", "s"), (None, "zz", "s"), (8, "é ", "s")]
+    for module in (exact_dedup, base):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(base, "HOT_ROWS", 2 if not broadcast else 10_000)
+    least = -(2**63)
+    rows = [(least, "q r", "s"), (least + 1, "qr ", "s"), (5, "a b", "s"), (3, "ab", "s"), (4, "a b", "s"), (9, "a\tb", "s"), (9, "a\tb", "s"), (1, None, "s"), (2, "", None), (7, " \n", "s"), (None, "zz", "s"), (8, "é ", "s")]
     got = exact_dedup.exact_duplicates(docs_of(spark, rows), capacity=1).collect()
     groups = {}
     for doc_id, text, _ in rows:
@@ -42,14 +45,34 @@ def test_exact_dedup_cases(spark, monkeypatch, broadcast):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     assert sum(r.kept for r in got) == len(groups)
     stay = exact_dedup.deduplicated(docs_of(spark, rows)).collect()
-    assert len(stay) == len(groups) and "source" in stay[0].asDict()
+    assert Counter((r.doc_id, SPACE.sub("", r.text or "")) for r in stay) == Counter((min(m)[2], n) for n, m in groups.items())
+    assert "source" in stay[0].asDict()
     assert exact_dedup.exact_duplicates(docs_of(spark, [])).collect() == []
 
 
-def test_directory_doubling():
-    slots = exact_dedup.split_buckets({0: 5, 1: 5, 6: 9}, 6, 3)
-    assert sorted(s for s, _, _ in slots) == list(range(8))
-    assert {s: (d, f) for s, d, f in slots} == {0: (3, 0), 1: (3, 1), 2: (2, 2), 3: (2, 2), 4: (2, 4), 5: (2, 4), 6: (3, 6), 7: (3, 7)}
+def test_directory_doubling(spark):
+    """Overfull buckets are split, others keep their depth; slots of one bucket name the same first slot."""
+    keys = [k << 61 for k in range(4)] * 1 + [(1 << 61) + k for k in range(1, 9)]
+    slots, depth = exact_dedup.directory(spark.createDataFrame([(k,) for k in keys], "key long"), capacity=3)
+    got = {r.slot: (r.bucket, r.depth) for r in slots.collect()}
+    buckets = {}
+    for k in keys:
+        slot = k >> (64 - depth)
+        bucket, own = got[slot]
+        assert bucket >> (depth - own) << (depth - own) == bucket and slot >> (depth - own) == bucket >> (depth - own)
+        buckets.setdefault((bucket, own), set()).add(k)
+    assert max(map(len, buckets.values())) <= 3 and depth > 60
+    for (bucket, own), held in buckets.items():  # the bucket that this one was split from was over its capacity
+        parent = depth - own + 1
+        assert own == 0 or sum(k >> (64 - depth) >> parent == bucket >> parent for k in keys) > 3
+
+
+def test_texts_of_one_key_are_told_apart(spark, monkeypatch):
+    """With a key that all texts share, one bucket has one chain of all texts."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    rows = [(1, "a", "s"), (2, "b", "s"), (3, "a ", "s"), (4, "c", "s")]
+    got = exact_dedup.exact_duplicates(docs_of(spark, rows), capacity=1).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True)}
 
 
 # ---- mixing
