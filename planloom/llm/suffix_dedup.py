@@ -5,61 +5,68 @@ window of LENGTH bytes has an anchor, the GRAM-byte string of least hash in it (
 windows have equal anchors at equal places. So a window can only be repeated if its anchor is. Windows with one anchor
 next to each other form a slice of text:
 
-* a slice that occurs twice is repeated whole, which counts of slice hashes show;
-* of an anchor's different slices, one of each kind goes to the suffix orders below;
-* an anchor with one slice that occurs once has no repeated window.
-
-The slices are dealt to tasks by anchor, and there cut into shards. Each shard gets its suffix order (the order of its
-Burrows-Wheeler transform) by the suffixes' first WORD bytes. The shards' orders merge as sorted runs; then the merged
-interleave is refined: suffixes whose interval (equal common prefix of h bytes) holds several are ordered by the
-interval of what follows these h bytes, which doubles h, until h is LENGTH. Suffixes alone in an interval are never
-sorted again; the intervals that are left are the strings of LENGTH bytes that occur more than once.
-
-Refining symbol by symbol would need LENGTH passes over the interleave; doubling needs six and gives the same
-intervals. Anchors with more than HOT different slices are settled by 128-bit hashes of their windows instead, dealt by
-hash, so that no anchor makes a task large.
-
-Null texts count as empty. Rows with equal doc_id and text are occurrences of their own and get equal results. Texts
-shorter than LENGTH have nothing removed. An empty table gives no rows. Columns other than doc_id and text are not read.
+* slices of one anchor that agree in a 128-bit digest (BLAKE2) of their bytes are copies, so all of their windows are
+  repeated; one of each kind goes on;
+* an anchor with one kind that occurs once has no repeated window, and one without a kind that occurs once is settled;
+* the kinds of the other anchors are dealt to tasks by anchor, and their bytes decide.
+
+A task deals its slices to shards and builds each shard's transform: the order of the shard's suffixes, the STEP bytes
+before each of them, and which suffixes share LENGTH bytes within the shard. The shards' orders are then interleaved by
+the transforms alone: a pass moves every suffix of the interleave, in its order, to the place that the bytes before it
+give, which is right for STEP more bytes; no suffixes are compared or sorted again. Neighbours that a pass parts have
+fewer common bytes than the passes have covered, the others at least as many, so the intervals left after LENGTH bytes
+are the strings that occur more than once. Intervals of a single suffix, or of one shard, drop out on the way, as the
+shards' own prefixes have settled them; once nothing is left the interleave is at its fixed point.
+
+An anchor with more than TASK_WINDOWS windows is dealt out further, whatever its slices: its windows are cut by the place
+of the anchor in them, WIDTHS[0] places at a time, then WIDTHS[1] and so on, and dealt by the bytes that all windows of
+such a cut have in common. At one place these are the window itself, so no key makes a task large, and cuts that are
+copies count as above.
+
+Null texts count as empty. Rows with equal doc_id and text are occurrences of their own and get equal results, worked
+out once. Texts shorter than LENGTH have nothing removed; very long texts are sliced like others. An empty table gives
+no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, written
+from .base import digest, joined_by, table, written
 from .shingles import in_blocks, mix, powers
 
-LENGTH, GRAM, WORD = 200, 32, 8
-#: Different slices of an anchor beyond which its windows are dealt by hash.
-HOT = 400
-#: Bytes of slices in a task's group, and of a shard.
-GROUP_BYTES, SHARD_BYTES = 4_000_000, 262_144
+LENGTH, GRAM, STEP = 200, 32, 8
+#: Windows in a task's group, and bytes of a shard.
+TASK_WINDOWS, SHARD_BYTES = 60_000, 32_768
+#: Places of the anchor in a cut of a large anchor's windows, from cut to cut.
+WIDTHS = (32, 8, 1)
 #: Repeated anchors are broadcast up to this many (8 bytes each), and joined by a shuffle beyond it.
-BROADCAST_ANCHORS = 2_000_000
+BROADCAST_ANCHORS = 1_000_000
 
 
-def rolling(data: np.ndarray, n: int, starts: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
-    """Hashes of the n bytes from each position (or from each of starts) on; n may be an array beside starts."""
+def rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n bytes from each position on."""
     up, down = powers(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mix(np.arange(salt, salt + 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))[data] * up[: len(data)], dtype=np.uint64)])
-    if starts is None:
-        starts = np.arange(max(0, len(data) - n + 1))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[data] * up[: len(data)], dtype=np.uint64)])
+    starts = np.arange(max(0, len(data) - n + 1))
     return mix((sums[starts + n] - sums[starts]) * down[starts])
 
 
 def slices(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, slice hash, first, last): for each anchor the range of starts of the windows that have it.
+    """(text, anchor hash, place of the anchor, first, last): for each anchor the range of starts of the windows that have it.
 
-    text: its number; first and last count from the text's start.
+    text: its number; the places count from the text's start.
     """
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, dtype=np.uint8)
     none = np.zeros(0, np.int64)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -74,82 +81,125 @@ def slices(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         least = np.minimum(least[: len(least) - by], least[by:])
         step += by
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    text_of = np.repeat(np.arange(len(texts)), np.maximum(sizes - LENGTH + 1, 0))
-    start = np.arange(len(text_of)) - np.repeat(np.cumsum(np.maximum(sizes - LENGTH + 1, 0)) - np.maximum(sizes - LENGTH + 1, 0), np.maximum(sizes - LENGTH + 1, 0)) + begin[text_of]
+    windows = np.maximum(sizes - LENGTH + 1, 0)
+    text_of = np.repeat(np.arange(len(texts)), windows)
+    start = np.arange(len(text_of)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[text_of]
     anchor = anchor[start]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text_of[1:] != text_of[:-1])])
     first, at = start[new], np.flatnonzero(new)
     last = start[np.concatenate([at[1:], [len(start)]]) - 1]
-    owner = text_of[new]
-    whole = rolling(data, last - first + LENGTH, first, salt=256)
-    return owner, grams[anchor[new]].view(np.int64), whole.view(np.int64), first - begin[owner], last - begin[owner]
+    owner, anchor = text_of[new], anchor[new]
+    return owner, grams[anchor].view(np.int64), anchor - begin[owner], first - begin[owner], last - begin[owner]
 
 
-def text_key() -> list:
+def digests(parts: list[bytes]) -> np.ndarray:
+    """A row of two numbers for each part: a 128-bit digest."""
+    return np.frombuffer(b"".join(blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
+
+
+def text_key() -> list[Column]:
     """doc_id and a hash of the text tell texts apart; rows that agree in both have the same bytes removed."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")]
+    return [F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")]
+
+
+SLICE = "anchor long, kind_a long, kind_b long, doc_id long, digest long, place int, first int, last int"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """anchor, whole, doc_id, digest, first, last: a row for each slice."""
+    """A row of SLICE for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for part in in_blocks(texts):
-                owner, anchor, whole, first, last = slices(texts[part])
+                owner, anchor, place, first, last = slices(texts[part])
+                kinds = digests([texts[part.start + t][a : b + LENGTH] for t, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)])
                 rows = pa.array(owner + part.start)
-                columns = [pa.array(anchor), pa.array(whole), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "whole", "doc_id", "digest", "first", "last"])
+                numbers = [pa.array(x.astype(np.int32)) for x in (place, first, last)]
+                columns = [pa.array(anchor), pa.array(kinds[:, 0]), pa.array(kinds[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), *numbers]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "kind_a", "kind_b", "doc_id", "digest", "place", "first", "last"])
 
-    return docs.select(*text_key()).mapInArrow(run, "anchor long, whole long, doc_id long, digest long, first int, last int")
+    return docs.select(*text_key()).mapInArrow(run, SLICE)
 
 
-def repeated_starts(pieces: list[bytes]) -> list[np.ndarray]:
-    """For each piece, whether the LENGTH bytes from each position on occur more than once in all pieces."""
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    room = np.repeat(ends, sizes) - np.arange(len(data))  # bytes from each position to the end of its piece
-    padded = np.concatenate([data, np.zeros(WORD, np.uint8)]).astype(np.uint64)
-    words = np.zeros(len(data), np.uint64)
-    for k in range(WORD):
-        words = (words << np.uint64(8)) | padded[k : k + len(data)]
-    # Each shard's suffix order by its first WORD bytes; then the shards' sorted runs merge (a stable sort merges runs).
-    open_ = np.flatnonzero(room >= WORD)
-    cuts = np.searchsorted(open_, np.arange(0, len(data) + SHARD_BYTES, SHARD_BYTES))
-    runs = [open_[a:b][np.argsort(words[open_[a:b]], kind="stable")] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    order = np.concatenate(runs) if runs else open_
-    order = order[np.argsort(words[order], kind="stable")]
-    interval = np.full(len(data), -1, np.int64)  # by position: the first place of its interval in the interleave
-    shared = np.zeros(len(data), bool)
-
-    def name(order: np.ndarray, place: np.ndarray, new: np.ndarray) -> None:
-        """new: where an interval begins in order; place: each one's place in the whole interleave."""
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        interval[order] = place[head]
-        single = new & np.concatenate([new[1:], [True]]) if len(new) else new
-        shared[order] = ~single
-
-    keys = words[order]
-    name(order, np.arange(len(order)), np.concatenate([[True], keys[1:] != keys[:-1]]) if len(order) else np.zeros(0, bool))
-    place = np.arange(len(order))
-    depth = WORD
+def shard_order(at: np.ndarray, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common) of a shard's suffixes, those at `at` in all the text: their order by the first LENGTH bytes, and
+    which of them share LENGTH bytes with another one of the shard.
+
+    codes: ranks of the STEP bytes from each position on; room: bytes to the end of its slice.
+    """
+    place = np.full(int(at[-1]) + LENGTH + 1 - int(at[0]) if len(at) else 0, -1, np.int64)  # by position: its interval's first place
+    base = int(at[0]) if len(at) else 0
+    order = at[np.argsort(codes[at], kind="stable")]
+    keys = codes[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(order) else np.zeros(0, bool)
+    spots = np.arange(len(order))
+    place[order - base] = np.maximum.accumulate(np.where(new, spots, 0))
+    common, depth = np.zeros(0, np.int64), STEP
     while depth < LENGTH:
         step = min(depth, LENGTH - depth)
-        keep = shared[order]
-        order, place = order[keep], place[keep]
-        long_enough = room[order] >= depth + step
-        shared[order[~long_enough]] = False  # too near to their piece's end for a window
-        order, place = order[long_enough], place[long_enough]
-        mine, after = interval[order], interval[order + step]
-        by = np.lexsort((after, mine))  # within the intervals: they are in order already
-        order, mine, after = order[by], mine[by], after[by]
-        name(order, place, np.concatenate([[True], (mine[1:] != mine[:-1]) | (after[1:] != after[:-1])]) if len(order) else np.zeros(0, bool))
+        tied = ~(new & np.concatenate([new[1:], [True]])) if len(new) else new
+        spots = spots[tied]
+        some = order[spots]
+        if not len(some):
+            break
+        mine = place[some - base]
+        after = np.where(room[some] >= depth + step, place[np.minimum(some + step - base, len(place) - 1)], -1 - some)  # ends are like nothing else
+        by = np.lexsort((after, mine))
+        some, mine, after = some[by], mine[by], after[by]
+        order[spots] = some
+        new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (after[1:] != after[:-1])])
+        place[some - base] = spots[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
         depth += step
-    shared &= room >= LENGTH
-    return np.split(shared, ends[:-1]) if len(pieces) else []
+    else:
+        tied = ~(new & np.concatenate([new[1:], [True]])) if len(new) else new
+        common = order[spots[tied]]
+        common = common[room[common] >= LENGTH]
+    return order, common
+
+
+def repeated_starts(parts: list[bytes]) -> list[np.ndarray]:
+    """For each part, whether the LENGTH bytes from each position on occur more than once in all parts."""
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    part_of = np.repeat(np.arange(len(parts)), sizes)
+    room = ends[part_of] - np.arange(len(data))  # bytes from each position to the end of its part
+    inside = sizes[part_of] - room
+    padded = np.concatenate([data, np.zeros(STEP, np.uint8)]).astype(np.uint64)
+    words = np.zeros(len(data), np.uint64)
+    for k in range(STEP):
+        words = (words << np.uint64(8)) | padded[k : k + len(data)]
+    distinct, codes = np.unique(words, return_inverse=True)
+    codes = codes.astype(np.uint16 if len(distinct) <= 2**16 else np.int64)  # 16 bits: a pass is a distribution
+    shards = max(1, -(-len(data) // SHARD_BYTES))
+    shard_of = (part_of % shards).astype(np.int32)  # parts of one anchor are neighbours, and go to different shards
+    repeated = np.zeros(len(data), bool)
+    orders = []
+    for shard in range(shards):
+        order, common = shard_order(np.flatnonzero((shard_of == shard) & (room >= STEP)), codes, room)
+        repeated[common] = True
+        orders.append(order)
+    # The interleave holds, at `covered` bytes, the suffixes from which a window's start is LENGTH - covered bytes away.
+    z = np.concatenate(orders) if orders else np.zeros(0, np.int64)
+    z = z[inside[z] >= LENGTH - STEP]
+    block, covered = np.zeros(len(z), np.int64), 0
+    while covered < LENGTH and len(z):
+        before = codes[z if not covered else z - STEP]
+        moved = np.argsort(before, kind="stable")
+        z = (z if not covered else z - STEP)[moved]
+        before, block = before[moved], block[moved]
+        covered += STEP
+        new = np.concatenate([[True], (before[1:] != before[:-1]) | (block[1:] != block[:-1])])
+        owner = shard_of[z]
+        parted = np.concatenate([[False], owner[1:] != owner[:-1]]) & ~new  # two shards meet in one interval
+        heads = np.flatnonzero(new)
+        mixed = np.logical_or.reduceat(parted, heads)
+        block = np.cumsum(new) - 1
+        keep = mixed[block]
+        z, block = z[keep], block[keep]
+    repeated[z] = True
+    return np.split(repeated, ends[:-1]) if len(parts) else []
 
 
 def ranges(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -161,112 +211,110 @@ def ranges(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 FOUND = "doc_id long, digest long, first int, last int"
+#: A slice with its bytes. place: of the anchor, from the slice's start; single: whether the slice's kind occurs once.
+PIECE = "anchor long, doc_id long, digest long, place int, first int, single boolean, piece binary"
 
 
-def settle_by_suffixes(cut: DataFrame, groups: int) -> DataFrame:
-    """Repeated ranges of window starts in slices (anchor, doc_id, digest, first, piece) that share a task by anchor."""
+def settled(pieces: DataFrame, groups: int) -> DataFrame:
+    """Repeated ranges of window starts in the single ones of pieces that share an anchor."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("anchor")
         found = repeated_starts(group.piece.to_list())
         rows = [
-            (doc_id, digest, first + a, first + b)
-            for doc_id, digest, first, starts in zip(group.doc_id, group.digest, group["first"], found, strict=True)
+            (doc_id, digest_, first + a, first + b)
+            for doc_id, digest_, first, single, starts in zip(group.doc_id, group.digest, group["first"], group.single, found, strict=True)
+            if single
             for a, b in ranges(np.flatnonzero(starts))
         ]
         return pd.DataFrame(rows, columns=["doc_id", "digest", "first", "last"]).astype({"doc_id": "Int64", "digest": "int64", "first": "int32", "last": "int32"})
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(run, FOUND)
 
 
-#: A window in packed form: two hashes, its text, its start; known is false for a null doc_id.
-WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc_id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("known", "?")])
-PACKED = "group long, rows binary"
-
+def cut_finer(pieces: DataFrame, width: int) -> DataFrame:
+    """The pieces' windows by `width` places of the anchor in them: PIECE, and kind_a, kind_b of the bytes.
 
-def pack_rows(rows: np.ndarray, key: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
-    """(groups, bytes): rows dealt to groups by their key, a value of bytes for each group."""
-    group = (key % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    rows, group = rows[order], group[order]
-    if not len(group):
-        return [], []
-    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    return group[at].tolist(), [rows[a:b].tobytes() for a, b in zip(at, [*at[1:], len(rows)], strict=True)]
-
-
-def settle_by_hashes(cut: DataFrame, groups: int) -> DataFrame:
-    """The same for anchors with very many slices: windows are dealt by their hash, and repeated ones back by their text."""
+    anchor is now a hash of the anchor, of the places, and of the bytes that all windows with these places share.
+    """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = batch.column("piece").to_pylist()
-            for part in in_blocks(pieces):
-                data = np.frombuffer(b"".join(pieces[part]), dtype=np.uint8)
-                sizes = np.array([len(p) for p in pieces[part]], dtype=np.int64)
-                n = sizes - LENGTH + 1
-                owner = np.repeat(np.arange(len(n)), n)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                starts = inside + (np.cumsum(sizes) - sizes)[owner]
-                rows = np.zeros(len(owner), WINDOW)
-                rows["a"], rows["b"] = rolling(data, LENGTH, starts), rolling(data, LENGTH, starts, salt=256)
-                doc_id, digest, first = (batch.column(name).slice(part.start, len(n)) for name in ("doc_id", "digest", "first"))
-                rows["doc_id"], rows["known"] = doc_id.fill_null(0).to_numpy()[owner], doc_id.is_valid().to_numpy(zero_copy_only=False)[owner]
-                rows["digest"], rows["start"] = digest.to_numpy()[owner], inside + first.to_numpy()[owner]
-                group, packed = pack_rows(rows, rows["a"], groups)
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(packed, pa.binary())], ["group", "rows"])
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(group.rows), dtype=WINDOW)
-        rows = rows[np.lexsort((rows["b"], rows["a"]))]
-        same = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
-        rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        back, packed = pack_rows(rows, mix(rows["digest"].astype(np.uint64)), groups)
-        return pd.DataFrame({"group": pd.Series(back, dtype="int64"), "rows": packed})
-
-    def join_runs(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(group.rows), dtype=WINDOW)
-        rows = rows[np.lexsort((rows["start"], rows["digest"], rows["doc_id"], rows["known"]))]
-        on = np.concatenate([[False], np.all([rows[c][1:] == rows[c][:-1] for c in ("known", "doc_id", "digest")], axis=0) & (np.diff(rows["start"]) <= 1)])
-        head = np.flatnonzero(~on)
-        first, last = rows[head], rows[np.concatenate([head[1:], [len(rows)]]) - 1]
-        out = pd.DataFrame({"doc_id": first["doc_id"], "digest": first["digest"], "first": first["start"], "last": last["start"]})
-        out["doc_id"] = out["doc_id"].astype("Int64").where(first["known"], pd.NA)
-        return out
-
-    dealt = cut.select("doc_id", "digest", "first", "piece").mapInArrow(deal, PACKED)
-    return dealt.groupBy("group").applyInPandas(settle, PACKED).groupBy("group").applyInPandas(join_runs, FOUND)
+            anchor, place, piece, first = (batch.column(n).to_pylist() for n in ("anchor", "place", "piece", "first"))
+            rows, out = [], [[] for _ in range(4)]
+            for k, (key, at, text, start) in enumerate(zip(anchor, place, piece, first, strict=True)):
+                for cut in range(max(0, at - (len(text) - LENGTH)) // width, at // width + 1):
+                    low, high = max(0, at - cut * width - width + 1), min(len(text) - LENGTH, at - cut * width)
+                    shared = text[at - cut * width : at - cut * width + LENGTH - width + 1]
+                    name = blake2b(b"%d:%d:%d:" % (key, width, cut) + shared, digest_size=8).digest()
+                    rows.append(k)
+                    for column, value in zip(out, (int.from_bytes(name, "little", signed=True), at - low, start + low, text[low : high + LENGTH]), strict=True):
+                        column.append(value)
+            kinds = digests(out[3])
+            taken = [batch.column(n).take(pa.array(rows, pa.int64())) for n in ("doc_id", "digest", "single")]
+            columns = [pa.array(out[0], pa.int64()), taken[0], taken[1], pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), taken[2], pa.array(out[3], pa.binary()), pa.array(kinds[:, 0]), pa.array(kinds[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "digest", "place", "first", "single", "piece", "kind_a", "kind_b"])
+
+    return pieces.select("anchor", "doc_id", "digest", "place", "first", "single", "piece").mapInArrow(run, PIECE + ", kind_a long, kind_b long")
+
+
+def in_large_anchors(pieces: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(repeated ranges of copies among the finer cuts; the kinds that are left to settle): see cut_finer."""
+    key = ["anchor", "kind_a", "kind_b"]
+    cut = written(cut_finer(pieces, width), "suffix-finer")
+    last = F.col("first") + F.length("piece") - LENGTH
+    kinds = cut.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "first")).alias("one"))
+    kinds = written(kinds, "suffix-finer-kinds")
+    copies = joined_by(cut.where("single").select(*key, "doc_id", "digest", "first", last.alias("last")), kinds.where("n > 1").select(*key, "n"), key, "n")
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1")
+    one = kinds.join(several.select("anchor"), "anchor", "left_semi").select(*(F.col(c).alias(f"_{c}") for c in key), "n", F.col("one.doc_id").alias("_id"), F.col("one.digest").alias("_digest"), F.col("one.first").alias("_first"))
+    same = [F.col(c) == F.col(f"_{c}") for c in (*key, "digest", "first")] + [F.col("doc_id").eqNullSafe(F.col("_id"))]
+    rest = cut.join(one, reduce(lambda a, b: a & b, same)).dropDuplicates(key).withColumn("single", F.col("single") & (F.col("n") == 1))
+    return copies.select("doc_id", "digest", "first", "last"), rest.select("anchor", "doc_id", "digest", "place", "first", "single", "piece")
 
 
 def cut_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (anchor, hot, doc_id, digest, first, last) with each slice's bytes as piece."""
-    by_text = wanted.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.collect_list(F.struct("anchor", "hot", "first", "last")).alias("wanted"))
-    texts = docs.select(*text_key())
+    """wanted (anchor, single, doc_id, digest, place, first, last) with each slice's bytes: PIECE."""
+    by_text = wanted.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.collect_set(F.struct("anchor", "single", "place", "first", "last")).alias("wanted"))
+    # Rows that are equal have one text.
+    texts = docs.select(*text_key()).where(F.length("text") >= LENGTH)
     joined = texts.join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
     each = joined.select("doc_id", "digest", "text", F.explode("wanted").alias("w"))
     piece = F.substring(F.col("text"), F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + LENGTH)
-    return each.select("w.anchor", "w.hot", "doc_id", "digest", "w.first", piece.alias("piece"))
+    return each.select("w.anchor", "doc_id", "digest", (F.col("w.place") - F.col("w.first")).alias("place"), "w.first", "w.single", piece.alias("piece"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, first, last: ranges of starts of windows that occur more than once."""
+    """doc_id, digest, first, last: ranges of starts of windows that occur more than once; ranges can repeat."""
+    key = ["anchor", "kind_a", "kind_b"]
     every = written(anchors(docs), "suffix-anchors")
     twice = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-repeated")
     if twice.count() <= BROADCAST_ANCHORS:
         twice = F.broadcast(twice)
     hits = written(every.join(twice, "anchor", "left_semi"), "suffix-hits")
-    kinds = hits.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "first", "last")).alias("one"))
+    kinds = hits.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "place", "first", "last")).alias("one"))
     kinds = written(kinds, "suffix-kinds")
-    copied = hits.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "digest", "first", "last")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(several, "anchor").select("anchor", (F.col("kinds") > HOT).alias("hot"), "one.*")
-    cut = written(cut_slices(docs, wanted), "suffix-slices")
-    sizes = {r.hot: r.size for r in cut.groupBy("hot").agg(F.sum(F.length("piece")).alias("size")).collect()}
-    groups = {hot: max(64, -(-(sizes.get(hot) or 0) // GROUP_BYTES)) for hot in (False, True)}
-    found = settle_by_suffixes(cut.where("not hot"), groups[False])
-    if sizes.get(True):
-        found = found.unionByName(settle_by_hashes(cut.where("hot"), groups[True]))
-    return copied.unionByName(found)
+    copied = joined_by(hits, kinds.where("n > 1").select(*key, "n"), key, "n").select("doc_id", "digest", "first", "last")
+    open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("kinds > 1 AND singles > 0")
+    wanted = kinds.join(open_.select("anchor"), "anchor", "left_semi").select("anchor", (F.col("n") == 1).alias("single"), "one.*")
+    pieces, found = written(cut_slices(docs, wanted), "suffix-slices"), [copied]
+    for width in (*WIDTHS, None):
+        sizes = pieces.groupBy("anchor").agg(F.sum(F.length("piece") - LENGTH + 1).alias("windows"), F.count_if("single").alias("singles"))
+        sizes = written(sizes.where("singles > 0").drop("singles"), "suffix-sizes")
+        total, large = sizes.agg(F.sum("windows"), F.count_if(F.col("windows") > TASK_WINDOWS)).first()
+        if not total:
+            break
+        # Large anchors are at most one in TASK_WINDOWS windows.
+        hot = F.broadcast(sizes.where(F.col("windows") > TASK_WINDOWS).select("anchor"))
+        small = pieces.join(hot, "anchor", "left_anti") if large else pieces
+        found.append(settled(small, max(64, -(-total // TASK_WINDOWS))))
+        if not large or width is None:
+            break
+        copies, pieces = in_large_anchors(pieces.join(hot, "anchor", "left_semi"), width)
+        found.append(copies)
+        pieces = written(pieces, "suffix-finer-slices")
+    return reduce(DataFrame.unionByName, found)
 
 
 def without(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, int]:
@@ -281,10 +329,9 @@ def without(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, in
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, text (what is left, as bytes), n_bytes, n_removed, n_spans."""
-    found = written(repeated_ranges(docs), "suffix-ranges")
-    by_text = found.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(
-        F.collect_list("first").alias("first"), F.collect_list("last").alias("last")
-    )
+    found = repeated_ranges(docs)
+    by_text = found.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.collect_set(F.struct("first", "last")).alias("r"))
+    by_text = written(by_text.select("d", "g", F.col("r.first").alias("first"), F.col("r.last").alias("last")), "suffix-ranges")
     joined = docs.select(*text_key()).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -342,10 +342,12 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot, broadcast", [(400, 2_000_000), (1, 0)])
-def test_suffix_dedup_cases(spark, monkeypatch, hot, broadcast):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("task, shard, broadcast", [(60_000, 32_768, 1_000_000), (120, 900, 0), (20, 100_000, 0)])
+def test_suffix_dedup_cases(spark, monkeypatch, task, shard, broadcast):
+    monkeypatch.setattr(suffix_dedup, "TASK_WINDOWS", task)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ANCHORS", broadcast)
+    monkeypatch.setattr(base, "HOT_ROWS", 2 if not broadcast else 10_000)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -360,15 +362,16 @@ def test_suffix_dedup_cases(spark, monkeypatch, hot, broadcast):
 
 
 @pytest.mark.parametrize("copies", [0, 2])
-def test_suffix_dedup_of_a_hot_phrase(spark, copies):
-    """A phrase too short for a window in more than HOT surroundings: hash groups without any repeated window."""
+def test_suffix_dedup_of_a_hot_phrase(spark, monkeypatch, copies):
+    """A phrase too short for a window, and one just long enough, in hundreds of surroundings: an anchor over the bound."""
     rng = random.Random(6)
     noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
-    phrase = noise(190)
-    texts = [noise(120) + phrase + noise(120) for _ in range(suffix_dedup.HOT + 100)]
+    monkeypatch.setattr(suffix_dedup, "TASK_WINDOWS", 3000)
+    phrase = noise(190 + 15 * copies)
+    texts = [noise(120) + phrase + noise(120) for _ in range(300)]
     texts += [noise(50) + texts[k][110:330] + noise(50) for k in range(copies)]
     owners = suffix_dedup.slices([t.encode() for t in texts])
-    assert max(Counter(owners[1].tolist()).values()) > suffix_dedup.HOT
+    assert max(Counter(owners[1].tolist()).values()) > 200
     rows = [(k, t, "s") for k, t in enumerate(texts)]
     got = suffix_dedup.remove_repeats(docs_of(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("h")).collect()
     want = [(r[0], *b) for r, b in zip(rows, brute_removed([t.encode() for t in texts]), strict=True)]
@@ -376,6 +379,27 @@ def test_suffix_dedup_of_a_hot_phrase(spark, copies):
     assert sum(r.n_removed for r in got) >= 400 * copies
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdef ") for _ in range(2500))
+    rows = [(1, text, "s")] * 4000 + [(2, text[:700] + "!" * 9, "s")]
+    got = Counter(map(tuple, suffix_dedup.remove_repeats(docs_of(spark, rows)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()))
+    assert got == Counter({(1, 2500, 2500, 1): 4000, (2, 709, 700, 1): 1})
+
+
+@pytest.mark.parametrize("shard", [300, 3000, 10**6])
+def test_merged_transforms_against_brute_force(monkeypatch, shard):
+    """Few letters and long repeats, within a shard and across: intervals of the interleave against counted windows."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    rng = random.Random(shard)
+    for _ in range(40):
+        stock = ["".join(rng.choice("ab") for _ in range(rng.choice([20, 230, 400]))) for _ in range(4)] + ["a" * 300]
+        parts = ["".join(rng.choice(stock)[rng.randrange(15) :] for _ in range(rng.randrange(1, 4))).encode() for _ in range(12)]
+        where = Counter(p[i : i + 200] for p in parts for i in range(len(p) - 199))
+        for part, found in zip(parts, suffix_dedup.repeated_starts(parts), strict=True):
+            assert found.tolist() == [where[part[i : i + 200]] > 1 and i + 200 <= len(part) for i in range(len(part))]
+
+
 # ---- n-gram join
 
 
