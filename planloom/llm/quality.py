@@ -1,14 +1,18 @@
 """Quality classifier (2) by compression: which of two zstandard dictionaries makes a text smaller.
 
-One dictionary is trained on texts labelled good, one on texts labelled bad. A text's features are the normalised
-difference of its two compressed sizes, over the whole text and at the least over its segments, and the normalised
-sizes themselves. A logistic regression with squares of these features, fitted on other labelled rows than the
-dictionaries, turns them into a probability of label 1. Only the fit is bounded: DICTIONARY_ROWS and CALIBRATION_ROWS
-labelled rows a class, the least by a hash of doc_id, of at most LONGEST characters. Every row's whole text is scored.
-
-Null texts count as empty; empty texts get the score that their features (of zero length) give. Rows with a null or
-other label than 0 and 1 are not learned from. If a class has no rows to learn from, every score is the share of
-label 1 (0.5 without labels). An empty table gives no rows. Columns besides doc_id and text are not read.
+One dictionary is trained on texts labelled good, one on texts labelled bad. All that a score knows of a text is the
+normalised difference (b - g) / (b + g) of its compressed sizes with the two, over the whole text, at the least over its
+segments and on their average. A logistic regression with squares of these differences, fitted on other labelled rows
+than the dictionaries, calibrates them to a probability of label 1. Neither length nor compressibility takes part.
+
+Only the fit is bounded: DICTIONARY_ROWS and CALIBRATION_ROWS labelled rows a class, the least by a hash of doc_id, of
+documents of at most LONGEST bytes, so the driver holds no more than 2 * DICTIONARY_ROWS * LONGEST bytes of texts;
+calibration rows are measured in tasks. Every row's whole text is scored, whatever its length.
+
+Null texts count as empty; empty texts get the score of their (equal) sizes. Rows with a null or other label than 0 and 1
+are not learned from, nor are doc_ids with both labels or without a document. Of repeated doc_ids each row is learned
+from. If a class has no rows to learn from, every score is the share of label 1 (0.5 without labels). An empty table
+gives no rows. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +26,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import table, written
 
 ORACLE_SQL = None
 
 ACCEPTED_FROM = 0.7
 HELD_OUT_FOLD, FOLDS = 2, 4
 DICTIONARY_ROWS, CALIBRATION_ROWS = 2000, 3000
-LONGEST = 200_000
+LONGEST = 20_000
 DICTIONARY_BYTES, SAMPLE_BYTES, SEGMENT_BYTES, LEVEL = 65_536, 2048, 512, 3
 RIDGE = 1.0
 
@@ -65,19 +69,21 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
 
+def segments(text: bytes) -> list[bytes]:
+    """Parts of SEGMENT_BYTES; what is left at the end is one of them if it is at least half as long, or alone."""
+    every = [text[at : at + SEGMENT_BYTES] for at in range(0, max(1, len(text)), SEGMENT_BYTES)]
+    return every[:-1] if len(every) > 1 and len(every[-1]) < SEGMENT_BYTES // 2 else every
+
+
 def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> list[float]:
-    def sizes(part: bytes) -> tuple[int, int]:
-        return len(good.compress(part)), len(bad.compress(part))
+    def difference(part: bytes) -> float:
+        a, b = len(good.compress(part)), len(bad.compress(part))
+        return (b - a) / (b + a)
 
-    whole_good, whole_bad = sizes(text)
-    difference, size = 1.0, 1.0
-    for at in range(0, max(1, len(text)), SEGMENT_BYTES):
-        part = text[at : at + SEGMENT_BYTES]
-        if at and len(part) < SEGMENT_BYTES // 2:  # a short last part says little; the whole text's sizes have it
-            continue
-        a, b = sizes(part)
-        difference, size = min(difference, (b - a) / (b + a)), min(size, a / (len(part) + 16))
-    return [(whole_bad - whole_good) / (whole_bad + whole_good), difference, whole_good / (len(text) + 64), size, (len(text) / 64 + 1) ** -0.5]
+    parts = segments(text)
+    each = [difference(part) for part in parts]
+    whole = each[0] if len(parts) == 1 and len(parts[0]) == len(text) else difference(text)
+    return [whole, min(each), sum(each) / len(each)]
 
 
 def design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -90,27 +96,40 @@ def probability(x: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a, -30, 30)))
 
 
+def _measured(text: Column, good: bytes, bad: bytes) -> Column:
+    @F.pandas_udf("array<double>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        packers = compressor(good), compressor(bad)
+        for texts in batches:
+            yield pd.Series([features(text.encode(), *packers) for text in texts], dtype=object)
+
+    return measured(F.coalesce(text, F.lit("")))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from at most 2 * (DICTIONARY_ROWS + CALIBRATION_ROWS) rows outside the held-out fold."""
-    known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).select("doc_id", "quality").distinct()
-    order = F.xxhash64("doc_id")
-    rows = DICTIONARY_ROWS + CALIBRATION_ROWS
-    chosen = None
-    for label in (0, 1):
-        part = known.where(F.col("quality") == label).orderBy(order, "doc_id").limit(rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
-    got = sorted(((r.doc_id, r.quality, r.text.encode()) for r in chosen.withColumn("o", order).orderBy("o", "doc_id", "text").drop("o").limit(2 * rows).collect()), key=lambda r: 0)
-    by_label = {label: [text for _, quality, text in got if quality == label] for label in (0, 1)}
-    if not all(by_label.values()):
-        return Model(b"", b"", (), (), (), len(by_label[1]) / len(got) if got else 0.5)
-    # Small label sets are shared out in the same proportion as large ones.
-    cut = {label: min(DICTIONARY_ROWS, -(-len(texts) * 2 // 5)) for label, texts in by_label.items()}
-    good, bad = (dictionary(by_label[label][: cut[label]]) for label in (1, 0))
-    packers = compressor(good), compressor(bad)
-    learn = [(text, label) for label, texts in by_label.items() for text in texts[cut[label] :] or texts]
-    x = np.array([features(text, *packers) for text, _ in learn])
-    y = np.array([label for _, label in learn], dtype=float)
+    sure = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    sure = sure.where((F.col("quality") == F.col("other")) & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).select("doc_id", "quality")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
+    known = written(texts.select("doc_id", F.xxhash64("text").alias("digest")).join(sure, "doc_id"), "quality-known")
+    order = F.xxhash64("doc_id", "digest")
+    rows = [known.where(F.col("quality") == label).orderBy(order, "doc_id").limit(DICTIONARY_ROWS + CALIBRATION_ROWS).collect() for label in (0, 1)]
+    if not all(rows):
+        return Model(b"", b"", (), (), (), len(rows[1]) / max(1, len(rows[0]) + len(rows[1])) if any(rows) else 0.5)
+    # Small label sets are shared out in the same proportion as large ones; a class of one row serves for both.
+    cut = [min(DICTIONARY_ROWS, -(-len(of) * 2 // 5)) for of in rows]
+    parts = {"dictionary": [of[:n] for of, n in zip(rows, cut, strict=True)], "calibration": [of[n:] or of for of, n in zip(rows, cut, strict=True)]}
+
+    def chosen(part: str) -> DataFrame:
+        ids = [(r.doc_id, r.digest, label) for label, of in enumerate(parts[part]) for r in of]
+        ids = docs.sparkSession.createDataFrame(ids, "doc_id long, digest long, label int")
+        return texts.withColumn("digest", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "digest"])
+
+    got = sorted((r.doc_id, r.label, r.text.encode()) for r in chosen("dictionary").select("doc_id", "label", "text").distinct().collect())
+    good, bad = (dictionary([text for _, label, text in got if label == wanted]) for wanted in (1, 0))
+    learn = chosen("calibration").select("doc_id", "digest", F.col("label"), _measured(F.col("text"), good, bad).alias("x")).distinct().collect()
+    learn = sorted((r.doc_id, r.digest, r.label, r.x) for r in learn)
+    x, y = np.array([r[3] for r in learn]), np.array([r[2] for r in learn], dtype=float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = design(x, mean, scale)
     w = np.zeros(a.shape[1])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import sentencepiece
+import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from planloom.llm import pieces, quality
@@ -18,11 +21,53 @@ from .test_ngram_join import brute_force
 AT = "/root/testdata/sf0.001"
 
 
+def plain_scores(texts, model):
+    """Scores from the two dictionaries and the weights alone, text by text and part by part."""
+    packers = []
+    for content in (model.good, model.bad):
+        d = zstandard.ZstdCompressionDict(content)
+        packers.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False))
+
+    def difference(part):
+        good, bad = (len(p.compress(part)) for p in packers)
+        return (bad - good) / (bad + good)
+
+    out = []
+    for text in texts:
+        data = (text or "").encode()
+        parts = [data[k : k + 512] for k in range(0, len(data), 512)] or [b""]
+        if len(parts) > 1 and len(parts[-1]) < 256:
+            parts.pop()
+        some = [difference(p) for p in parts]
+        z = [(v - m) / s for v, m, s in zip((difference(data), min(some), sum(some) / len(some)), model.mean, model.scale, strict=True)]
+        terms = [1.0, *z] + [z[i] * z[j] for i in range(3) for j in range(i, 3)]
+        out.append(1 / (1 + math.exp(-sum(w * t for w, t in zip(model.weights, terms, strict=True)))))
+    return out
+
+
 def plain_quality(rows, spark, docs):
     model = quality.fit(docs, spark.read.parquet(f"{AT}/labels.parquet"))
-    packers = quality.compressor(model.good), quality.compressor(model.bad)
-    x = np.array([quality.features((r.text or "").encode(), *packers) for r in rows])
-    return Counter(r.doc_id for r, p in zip(rows, quality.probability(x, model), strict=True) if p >= 0.7)
+    return Counter(r.doc_id for r, p in zip(rows, plain_scores([r.text for r in rows], model), strict=True) if p >= 0.7)
+
+
+def test_quality_query_against_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{AT}/{name}.parquet") for name in ("documents", "labels"))
+    rows = docs.collect()
+    want = {r.doc_id: p for r, p in zip(rows, plain_scores([r.text for r in rows], quality.fit(docs, labels)), strict=True)}
+    got = quality.query(spark, AT).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - want[r.doc_id]) < 1e-9 and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_quality_learns_from_nothing_held_out(spark):
+    """Labels of the held-out fold, and labels that contradict each other, change no score."""
+    docs, labels = (spark.read.parquet(f"{AT}/{name}.parquet") for name in ("documents", "labels"))
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.fit(docs, turned) == quality.fit(docs, labels)
+    both = labels.limit(40).unionByName(labels.limit(40).withColumn("quality", 1 - F.col("quality")))
+    assert quality.fit(docs, both).constant == 0.5
 
 
 def plain_copies(rows):
