@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -162,6 +163,23 @@ def test_personal_data_cases(spark):
     assert len(got[len(texts) - 1].iban) == 1 and len(got[len(texts) - 1].ssn) == 2
 
 
+def test_personal_data_scores(spark):
+    texts = ["hotel 1.2.3.4 ship", "host: 1.2.3.4", "1.2.3.4 (server), example", "DE89 3704 0044 0532 0130 00", "test DE89370400440532013000", "DE89370400440532013001", "123-45-6789", "123-45-6789 is my SSN", "sample SSN 123-45-6789"]
+    got = {r.doc_id: r for r in personal_data.personal_data(docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert [s.score for k in range(3) for s in got[k].ip] == [0.4, 0.7, 0.4]
+    assert [(s.start, s.end, s.score) for k in (3, 4, 5) for s in got[k].iban] == [(0, 27, 0.8)]
+    assert [s.score for k in (6, 7, 8) for s in got[k].ssn] == [0.7]
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 4097, 20_000])
+def test_personal_data_of_many_matches(spark, n):
+    text = "".join(f"é{k % 7 * 'x'} u{k}@ab.de," for k in range(n))
+    began = time.perf_counter()
+    row = personal_data.personal_data(docs_of(spark, [(1, text, "s")])).first()
+    assert time.perf_counter() - began < 20
+    assert [(s.start, s.end) for s in row.email] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+
+
 # ---- quality
 
 
