@@ -205,7 +205,11 @@ def test_quality_without_labels_and_odd_texts(spark):
 # ---- top-k
 
 
-def test_top_k_cases(spark):
+@pytest.mark.parametrize("block, floor", [(8192, 512), (7, 20)])
+def test_top_k_cases(spark, monkeypatch, block, floor):
+    for name in ("CANDIDATES_A_BLOCK", "QUERIES_A_BLOCK"):
+        monkeypatch.setattr(top_k, name, block)
+    monkeypatch.setattr(top_k, "FLOOR_ROWS", floor)
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(size=8).round(1).tolist()) for k in range(300)]
     rows += [(300, rows[5][1]), (301, rows[5][1]), (200, rows[200][1]), (7, None), (400, [1.0, None] + [0.0] * 6), (401, [float("nan")] * 8), (402, [float("inf")] * 8), (None, [0.0] * 8), (500, [1.0, 2.0])]
@@ -221,6 +225,24 @@ def test_top_k_cases(spark):
     assert top_k.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_eliminates_where_vectors_cluster(spark):
+    """Exact lists, and under a tenth of all candidates evaluated, on vectors around 40 centres."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 16)) * 0.02
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    ints = np.floor(1024 * x).astype(np.int64)
+    want = set()
+    for q in range(0, 6000, 100):
+        scores = ints @ ints[q]
+        best = sorted((-int(s), i) for i, s in enumerate(scores) if i != q)[:10]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.top_k(df).collect()} == want
+    share = sum(r.evaluated for r in top_k.evaluated(df).collect()) / (60 * 5999)
+    assert share < 0.1, share
+
+
 # ---- SentencePiece and packing
 
 ODD = ["", " ", "  a  b ", "\n\n x", "é①\U0001f600 ok\t", "x" * 5000, "<s> </s>", "Don't stop.Now\nIt's <0x0A>", " " * 70 + "b"]
