@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import chat, exact_dedup, mixing, ngram_join, packing, personal_data, pieces, quality, suffix_dedup, top_k
 
 _MODULES = {
@@ -25,7 +23,7 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()} | {"sentencepiece_scores": pieces.scores_query, "pipeline": corpus_pipeline.run}
+    return {name: module.query for name, module in _MODULES.items()} | {"sentencepiece_scores": pieces.scores_query}
 
 
 def oracle_sql() -> dict[str, str]:
