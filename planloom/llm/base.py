@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.session import settled as written
 
-__all__ = ["SPACES", "digest", "joined_by", "marked", "table", "without_spaces", "written"]
+__all__ = ["SPACES", "digest", "in_parts", "joined_by", "marked", "table", "without_spaces", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,6 +26,16 @@ def without_spaces(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of that column's texts (or one longer text): what Python copies at once."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(upto)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 #: Small rows (a few numbers) are broadcast up to this many, and joined by a shuffle beyond it.
 BROADCAST_ROWS = 300_000
 #: Rows of one key beyond which the key counts as hot. At most one key in this many rows can be.

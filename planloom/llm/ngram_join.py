@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import digest, joined_by, marked, table, written
+from .base import digest, in_parts, joined_by, marked, table, written
 from .components import components
-from .shingles import in_blocks, mix, shingle_sets
+from .shingles import BLOCK_BYTES, mix, shingle_sets
 
 ORACLE_SQL = None
 
@@ -64,26 +64,15 @@ def signatures(docs: DataFrame) -> DataFrame:
     """row, doc_id, digest (of the text), n_shingles, set_a, set_b (a 128-bit hash of the shingle set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(3).to_pylist()]
-            for part in in_blocks(texts):
-                grams, ends = shingle_sets(texts[part])
-                n, some = np.diff(ends), np.diff(ends) > 0
-                sets = np.frombuffer(b"".join(blake2b(grams[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)), np.int64).reshape(-1, 2)
-                found = np.zeros((len(n), BANDS), np.uint64)
-                found[some] = bands(grams, ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(part.start, len(n)),
-                        batch.column(1).slice(part.start, len(n)),
-                        batch.column(2).slice(part.start, len(n)),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(sets[:, 0]),
-                        pa.array(sets[:, 1]),
-                        pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, found.view(np.int64).ravel()),
-                    ],
-                    ["row", "doc_id", "digest", "n_shingles", "set_a", "set_b", "bands"],
-                )
+        for part in in_parts(batches, 3, BLOCK_BYTES):
+            grams, ends = shingle_sets([t or b"" for t in part.column(3).to_pylist()])
+            n, some = np.diff(ends), np.diff(ends) > 0
+            sets = np.frombuffer(b"".join(blake2b(grams[a:b].tobytes(), digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)), np.int64).reshape(-1, 2)
+            found = np.zeros((len(n), BANDS), np.uint64)
+            found[some] = bands(grams, ends)
+            each = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * BANDS, found.view(np.int64).ravel())
+            numbers = [pa.array(n.astype(np.int64)), pa.array(sets[:, 0]), pa.array(sets[:, 1])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *numbers, each], ["row", "doc_id", "digest", "n_shingles", "set_a", "set_b", "bands"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), digest().alias("digest"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, digest long, n_shingles long, set_a long, set_b long, bands array<long>")

@@ -11,7 +11,7 @@ highest score, so summed scores can't give right results there; its state is the
 encoding, namely the piece that the merges leave beside the piece before it. Ids equal the sentencepiece library's.
 `scores_query` runs the score form over the same pieces: the segmentation of highest summed score of each text.
 
-Nothing is shuffled: a block is part of one task's rows. A worker holds one block of BLOCK_CHARS characters (or one
+Nothing is shuffled: a block is part of one task's rows. A worker holds one block of BLOCK_BYTES (or one
 longer text, whatever its length), words of CACHED_CHARS characters (WORD_COST more for each) with their ids, and
 BESIDE_PAIRS verdicts on neighbours; what exceeds these bounds is forgotten and worked out again. Null texts count as
 empty, which have no ids; an empty table gives no rows; a text of one long word is one path of the trie. Repeated rows
@@ -22,7 +22,7 @@ than doc_id and text are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -32,17 +32,17 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import in_parts, table
 
 ORACLE_SQL = None
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Characters of text that are encoded together.
-BLOCK_CHARS = 1_000_000
+#: Bytes of text that are encoded together.
+BLOCK_BYTES = 1_000_000
 #: Words whose ids a worker remembers from block to block, by their characters and WORD_COST for each word; longer words
 #: than LONGEST_CACHED are not remembered.
-CACHED_CHARS, WORD_COST, LONGEST_CACHED = 16_000_000, 30, 200
+CACHED_CHARS, WORD_COST, LONGEST_CACHED = 12_000_000, 30, 200
 #: Pairs of pieces whose standing side by side a worker remembers.
 BESIDE_PAIRS = 400_000
 
@@ -167,14 +167,18 @@ class Encoder:
         long_ = [word for word in new if len(word) > LONGEST_CACHED]
         self.cached += sum(map(len, new)) - sum(map(len, long_)) + WORD_COST * (len(new) - len(long_))
         if self.cached > CACHED_CHARS:
-            known.clear()
-            self.total_of.clear()
-            self.cached = 0
+            self.forget()
         for word in long_:
             known.pop(word, None)
             self.total_of.pop(word, None)
         return ids, totals
 
+    def forget(self) -> None:
+        """Frees the words: a worker goes on to other tasks."""
+        self.known.clear()
+        self.total_of.clear()
+        self.cached = 0
+
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
 
@@ -185,39 +189,20 @@ def encoder(model_file: str, kind: str) -> Encoder:
     return Encoder(model_file, kind)
 
 
-def blocks(texts: list[str]) -> Iterator[slice]:
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= BLOCK_CHARS:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
-def _in_blocks(batches: Iterator[pa.RecordBatch], of_block: Callable[[list, list[str]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        for part in blocks(texts):
-            yield of_block(keys.slice(part.start, part.stop - part.start), texts[part])
-
-
 def encode(docs: DataFrame, model_file: str = MODEL_FILE, kind: str = "bpe") -> DataFrame:
     """doc_id, ids, round_trip, score: the ids of each whole text, whether they decode to it, and for the kind "unigram"
     the sum of the pieces' scores (0 otherwise)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(model_file, kind)
-
-        def of_block(keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        for part in in_parts(batches, 1, BLOCK_BYTES):
+            texts = [t or "" for t in part.column(1).to_pylist()]
             ids, totals = model.encode_texts(texts)
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             values = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
             same = [model.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, values), pa.array(same), pa.array(totals, pa.float64())], ["doc_id", "ids", "round_trip", "score"])
-
-        yield from _in_blocks(batches, of_block)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, values), pa.array(same), pa.array(totals, pa.float64())], ["doc_id", "ids", "round_trip", "score"])
+        model.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean, score double")
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -68,14 +67,3 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (text_of[1:] != text_of[:-1])]) if len(grams) else np.zeros(0, bool)
     grams, text_of = grams[new], text_of[new]
     return grams, np.searchsorted(text_of, np.arange(len(texts) + 1))
-
-
-def in_blocks(texts: list[bytes]) -> Iterator[slice]:
-    at, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            yield slice(at, k + 1)
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))

@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import digest, joined_by, table, written
-from .shingles import in_blocks, mix, powers
+from .base import digest, in_parts, joined_by, table, written
+from .shingles import BLOCK_BYTES, mix, powers
 
 LENGTH, GRAM, STEP = 200, 32, 8
 #: Windows in a task's group, and bytes of a shard.
@@ -109,15 +109,14 @@ def anchors(docs: DataFrame) -> DataFrame:
     """A row of SLICE for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for part in in_blocks(texts):
-                owner, anchor, place, first, last = slices(texts[part])
-                kinds = digests([texts[part.start + t][a : b + LENGTH] for t, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)])
-                rows = pa.array(owner + part.start)
-                numbers = [pa.array(x.astype(np.int32)) for x in (place, first, last)]
-                columns = [pa.array(anchor), pa.array(kinds[:, 0]), pa.array(kinds[:, 1]), batch.column(0).take(rows), batch.column(1).take(rows), *numbers]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "kind_a", "kind_b", "doc_id", "digest", "place", "first", "last"])
+        for part in in_parts(batches, 2, BLOCK_BYTES):
+            texts = part.column(2).to_pylist()
+            owner, anchor, place, first, last = slices(texts)
+            kinds = digests([texts[t][a : b + LENGTH] for t, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)])
+            rows = pa.array(owner)
+            numbers = [pa.array(x.astype(np.int32)) for x in (place, first, last)]
+            columns = [pa.array(anchor), pa.array(kinds[:, 0]), pa.array(kinds[:, 1]), part.column(0).take(rows), part.column(1).take(rows), *numbers]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "kind_a", "kind_b", "doc_id", "digest", "place", "first", "last"])
 
     return docs.select(*text_key()).mapInArrow(run, SLICE)
 
@@ -335,7 +334,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = docs.select(*text_key()).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1, BLOCK_BYTES):
             texts, left, runs = batch.column(1).to_pylist(), [], []
             for text, first, last in zip(texts, batch.column(2), batch.column(3), strict=True):
                 rest, n = (text, 0) if not first.is_valid else without(text, first.values.to_numpy(), last.values.to_numpy())
