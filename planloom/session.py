@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows that Spark hands to a Python function at once: whole documents, so fewer than Spark's own 10,000.
+ROWS_A_BATCH = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,6 +20,8 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
     package = Path(__file__).parent
     at = Path(tempfile.mkdtemp(prefix="planloom-")) / "planloom.zip"
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as out:
