@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_plans, queries_text
+from . import queries_plans, queries_rules, queries_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "exact_cache_lookup"
-_EVERY = queries_text.QUERIES | queries_plans.QUERIES
+_EVERY = queries_text.QUERIES | queries_plans.QUERIES | queries_rules.QUERIES
+_EVERY |= {name: (_EVERY[name][0], sql) for name, sql in queries_rules.SQL_FOR.items()}
 
 
 def queries() -> dict[str, Query]:

@@ -288,8 +288,8 @@ def _first_word(text: Column) -> Column:
     return strip(F.lower(F.coalesce(F.get(words(text), F.lit(0)), F.lit(""))), ",.:")
 
 
-def imperative(sentence: Column, depth: int = 3) -> Column:
-    """The instruction that a sentence gives, or null. depth: how many prefixes before colons are looked behind."""
+def imperative(sentence: Column) -> Column:
+    """The instruction that a sentence gives, or null. What follows a colon is looked at first, however many there are."""
 
     def plain(s: Column) -> Column:
         clause = F.regexp_extract(s, w.LEADING_CLAUSE, 0)
@@ -297,17 +297,30 @@ def imperative(sentence: Column, depth: int = 3) -> Column:
         after = let(clause, lambda c: F.when(is_in(_first_word(main(c)), w.IMPERATIVE_VERBS), F.concat(c, main(c))))
         return F.when(s.rlike(w.META), F.lit(None)).when(is_in(_first_word(s), w.IMPERATIVE_VERBS), s).when(clause != "", after)
 
-    def look(s: Column) -> Column:
-        if not depth:
-            return plain(s)
-        at = F.instr(s, ":")
-        prefix, rest = F.substring(s, F.lit(1), at - 1), strip(F.substring(s, at + 1, F.length(s)))
-        alone = prefix.rlike(w.META) | (F.size(words(prefix)) > 10) | prefix.rlike(r"(?iU)^there (are|is)\b")
-        with_prefix = lambda m: F.concat(strip(prefix), F.lit(", "), F.lower(F.substring(m, 1, 1)), F.substring(m, 2, 1 << 30))
-        behind = let(imperative(rest, depth - 1), lambda m: F.when(alone, m).otherwise(with_prefix(m)))
-        return F.coalesce(F.when(at.between(1, 80) & (rest != ""), behind), plain(s))
+    front = lambda x: _strip_front(strip(x))
+    level = lambda prefix, s: F.struct(prefix.alias("prefix"), s.alias("s"))
+
+    def behind_colon(levels: Column, _: Column) -> Column:
+        def cut(s: Column) -> Column:
+            at = F.instr(s, ":")
+            rest = strip(F.substring(s, at + 1, F.length(s)))
+            more = F.concat(levels, F.array(level(F.substring(s, F.lit(1), at - 1), front(rest))))
+            return F.when(at.between(1, 80) & (rest != ""), more).otherwise(levels)
 
-    return let(_strip_front(strip(sentence)), look)
+        return let(F.element_at(levels, -1)["s"], cut)
+
+    def with_prefix(prefix: Column, found: Column) -> Column:
+        alone = prefix.rlike(w.META) | (F.size(words(prefix)) > 10) | prefix.rlike(r"(?iU)^there (are|is)\b")
+        lowered = F.concat(strip(prefix), F.lit(", "), F.lower(F.substring(found, 1, 1)), F.substring(found, 2, 1 << 30))
+        return F.when(alone, found).otherwise(lowered)
+
+    # found: what the level behind gives; prefix: what stands before that level's colon.
+    state = lambda found, prefix: F.struct(found.cast("string").alias("found"), prefix.cast("string").alias("prefix"))
+    outward = lambda acc, x: state(F.coalesce(F.when(acc["found"].isNotNull(), with_prefix(acc["prefix"], acc["found"])), plain(x["s"])), x["prefix"])
+    colons = F.size(F.split(sentence, ":")) - 1
+    places = F.when(colons > 0, F.sequence(F.lit(1), F.greatest(colons, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    levels = F.aggregate(places, F.array(level(F.lit(""), front(sentence))), behind_colon)
+    return F.aggregate(F.reverse(levels), state(F.lit(None), F.lit(None)), outward, lambda acc: acc["found"])
 
 
 def rule_action_name(heading: Column, steps: Column) -> Column:

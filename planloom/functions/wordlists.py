@@ -108,10 +108,9 @@ NAME_STOPWORDS = "the a an and or of to for on in with your my menu option optio
 TARGET_TAIL = "and or then to the a an it its once now next again".split()
 PLACEHOLDER_TAIL = [*TARGET_TAIL, "or", "and", "with", "for", "in", "on"]
 GENERIC_TARGETS = [
-    *"settings setting it them this that screen device phone tablet app apps restart power back home ok done top down up".split(),
-    *("the screen", "search field", "the search field", "the top", "home screen", "apps screen"),
-    *"allow yes no cancel start confirm next continue accept agree save apply delete reset more add edit".split(),
-    *("start now", "delete all", "more options"),
-    *"mirror remove uninstall install update search".split(),
-]
+    "settings", "setting", "it", "them", "this", "that", "the screen", "screen", "device", "phone", "tablet", "app", "apps", "restart", "power", "back",
+    "home", "ok", "done", "search field", "the search field", "top", "the top", "down", "up", "home screen", "apps screen", "allow", "yes", "no", "cancel",
+    "start", "start now", "confirm", "next", "continue", "accept", "agree", "save", "apply", "delete", "delete all", "reset", "more", "more options", "add",
+    "edit", "mirror", "remove", "uninstall", "install", "update", "search",
+]
 PLACEHOLDER_GENERIC = "settings setting screen device phone app apps".split()

@@ -252,18 +252,22 @@ n AS (SELECT query_id, expected, plan_id, round(sim, 4) AS similarity, round(sim
 SEMANTIC_SQL = f"WITH {_NEAR_CTE} SELECT query_id, plan_id, similarity, margin, seq, similarity >= 0.3 AND margin >= 0.02 AS hit FROM n"
 
 
+#: The cache's own range in steps of 0.025, and lower ones that the driver's vectors reach.
+THRESHOLDS = [0.2, 0.3, 0.4, 0.5, *(round(0.7 + 0.025 * k, 3) for k in range(11))]
+
+
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _nearest(spark, sf_dir)
     rows = near.select(
         F.col("plan_id").alias("got"), F.col("expected").cast("string").alias("expected"), "similarity", "margin", (F.col("expected") < 8).alias("in_cache"),
         (F.col("expected") % 4).alias("expected_article"), (F.col("plan_id").cast("int") % 4).alias("got_article"),
     )
-    return evaluation.threshold_sweep(rows, [0.2, 0.3, 0.4, 0.5], 0.01)
+    return evaluation.threshold_sweep(rows, THRESHOLDS, 0.01)
 
 
 SWEEP_SQL = f"""
 WITH {_NEAR_CTE}, x AS (SELECT *, expected < 8 AS in_cache, CAST(expected AS VARCHAR) = plan_id AS same, expected % 4 = CAST(plan_id AS INT) % 4 AS sib,
-  similarity >= threshold AND margin >= 0.01 AS hit FROM n, (SELECT unnest([0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE]) AS threshold))
+  similarity >= threshold AND margin >= 0.01 AS hit FROM n, (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in THRESHOLDS)}]) AS threshold))
 SELECT threshold, CAST(count(*) FILTER (in_cache) AS BIGINT) AS cached, CAST(count(*) FILTER (hit AND in_cache AND same) AS BIGINT) AS right_hits,
   CAST(count(*) FILTER (hit AND in_cache AND NOT same AND sib) AS BIGINT) AS same_article, CAST(count(*) FILTER (hit AND in_cache AND NOT same AND NOT sib) AS BIGINT) AS wrong_plan,
   CAST(count(*) FILTER (hit AND NOT in_cache) AS BIGINT) AS false_hits, CAST(count(*) FILTER (NOT in_cache) AS BIGINT) AS uncached,
@@ -464,20 +468,34 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def map_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' numbers pick a setting and a direction, which the mapping has to find again. Every supplier has one."""
+def _supplier_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' numbers pick a setting and a direction. Every supplier has one."""
     names = table(spark, sf_dir, "part").select(F.initcap("p_name").alias("key")).where("key IS NOT NULL").distinct()
     numbered = names.withColumn("k", F.row_number().over(Window.orderBy("key")).cast("long") - 1)  # some tens of names at any size
     s = table(spark, sf_dir, "supplier").select("s_suppkey").crossJoin(F.broadcast(names.agg(F.nullif(F.count("*"), F.lit(0)).alias("n"))))  # one row
     s = s.select("s_suppkey", F.pmod(F.col("s_suppkey").cast("long"), F.col("n")).alias("k"))
     on = F.when(F.col("s_suppkey") % 2 == 0, "on").otherwise("off")
-    actions = s.join(numbered, "k").select(
+    return s.join(numbered, "k").select(
         F.concat_ws(":", F.col("s_suppkey").cast("string"), "key").alias("action_id"), F.concat_ws(" ", F.lit("Adjust"), "key").alias("name"), F.lit("auto").alias("category"),
         F.array(F.lit("Open Settings."), F.concat(F.lit("Turn "), on, F.lit(" "), F.col("key"), F.lit("."))).alias("steps"),
     )
+
+
+def map_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping has to find the setting that each supplier's action was made from."""
+    actions = _supplier_actions(spark, sf_dir)
     return mapping.map_actions(actions, retrieval.usable_entries(_catalog(spark, sf_dir))).select("action_id", "kind", "category", "chosen_id", "name_score", F.col("link.deeplink").alias("uri"), F.col("check.value").alias("value"))
 
 
+def mapping_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's first entry without the name gate, against the entry that each supplier's action was made from."""
+    actions = _supplier_actions(spark, sf_dir)
+    queries = actions.select(F.col("action_id").alias("query_id"), F.concat_ws(" ", "name", F.array_join("steps", " ")).alias("text"))
+    candidates = retrieval.hybrid(queries, retrieval.usable_entries(_catalog(spark, sf_dir))).withColumnRenamed("query_id", "action_id")
+    decisions = map_actions(spark, sf_dir).select("action_id", "chosen_id")
+    return evaluation.ablation(candidates, decisions)
+
+
 def catalog_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.catalog_uris(_catalog(spark, sf_dir))
 
@@ -532,6 +550,7 @@ SELECT event_type, round(avg(((event_id % 3000) * 0.15::DOUBLE + (event_id % 700
 
 QUERIES = {
     "map_actions": (map_actions, None),
+    "mapping_ablation": (mapping_ablation, None),
     "catalog_uris": (catalog_uris, URIS_SQL),
     "link_coverage": (link_coverage, COVERAGE_SQL),
     "placeholder_links": (placeholder_links, PLACEHOLDER_SQL),
