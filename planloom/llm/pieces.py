@@ -64,15 +64,17 @@ class Encoder:
         if any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p in self.ids):
             raise ValueError("a piece crosses the end of a marked word")
         self.words = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+").findall
-        # Lengths of the pieces by their last two characters: few pieces can end at a position.
+        # Lengths of the longer pieces by their last three characters: few pieces can end at a position.
         tails: dict[str, set[int]] = {}
         for p in self.ids:
-            if len(p) > 1:
-                tails.setdefault(p[-2:], set()).add(len(p))
+            if len(p) > 2:
+                tails.setdefault(p[-3:], set()).add(len(p))
         self.lengths = {tail: tuple(sorted(found, reverse=True)) for tail, found in tails.items()}
+        self.twos = {p: i for p, i in self.ids.items() if len(p) == 2}
         self.least = min(self.score[i] for i in self.ids.values()) - 10.0 if self.ids else 0.0
         self.beside: list[dict[int, bool]] = [{} for _ in range(n)]
         self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
         self.total_of: dict[str, float] = {}
         self.pairs, self.cached = 0, 0
 
@@ -102,9 +104,9 @@ class Encoder:
     def bpe_states(self, word: str, at: int, last: list[int], size: list[int]) -> None:
         """Appends the states of the positions after `at`. last: the piece that ends there, -1 for a character without
         one; size: its number of characters."""
-        ids, lengths, beside, stand = self.ids, self.lengths, self.beside, self.stand
+        ids, lengths, twos, beside, stand = self.ids, self.lengths, self.twos, self.beside, self.stand
         for end in range(at + 1, len(word) + 1):
-            for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+            for n in lengths.get(word[end - 3 : end], ()) if end > 2 else ():
                 begin = end - n
                 if begin >= 0 and (i := ids.get(word[begin:end])) is not None:
                     left = last[begin]
@@ -113,6 +115,12 @@ class Encoder:
                         size.append(n)
                         break
             else:
+                if end > 1 and (i := twos.get(word[end - 2 : end])) is not None:
+                    left = last[end - 2]
+                    if (known := beside[i].get(left)) or (known is None and stand(left, i)):
+                        last.append(i)
+                        size.append(2)
+                        continue
                 last.append(ids.get(word[end - 1], -1))
                 size.append(1)
 
@@ -122,7 +130,7 @@ class Encoder:
         for end in range(at + 1, len(word) + 1):
             i = ids.get(word[end - 1], -1)
             best = (total[end - 1] + (score[i] if i >= 0 else self.least), 1, i)
-            for n in lengths.get(word[end - 2 : end], ()) if end > 1 else ():
+            for n in (*(lengths.get(word[end - 3 : end], ()) if end > 2 else ()), 2):
                 if n <= end and (i := ids.get(word[end - n : end])) is not None:
                     best = max(best, (total[end - n] + score[i], n, i))
             total.append(best[0])
@@ -157,27 +165,31 @@ class Encoder:
         return out
 
     def encode_texts(self, texts: list[str]) -> tuple[list[list[int]], list[float]]:
-        """Ids and, of a unigram model, summed scores of texts. Words are remembered up to the bound."""
+        """Ids and, of a unigram model, summed scores of texts. Words are remembered up to the bound, the longest unused go first."""
         cut = [self.words(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.known
-        new = self.encode_words(set(chain.from_iterable(cut)).difference(known))
+        known, before = self.known, self.before
+        fresh = set(chain.from_iterable(cut)).difference(known)
+        again = fresh.intersection(before)
+        new = self.encode_words(fresh - again)
         known.update(new)
+        known.update((word, before.pop(word)) for word in again)
         ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
         totals = [sum(map(self.total_of.__getitem__, words)) for words in cut] if self.kind == "unigram" else [0.0] * len(cut)
-        long_ = [word for word in new if len(word) > LONGEST_CACHED]
-        self.cached += sum(map(len, new)) - sum(map(len, long_)) + WORD_COST * (len(new) - len(long_))
-        if self.cached > CACHED_CHARS:
-            self.forget()
-        for word in long_:
-            known.pop(word, None)
+        for word in [word for word in new if len(word) > LONGEST_CACHED]:
+            del known[word]
             self.total_of.pop(word, None)
+            fresh.remove(word)
+        self.cached += sum(map(len, fresh)) + WORD_COST * len(fresh)
+        if self.cached > CACHED_CHARS // 2:  # the words that this half lacks were not used since the other half was full
+            for word in before:
+                self.total_of.pop(word, None)
+            self.before, self.known, self.cached = known, {}, 0
         return ids, totals
 
     def forget(self) -> None:
         """Frees the words: a worker goes on to other tasks."""
-        self.known.clear()
+        self.known, self.before, self.cached = {}, {}, 0
         self.total_of.clear()
-        self.cached = 0
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace").removeprefix(" ")

@@ -310,7 +310,8 @@ def test_bounds_of_what_a_worker_remembers(monkeypatch):
     texts = ["".join(rng.choice("abcdeeiou ") for _ in range(400)) for _ in range(30)] + ["z" * 100_000, "ab" * 3000]
     for text in texts * 2:
         assert model.encode_texts([text])[0] == [library.encode(text)]
-        assert sum(map(len, model.known)) <= 500 and all(len(w) <= pieces.LONGEST_CACHED for w in model.known)
+        held = [*model.known, *model.before]
+        assert model.cached <= 250 and all(len(w) <= pieces.LONGEST_CACHED for w in held)
         assert sum(map(len, model.beside)) <= 20
 
 
