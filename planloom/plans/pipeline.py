@@ -77,6 +77,16 @@ def response(plans: DataFrame) -> Column:
     return F.struct(F.array(F.struct("goal", "title", "score", actions.alias("actions"))).alias("contexts")).cast(f"struct<contexts:array<{GOAL}>>")
 
 
+def admit(new: DataFrame, plans: DataFrame, doors: DataFrame, store: PlanStore, embedder: BagOfWords) -> None:
+    """Writes a version of the store in which new (its columns and normalized_query; one row a plan_id) replaced plans of their ids."""
+    top = F.coalesce(F.lit(doors.agg(F.max("seq")).first()[0]), F.lit(-1)) + 1
+    # Sorted by ranges of plans: the numbers of the rows rise with plan_id and place, though no task has all of them.
+    ordered = cache.doors_of(new).orderBy("plan_id", "place").withColumn("seq", top + F.monotonically_increasing_id())
+    new_doors = ordered.withColumn("vec", embedder.encode(F.col("text")))
+    all_plans, all_doors = cache.put(plans, doors, new.drop("normalized_query"), new_doors.select("plan_id", "kind", "text", "norm", "vec", "seq"))
+    store.write(all_plans, all_doors, embedder.name)
+
+
 def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder: BagOfWords | None = None, extractor: Extractor = rules_extractor, settings: Settings = Settings()) -> DataFrame:
     """A reply for each complaint (query_id, query, title, content): from the cache, from its article, or a fallback.
 
@@ -110,12 +120,7 @@ def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder
     new = new.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r").select(
         "plan_id", "query", "response", F.col("query_variations").alias("variations"), "article", F.unix_timestamp().cast("double").alias("created"), "normalized_query"
     )
-    top = F.coalesce(F.lit(doors.agg(F.max("seq")).first()[0]), F.lit(-1)) + 1
-    new_doors = cache.doors_of(new)
-    seq = top + F.row_number().over(Window.orderBy("plan_id", "place")) - 1  # over the doors of this batch's new plans
-    new_doors = new_doors.withColumn("seq", seq.cast("long")).withColumn("vec", embedder.encode(F.col("text")))
     # A reply has to be settled before the store it was looked up in changes.
     replies = settled(served.unionByName(fresh), "replies")
-    all_plans, all_doors = cache.put(plans, doors, new.drop("normalized_query"), new_doors.select("plan_id", "kind", "text", "norm", "vec", "seq"))
-    store.write(all_plans, all_doors, embedder.name)
+    admit(new, plans, doors, store, embedder)
     return replies

@@ -72,6 +72,11 @@ def to_article(raw: Column) -> Column:
     return F.when(raw.isNull(), F.lit(None)).when(is_object, inner).otherwise(text)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class PlanStore:
     """The cache's tables under one folder. A write makes a new version, and readers keep the one they began with."""
 
