@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, ngram_join, packing, personal_data, pieces, quality, suffix_dedup, top_k
+from . import chat, clusters, exact_dedup, main_text, mixing, ngram_join, packing, periodic, personal_data, pieces, quality, suffix_dedup, top_k
 
 _MODULES = {
     "op1_ngram_jaccard_join": ngram_join,
@@ -19,6 +19,9 @@ _MODULES = {
     "op8_source_mixing": mixing,
     "op9_personal_data": personal_data,
     "op10_suffix_array_dedup": suffix_dedup,
+    "op11_centroid_clustering": clusters,
+    "op12_html_extraction": main_text,
+    "op13_periodic_runs": periodic,
 }
 
 
