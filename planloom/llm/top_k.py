@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,8 +126,10 @@ def homes_of(rows: DataFrame) -> dict[int, Homes]:
 
 
 def upper_bounds(q: np.ndarray, norms: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Of the inner products of q and vectors of these squared lengths and least distances; a little more than floating point may lose."""
+    """Of the inner products of q and vectors of these squared lengths and least distances; a little more than floating
+    point may lose (a distance that is small beside the lengths has half their digits)."""
     length = (q.astype(float) ** 2).sum()
+    apart = np.maximum(apart - 1e-6 * (np.sqrt(length) + np.sqrt(norms)), 0)
     return (length + norms - apart**2) / 2 + 1e-9 * (length + norms) + 1e-3
 
 
@@ -148,21 +151,24 @@ def reachable_homes(q: np.ndarray, near: np.ndarray, floor: float, met: np.ndarr
 SCORED = "query_id long, vec_id long, score long, evaluated long"
 
 
-def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
+def _rows(table_: pa.Table, name: str, kind: type) -> np.ndarray:
+    """A column of lists of one length, as the rows of an array."""
+    return table_.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(table_.num_rows, -1)
+
+
+def search_block(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     """SCORED: the k best candidates of one block for each query of one block; both have vectors of one length.
 
-    queries: vec_id, x, near, floor (candidates below it are not wanted).
+    queries: vec_id, x, near, floor (candidates below it are not wanted). Ids and scores stay integers of 64 bits.
     """
     found: list[tuple] = []
-    if len(queries) and len(candidates):
-        dim = int(queries.dim.iloc[0])
-        ids = candidates.vec_id.to_numpy()
-        x = np.array(candidates.x.to_list(), dtype=np.int64).reshape(len(ids), dim)
-        near = np.array(candidates.near.to_list(), dtype=float).reshape(len(ids), -1)
+    if queries.num_rows and candidates.num_rows:
+        ids = candidates.column("vec_id").to_numpy()
+        x, near = _rows(candidates, "x", np.int64), _rows(candidates, "near", float)
         norms = (x.astype(float) ** 2).sum(1)
-        for query_id, q, q_near, floor in zip(queries.vec_id, queries.x, queries.near, queries.floor, strict=True):
-            q = np.asarray(q, dtype=np.int64)
-            bound = upper_bounds(q, norms, np.abs(near - np.asarray(q_near, dtype=float)).max(1, initial=0.0))
+        asked = zip(queries.column("vec_id").to_pylist(), _rows(queries, "x", np.int64), _rows(queries, "near", float), queries.column("floor").to_pylist(), strict=True)
+        for query_id, q, q_near, floor in asked:
+            bound = upper_bounds(q, norms, np.abs(near - q_near).max(1, initial=0.0))
             order = np.flatnonzero((bound >= floor) & (ids != query_id))
             order = order[np.argsort(-bound[order])]
             best: list[tuple[int, int]] = []
@@ -175,7 +181,8 @@ def search_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
                 best = sorted(best + list(zip((-(x[some] @ q)).tolist(), ids[some].tolist(), strict=True)))[:k]
             found += [(query_id, vec_id, -score, None) for score, vec_id in best]
             found.append((query_id, None, None, evaluated))
-    return pd.DataFrame(found, columns=["query_id", "vec_id", "score", "evaluated"]).astype("Int64")
+    columns = zip(*found, strict=True) if found else [()] * 4
+    return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(("query_id", "vec_id", "score", "evaluated"), columns, strict=True)})
 
 
 def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -211,7 +218,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         where = F.broadcast(met.select(*(F.col(c).alias(c) for c in ("dim", "home", "query_block"))).distinct())
         dealt = rows.join(blocks, ["dim", "home"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks")).cast("int"))
         dealt = dealt.join(where, ["dim", "home"]).drop("blocks")
-        return written(met.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(lambda q, c: search_block(q, c, k), SCORED), name)
+        return written(met.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(lambda q, c: search_block(q, c, k), SCORED), name)
 
     first = scored(asking.mapInPandas(add_first, base + "floor double, homes array<int>"), "pivot-first")
     held = ranked(first, k).groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
