@@ -18,24 +18,27 @@ fewer common bytes than the passes have covered, the others at least as many, so
 are the strings that occur more than once. Intervals of a single suffix, or of one shard, drop out on the way, as the
 shards' own prefixes have settled them; once nothing is left the interleave is at its fixed point.
 
+A stretch that repeats itself with a period shorter than a window has an anchor in each period. Its windows of one period
+go on as one slice, and all later ones are a copy of that slice's kind (the bytes are compared to be sure), so a stretch
+makes two rows, however long it is.
+
 An anchor with more than TASK_WINDOWS windows is dealt out further, whatever its slices: its windows are cut by the place
 of the anchor in them, WIDTHS[0] places at a time, then WIDTHS[1] and so on, and dealt by the bytes that all windows of
 such a cut have in common. At one place these are the window itself, so no key makes a task large, and cuts that are
 copies count as above.
 
 Null texts count as empty. Rows with equal doc_id and text are occurrences of their own and get equal results, worked
-out once. Texts shorter than LENGTH have nothing removed; very long texts are sliced like others. An empty table gives
-no rows. Columns other than doc_id and text are not read.
+out once. Texts shorter than LENGTH have nothing removed; very long texts are sliced BLOCK_BYTES at a time. An empty
+table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,11 +95,59 @@ def slices(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return owner, grams[anchor].view(np.int64), anchor - begin[owner], first - begin[owner], last - begin[owner]
 
 
-def digests(parts: list[bytes]) -> np.ndarray:
+def folded(texts: list[bytes], owner: np.ndarray, anchor: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The slices, and for each the last window of its kind, where the windows of a periodic stretch are two slices only.
+
+    The first has the windows of one period; the second has all later ones, each of which equals the one a period before
+    it, so its kind is that of its own first period, which is the first slice's. It always comes behind the first one.
+    """
+    alike = (owner[1:] == owner[:-1]) & (anchor[1:] == anchor[:-1])
+    step = np.where(alike, place[1:] - place[:-1], 0)
+    begin = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])) if len(step) else np.zeros(0, np.int64)
+    stop = np.append(begin[1:], len(step))[: len(begin)]
+    several = (step[begin] > 0) & (stop - begin > 1)
+    first, keep, more = first.copy(), np.ones(len(owner), bool), []
+    for a, b in zip(begin[several].tolist(), stop[several].tolist(), strict=True):  # slices a .. b have one anchor, a period apart
+        period, low, high = int(step[a]), int(place[a]) + 1, int(last[b]) + LENGTH
+        bytes_ = np.frombuffer(texts[owner[a]], np.uint8)[low:high]
+        differ = np.flatnonzero(bytes_[:-period] != bytes_[period:]) + low
+        edges = np.concatenate([[low - 1], differ, [high - period]])
+        for k in np.flatnonzero(np.diff(edges) > LENGTH + period).tolist():
+            begins, ends = int(edges[k]) + 1, int(edges[k + 1]) + period - LENGTH  # windows within the stretch
+            j = a + 1 + int(np.searchsorted(first[a + 1 : b + 1], begins))
+            while j < b and last[j] - first[j] + 1 != period:
+                j += 1
+            start = int(first[j]) + period if j < b else ends
+            if ends - start + 1 < period:
+                continue
+            inside = slice(j + 1, b + 1)
+            keep[inside] &= last[inside] > ends
+            first[inside] = np.where(first[inside] <= ends, ends + 1, first[inside])
+            more.append((owner[j], anchor[j], place[j] + period, start, ends, start + period - 1))
+    columns = [x[keep] for x in (owner, anchor, place, first, last, last)]
+    return tuple(np.concatenate([x, np.array(y, x.dtype)]) for x, y in zip(columns, zip(*more, strict=True), strict=True)) if more else tuple(columns)
+
+
+def digests(parts: Iterable[bytes]) -> np.ndarray:
     """A row of two numbers for each part: a 128-bit digest."""
     return np.frombuffer(b"".join(blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
 
 
+def in_blocks(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (number of the text, place in it, bytes): the windows of all texts, of long ones BLOCK_BYTES at a time."""
+    block, held = [], 0
+    for number, text in enumerate(texts):
+        for place in range(0, max(1, len(text) - LENGTH + 1), BLOCK_BYTES):
+            part = text[place : place + BLOCK_BYTES + LENGTH - 1]
+            if block and held + len(part) > 2 * BLOCK_BYTES:
+                yield block
+                block, held = [], 0
+            block.append((number, place, part))
+            held += len(part)
+    if block:
+        yield block
+
+
 def text_key() -> list[Column]:
     """doc_id and a hash of the text tell texts apart; rows that agree in both have the same bytes removed."""
     return [F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")]
@@ -110,13 +161,14 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_parts(batches, 2, BLOCK_BYTES):
-            texts = part.column(2).to_pylist()
-            owner, anchor, place, first, last = slices(texts)
-            kinds = digests([texts[t][a : b + LENGTH] for t, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)])
-            rows = pa.array(owner)
-            numbers = [pa.array(x.astype(np.int32)) for x in (place, first, last)]
-            columns = [pa.array(anchor), pa.array(kinds[:, 0]), pa.array(kinds[:, 1]), part.column(0).take(rows), part.column(1).take(rows), *numbers]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "kind_a", "kind_b", "doc_id", "digest", "place", "first", "last"])
+            for block in in_blocks(part.column(2).to_pylist()):
+                texts = [text for _, _, text in block]
+                owner, anchor, place, first, last, of_kind = folded(texts, *slices(texts))
+                kinds = digests(texts[t][a : b + LENGTH] for t, a, b in zip(owner.tolist(), first.tolist(), of_kind.tolist(), strict=True))
+                rows, at = np.array([n for n, _, _ in block], np.int64)[owner], np.array([p for _, p, _ in block], np.int64)[owner]
+                numbers = [pa.array((x + at).astype(np.int32)) for x in (place, first, last)]
+                columns = [pa.array(anchor), pa.array(kinds[:, 0]), pa.array(kinds[:, 1]), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), *numbers]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "kind_a", "kind_b", "doc_id", "digest", "place", "first", "last"])
 
     return docs.select(*text_key()).mapInArrow(run, SLICE)
 
@@ -217,19 +269,20 @@ PIECE = "anchor long, doc_id long, digest long, place int, first int, single boo
 def settled(pieces: DataFrame, groups: int) -> DataFrame:
     """Repeated ranges of window starts in the single ones of pieces that share an anchor."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("anchor")
-        found = repeated_starts(group.piece.to_list())
-        rows = [
-            (doc_id, digest_, first + a, first + b)
-            for doc_id, digest_, first, single, starts in zip(group.doc_id, group.digest, group["first"], group.single, found, strict=True)
-            if single
-            for a, b in ranges(np.flatnonzero(starts))
-        ]
-        return pd.DataFrame(rows, columns=["doc_id", "digest", "first", "last"]).astype({"doc_id": "Int64", "digest": "int64", "first": "int32", "last": "int32"})
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("anchor")
+        found = repeated_starts(group.column("piece").to_pylist())
+        rows, low, high = [], [], []
+        for row, (first, single, starts) in enumerate(zip(group.column("first").to_pylist(), group.column("single").to_pylist(), found, strict=True)):
+            for a, b in ranges(np.flatnonzero(starts)) if single else ():
+                rows.append(row)
+                low.append(first + a)
+                high.append(first + b)
+        taken = group.select(["doc_id", "digest"]).take(pa.array(rows, pa.int64()))
+        return taken.append_column("first", pa.array(low, pa.int32())).append_column("last", pa.array(high, pa.int32()))
 
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(run, FOUND)
+    return dealt.groupBy("group").applyInArrow(run, FOUND)
 
 
 def cut_finer(pieces: DataFrame, width: int) -> DataFrame:
@@ -321,7 +374,7 @@ def without(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[bytes, in
     edges = np.zeros(len(text) + 1, np.int32)
     np.add.at(edges, first, 1)
     np.add.at(edges, last + LENGTH, -1)
-    gone = np.cumsum(edges[:-1]) > 0
+    gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), runs
 
