@@ -1,11 +1,14 @@
-"""Connected components of links between rows, by alternating large-star and small-star steps."""
+"""Connected components of links between rows, by alternating large-star and small-star steps.
+
+A hub's links stay where they are if there are very many: its least neighbour comes to them by broadcast.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import joined_by, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -14,12 +17,13 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     large: the neighbours above the row; else those below it, and the row itself.
     """
     both = links if not large else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("hub"), F.least("hub", "m").alias("m") if large else "m")
-    joined = both.join(least, both.a == least.hub)
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = written(least.select("a", F.least("a", "m").alias("m") if large else "m", "n"), "least-neighbours")
+    joined = joined_by(both, least, ["a"], "n")
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        moved = joined.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("hub").alias("a"), F.col("m").alias("b")))
+        moved = joined.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return moved.where("b < a").distinct()
 
 

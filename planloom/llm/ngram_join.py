@@ -79,10 +79,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """row, root: rows that a chain of common buckets connects."""
-    buckets = classes.select("row", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return components(buckets.join(heads, "bucket").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")))
+    """row, root: rows that a chain of common buckets connects. Rows of a bucket of very many meet its head where they are."""
+    buckets = written(classes.select("row", F.explode("bands").alias("bucket")), "ngram-buckets")
+    heads = buckets.groupBy("bucket").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1")
+    linked = joined_by(buckets, written(heads, "ngram-bucket-heads"), ["bucket"], "n")
+    return components(linked.where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")))
 
 
 def verify_blocks(left: pd.DataFrame, right: pd.DataFrame | None) -> list[tuple[int, int, int]]:
