@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from planloom.session import settled as written
 
-__all__ = ["SPACES", "digest", "in_parts", "joined_by", "marked", "table", "without_spaces", "written"]
+__all__ = ["SPACES", "columns_of", "digest", "in_parts", "joined_by", "marked", "table", "unused", "without_spaces", "written"]
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to be none of the taken ones, in whatever case."""
+    known = {c.lower() for c in taken}
+    longest = max(map(len, known), default=0)
+    return [next(n for k in range(1, longest + 2) if (n := "_" * k + name).lower() not in known) for name in names]
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def without_spaces(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
@@ -61,14 +73,15 @@ def marked(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of docs that are kept. decided: doc_id, digest, kept for each row of docs.
 
     Only keys of rows that go are joined to docs, so that texts stay where they are while these keys are few enough to
-    be broadcast. Of rows equal in doc_id and text, as many stay as are kept (one at most).
+    be broadcast. Of rows equal in doc_id and text, as many stay as are kept (one at most). Columns of any name pass.
     """
-    key = [F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")]
-    per = decided.groupBy(*key).agg(F.count("*").alias("_gone_rows"), F.count_if("kept").alias("_gone_kept"))
-    gone = written(per.where("_gone_kept < _gone_rows").drop("_gone_rows"), "gone")
+    id_, digest_, kept = unused(docs.columns, "gone_id", "gone_digest", "gone_kept")
+    per = decided.groupBy("doc_id", "digest").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
+    gone = per.where("kept < rows").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest_), F.col("kept").alias(kept))
+    gone = written(gone, "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    keyed = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (digest() == F.col("_gone_digest")), "left")
-    stay = keyed.where(F.col("_gone_kept").isNull()).select(*docs.columns)
-    one = keyed.where("_gone_kept > 0").dropDuplicates(["_gone_id", "_gone_digest"]).select(*docs.columns)
+    keyed = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (digest() == F.col(digest_)), "left")
+    stay = keyed.where(F.col(kept).isNull()).select(*columns_of(docs))
+    one = keyed.where(F.col(kept) > 0).dropDuplicates([id_, digest_]).select(*columns_of(docs))
     return stay.unionByName(one)

@@ -10,7 +10,8 @@ the source nearer to its target. No rows are sorted, and the same rows give the
 The hash is taken from doc_id, source and text, so only rows that repeat in all three enter together, and a source ends
 within the words of one such group from its target. Null texts have no words; a source without words has target 0, and
 none of its rows enter. No row enters more than ``MOST`` times. Very long texts count like others: whole. An empty table
-gives an empty mix. Names of further columns never clash with ours.
+gives an empty mix. Columns of any name pass `mixed`; `mix` reads doc_id, source and text only. The targets need the
+sources in one order, so one task has a row of three numbers for each source.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import table, written
+from .base import columns_of, table, unused, written
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -108,29 +109,27 @@ def plan_mix(sizes: DataFrame) -> DataFrame:
     return plan.join(below, F.col("source").eqNullSafe(F.col("below_source")), "left").drop("below_source", "rest")
 
 
-def _times(hash_: Column) -> Column:
-    once_more = F.coalesce((hash_ < F.col("_below")).cast("long"), F.lit(0).cast("long"))
-    return F.col("_copies") + once_more
-
-
-def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in plan.columns))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+def _times(hash_: Column, copies: str, below: str) -> Column:
+    return F.col(copies) + F.coalesce((hash_ < F.col(below)).cast("long"), F.lit(0).cast("long"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, size, source_size, target, taken."""
     sizes = sized(docs)
-    return _joined(sizes, plan_mix(sizes)).select(
-        "doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * _times(F.col("hash"))).alias("taken")
-    )
+    plan = plan_mix(sizes).withColumnRenamed("source", "of_source")
+    every = sizes.join(plan, F.col("source").eqNullSafe(F.col("of_source")))
+    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("hash"), "copies", "below")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, each as often as the mix takes it, with all their columns."""
+    source, copies, below, again = unused(docs.columns, "mix_source", "mix_copies", "mix_below", "mix_again")
     plan = written(plan_mix(sized(docs)), "mix-final")
-    times = _joined(docs, plan).withColumn("_times", _times(hash60()).cast("int"))
-    return times.where("_times > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).drop("_copy")
+    plan = plan.select(F.col("source").alias(source), F.col("copies").alias(copies), F.col("below").alias(below))
+    times = docs.join(plan, F.col("source").eqNullSafe(F.col(source)))
+    # A row that is to enter no time has an empty array, and so no row.
+    repeated = F.array_repeat(F.lit(0), _times(hash60(), copies, below).cast("int"))
+    return times.select(*columns_of(docs), F.explode(repeated).alias(again)).select(*columns_of(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

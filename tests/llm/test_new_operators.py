@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planloom.llm import clusters, main_text, periodic
+from planloom.llm import base, clusters, exact_dedup, main_text, mixing, ngram_join, periodic, suffix_dedup, top_k
 
 # ---- periodic runs
 
@@ -221,3 +221,118 @@ def test_extraction_keeps_rows(spark):
     assert got == sorted(((i, u, main_text.main_text(h or "")) for i, u, h in pages), key=repr)
     assert len(max((t for _, _, t in got), key=len)) == 2 + 300_000 * 5 + 1 - 1
     assert main_text.extracted(df.limit(0)).collect() == []
+
+
+# ---- numbers of 64 bits beside nulls, clashing columns, long periodic texts
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_top_k_of_large_ids_and_scores(spark, monkeypatch, block):
+    """Ids from 2^60 on, scores of about 10^18 that differ in their last digits, and blocks with and without results."""
+    for name in ("CANDIDATES_A_BLOCK", "QUERIES_A_BLOCK"):
+        monkeypatch.setattr(top_k, name, block)
+    monkeypatch.setattr(top_k, "FLOOR_ROWS", 3)
+    base_id, rng = 2**60 // 100 * 100, np.random.default_rng(8)
+    rows = [(base_id + k, [900_000.0 + float(rng.integers(0, 7)) / 1024, float(rng.integers(-3, 3)) / 1024]) for k in range(220)]
+    rows += [(None, [1.0, 1.0]), (base_id + 1000, [2.0]), (base_id + 1100, None)]
+    ints = {i: [int(np.floor(1024 * v)) for v in x] for i, x in rows if i and x and len(x) == 2}
+    want = set()
+    for q in [i for i in ints if i % 100 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(ints[q], x, strict=True)), i) for i, x in ints.items() if i != q)[:10]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {tuple(r) for r in top_k.top_k(df).collect()}
+    assert got == want and min(r[3] for r in got) > 2**59
+
+
+def removed_by_force(rows, n=suffix_dedup.LENGTH):
+    """(doc_id, bytes, removed, runs, digest of the rest) of each row."""
+    where = {}
+    for _, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - n + 1):
+            where[b[i : i + n]] = where.get(b[i : i + n], 0) + 1
+    out = []
+    for doc_id, t in rows:
+        b, upto, gone = (t or "").encode(), 0, bytearray(len((t or "").encode()))
+        for i in range(len(b) - n + 1):
+            if where[b[i : i + n]] > 1:
+                a, upto = max(upto, i), i + n
+                gone[a:upto] = b"\x01" * (upto - a)
+        runs = sum(bool(g) and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((doc_id, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def removed(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS anchor", "2 AS first").repartition(3)
+    return sorted(map(tuple, suffix_dedup.remove_repeats(df).withColumn("text", F.sha2("text", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "text").collect()), key=repr)
+
+
+@pytest.mark.parametrize("task", [60_000, 120])
+def test_suffix_dedup_of_large_ids_beside_null(spark, monkeypatch, task):
+    monkeypatch.setattr(suffix_dedup, "TASK_WINDOWS", task)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = noise(400)
+    rows = [(doc_id, noise(80) + shared[k:] + noise(90)) for k, doc_id in enumerate((2**60 + 1, 2**60 + 3, None, None, -(2**60) - 1))]
+    assert removed(spark, rows) == removed_by_force(rows)
+
+
+@pytest.mark.parametrize(("task", "block"), [(60_000, 500_000), (100, 500_000), (60_000, 700), (150, 450)])
+def test_suffix_dedup_of_periodic_texts(spark, monkeypatch, task, block):
+    """Stretches of several periods, broken off, within and across texts and blocks; windows of one that stand elsewhere once."""
+    monkeypatch.setattr(suffix_dedup, "TASK_WINDOWS", task)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(task + block)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    roots = ["a", "ab", "abcdefg", noise(31), noise(33), noise(90), noise(168), noise(190)]
+    rows = [(k, noise(rng.randrange(60)) + (root * 900)[: rng.randrange(300, 900)] + noise(rng.randrange(250))) for k, root in enumerate(roots * 2)]
+    rows += [(100 + k, noise(50) + (root * 300)[5:235] + noise(20)) for k, root in enumerate(roots)]
+    broken = (roots[3] * 30)[:700]
+    rows += [(200, broken[:350] + "#" + broken[351:]), (201, broken[:100] + "#" + broken[101:]), (None, "a" * 700), (300, "é" * 300), (301, "a" * 201), (302, "b" * 201)]
+    assert removed(spark, rows) == removed_by_force(rows)
+
+
+@pytest.mark.parametrize("period", ["a", "abcdefg"])
+def test_slices_of_a_long_periodic_text_are_few(period):
+    import resource
+
+    text = (period * 20_000_000)[:20_000_000].encode()
+    before, n = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0
+    for block in suffix_dedup.in_blocks([text]):
+        texts = [t for _, _, t in block]
+        n += len(suffix_dedup.folded(texts, *suffix_dedup.slices(texts))[0])
+    assert n < 100 * (len(text) / suffix_dedup.BLOCK_BYTES + 1)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+
+
+INTERNAL = "gone_id gone_kept gone_digest gone_rows _gone_id _gone_kept _gone_digest _source _copies _below _target _times _copy mix_source mix_copies mix_below mix_again _score digest row n kept hash size other key slot bucket"
+
+
+def test_columns_of_any_name_pass(spark):
+    """Every name that an operator uses itself, as an extra column, comes back with its values."""
+    names = [*INTERNAL.split(), "a.b", "c`d"]
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(k, t, s) for k, (t, s) in enumerate([(text, "a"), (text, "a"), (text + " x", "b"), ("y z", None), ("y z ", "b"), (None, "c"), (text[::-1], "c")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.select("*", *(F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")).alias(name) for k, name in enumerate(names)))
+    for stage in (exact_dedup.deduplicated, ngram_join.one_of_each, mixing.mixed):
+        got = stage(df)
+        assert got.columns == df.columns
+        rows_ = got.collect()
+        assert rows_ and all(r[3 + k] == f"{k}:{r.doc_id}" for r in rows_ for k in range(len(names)))
+
+
+def test_unused_names():
+    assert base.unused(["a", "_A", "b"], "a", "b", "c") == ["__a", "_b", "_c"]
+
+
+def test_ngram_join_with_one_bucket_of_most_rows(spark, monkeypatch):
+    """Near copies of one text share buckets and one hub: beyond HOT_ROWS their rows are joined by broadcast."""
+    monkeypatch.setattr(base, "HOT_ROWS", 10)
+    words = [f"w{k}" for k in range(200)]
+    rows = [(2**60 + k, " ".join([*words[:-1], f"x{k}"])) for k in range(60)] + [(k, f"other text {k} of its own words {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == {2**60 + k: (2**60, 59, k == 0) for k in range(60)} | {k: (k, 0, True) for k in range(20)}
