@@ -1,7 +1,8 @@
 """A corpus from raw documents: quality, exact and near duplicates, source mix, token ids.
 
-Every stage works on all that its predecessor kept, and its decisions take effect. Repeated doc_ids, null columns and
-empty tables are handled as the operators say. Columns of the documents other than those named pass through.
+Every stage works on all that its predecessor kept, and its decisions take effect. Repeated doc_ids, null columns, very
+long texts and empty tables are handled as the operators say: texts are scored, compared and encoded whole. Columns of
+the documents other than those named pass through the stages that keep columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents of at least the classifier's accepted score go on."""
     ship(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("_score", quality.score(F.col("text"), model))
-    return scored.where(F.col("_score") >= quality.ACCEPTED_FROM).select(*docs.columns)
+    return docs.where(quality.score(F.col("text"), model) >= quality.ACCEPTED_FROM)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
