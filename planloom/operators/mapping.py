@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import similarity
 from ..functions import text as t
 from ..functions import wordlists as w
+from ..sources.artefacts import Artefacts
 from .ordering import categorize
 from .retrieval import hybrid
 
@@ -80,14 +81,14 @@ def entry_links(entry: Column) -> tuple[Column, Column]:
     return link, F.when((F.coalesce(entry["validation_link"], F.lit("")) != "") & (entry["key"] != ""), check)
 
 
-def best_entries(actions: DataFrame, entries: DataFrame) -> DataFrame:
+def best_entries(actions: DataFrame, entries: DataFrame, artefacts: Artefacts | None = None) -> DataFrame:
     """action_id, entry_id, name_score: the gated candidate of the highest total for each action (action_id, name, steps).
 
     Each distinct pair of target and name is compared once.
     """
     rows = actions.withColumn("targets", targets(F.col("steps"), strict=False))
     queries = rows.select(F.col("action_id").alias("query_id"), F.concat_ws(" ", "name", F.array_join("targets", " "), F.array_join("steps", " ")).alias("text"))
-    candidates = hybrid(queries, entries).withColumnRenamed("query_id", "action_id")
+    candidates = hybrid(queries, entries, artefacts=artefacts).withColumnRenamed("query_id", "action_id")
     named = (
         candidates.join(rows.select("action_id", F.posexplode("targets").alias("at", "target"), F.size("targets").alias("n")), "action_id")
         .join(entries.select("entry_id", "original_type", F.explode("names").alias("setting")), "entry_id")
@@ -107,11 +108,12 @@ def best_entries(actions: DataFrame, entries: DataFrame) -> DataFrame:
     return gated.withColumn("total", total).where("total > 0").withColumn("_r", rank).where("_r = 1").select("action_id", "entry_id", "name_score")
 
 
-def map_actions(actions: DataFrame, entries: DataFrame) -> DataFrame:
+def map_actions(actions: DataFrame, entries: DataFrame, artefacts: Artefacts | None = None) -> DataFrame:
     """Actions (action_id, name, category, steps, ...) with kind (catalog, dummy, none), link, check, chosen_id, name_score
-    and their final category. Manual actions never get a link, and so aren't searched for one."""
+    and their final category. Manual actions never get a link, and so aren't searched for one. artefacts: where the entries'
+    index is kept from call to call."""
     searched = actions.where("category <> 'manual'").select("action_id", "name", "steps")
-    best = best_entries(searched, entries).join(entries, "entry_id").select("action_id", F.struct("entry_id", "deeplink", "description", "message", "original_type", "key", "validation_link").alias("entry"), F.round("name_score", 3).alias("name_score"))
+    best = best_entries(searched, entries, artefacts).join(entries, "entry_id").select("action_id", F.struct("entry_id", "deeplink", "description", "message", "original_type", "key", "validation_link").alias("entry"), F.round("name_score", 3).alias("name_score"))
     rows = actions.join(best, "action_id", "left")
     body = F.array_join("steps", " ")
     auto, critical = F.col("category") == "auto", F.col("category") == "critical"

@@ -5,6 +5,8 @@ A corpus is a DataFrame (entry_id, text); queries are (query_id, text). Ties go
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,9 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 from ..functions import wordlists as w
 from ..functions.vectors import nearest
+from ..session import settled
+from ..sources.artefacts import Artefacts, digest_of
+from . import inverted
 
 
 def usable_entries(catalog: DataFrame) -> DataFrame:
@@ -67,6 +72,12 @@ def bm25_weights(corpus: DataFrame) -> DataFrame:
     return index.join(terms, "term").select("term", "entry_id", (F.col("idf") * F.col("tf") * (w.BM25_K1 + 1) / (F.col("tf") + norm)).alias("weight"))
 
 
+def bm25_top(queries: DataFrame, index: inverted.Index, k: int, digits: int = 6) -> DataFrame:
+    """query_id, entry_id, bm25, rank (from 1) of the k best entries that share a term with the query, by rounded scores."""
+    lists = inverted.top_k(inverted.asked_terms(queries, index.terms), index.blocks, k, digits, "bm25")
+    return ranked(lists, "bm25", k, digits)
+
+
 def bm25_scores(queries: DataFrame, weights: DataFrame) -> DataFrame:
     """query_id, entry_id, bm25 for entries that share a term with the query; repeated query terms count again."""
     terms = queries.select("query_id", F.explode(t.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -128,32 +139,72 @@ def fuse(first: DataFrame, second: DataFrame) -> DataFrame:
     return part(first).unionByName(part(second)).groupBy("query_id", "entry_id").agg(F.sum("part").alias("fused"))
 
 
-def ranked_with_zeros(queries: DataFrame, scores: DataFrame, score: str, entries: DataFrame, k: int, digits: int) -> DataFrame:
-    """As `ranked` over all pairs of queries and entries, where those that scores lacks have 0; few of these are made.
+def numbered(ids: DataFrame) -> DataFrame:
+    """entry_id, place (from 1, by entry_id): sorted by ranges, and each range counted on from the rows before it."""
+    rows = settled(ids.select("entry_id").orderBy("entry_id").withColumn("at", F.monotonically_increasing_id()), "sorted-ids")
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    starts = F.broadcast(sizes.select("part", before.alias("before")))
+    return rows.withColumn("part", part).join(starts, "part").select("entry_id", (F.col("before") + F.col("at") - F.shiftleft("part", 33) + 1).alias("place"))
 
-    Where fewer than k scores are above 0, k entries without a score are among the first k + (its scores) by entry_id.
+
+def ranked_with_zeros(asked: DataFrame, blocks: DataFrame, name: str, queries: DataFrame, entries: DataFrame, k: int, digits: int) -> DataFrame:
+    """As `ranked` over all pairs of queries and entries, where those without a common term have 0; few of these are made.
+
+    Queries with k scores above 0 among their lists need no others. Of the rest all scores are worked out, as some may be
+    below 0; k entries without a score are among the first k + (its scores) by entry_id.
     """
-    scores = scores.select("query_id", "entry_id", F.round(score, digits).alias(score))
-    counts = scores.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col(score) > 0).alias("above"))
-    short = queries.select("query_id").join(counts, "query_id", "left").na.fill(0, ["n", "above"]).where(F.col("above") < k)
-    # Numbers of all entries: one task sorts their ids, and nothing else of them.
-    places = entries.select("entry_id", F.row_number().over(Window.orderBy("entry_id")).cast("long").alias("place"))
-    zeros = short.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + k)).alias("place")).join(places, "place")
-    every = scores.unionByName(zeros.select("query_id", "entry_id", F.lit(0.0).alias(score)))
-    return ranked(every.groupBy("query_id", "entry_id").agg(F.sum(score).alias(score)), score, k)
+    asked = settled(asked, "asked")
+    lists = inverted.top_k(asked, blocks, k, digits, name)
+    rounded = F.round(name, digits)
+    enough = settled(lists.groupBy("query_id").agg(F.count_if(rounded > 0).alias("above")).where(F.col("above") >= k).select("query_id"), "enough")
+    full = lists.join(enough, "query_id", "left_semi").select("query_id", "entry_id", rounded.alias(name))
+    rest = queries.select("query_id").join(enough, "query_id", "left_anti")
+    few = inverted.scores(asked.join(rest, "query_id", "left_semi"), blocks, name).select("query_id", "entry_id", rounded.alias(name))
+    few = settled(few, "few-scores")
+    short = rest.join(few.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").na.fill(0, ["n"])
+    zeros = short.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + k)).alias("place")).join(numbered(entries), "place")
+    every = few.unionByName(zeros.select("query_id", "entry_id", F.lit(0.0).alias(name))).groupBy("query_id", "entry_id").agg(F.sum(name).alias(name))
+    return ranked(full.unionByName(every), name, k)
+
+
+class HybridIndex(NamedTuple):
+    """What `hybrid` needs of the entries: the lexical index, the model of grams, and the vectors' index."""
+
+    lexical: inverted.Index
+    model: DataFrame
+    vectors: DataFrame
+
+
+def hybrid_index(entries: DataFrame, artefacts: Artefacts | None = None) -> HybridIndex:
+    """Of entries (entry_id, text). With artefacts it is built once for the same texts, and read from then on."""
+
+    def build() -> dict[str, DataFrame]:
+        lexical, model = inverted.bm25_index(entries), settled(tfidf_fit(entries), "tfidf-model")
+        vectors = inverted.vector_index(tfidf_vectors(entries, "entry_id", model))
+        return {"blocks": lexical.blocks, "terms": lexical.terms, "model": model, "vectors": vectors}
+
+    if artefacts is None:
+        found = {name: settled(df, f"hybrid-{name}") for name, df in build().items()}
+    else:
+        found = artefacts.get("hybrid", digest_of(entries, "entry_id", "text", made_by="bm25+tfidf:3-5"), build)
+    return HybridIndex(inverted.Index(found["blocks"], found["terms"]), found["model"], found["vectors"])
 
 
-def hybrid(queries: DataFrame, entries: DataFrame, k: int = w.RETRIEVAL_TOP_K) -> DataFrame:
+def hybrid(queries: DataFrame, entries: DataFrame, k: int = w.RETRIEVAL_TOP_K, artefacts: Artefacts | None = None) -> DataFrame:
     """query_id, entry_id, fused, dense, bm25, rank (from 0) of the k best entries by both lists.
 
     Lists are cut at 4k; an entry without a common term has bm25 0 and still takes a rank, as the lists are full. Only
-    pairs that share a term or a gram are scored.
+    pairs that share a term or a gram can be scored, and of these only what may reach a list.
     """
-    model = tfidf_fit(entries)
-    lexical = bm25_scores(queries, bm25_weights(entries))
-    dense = sparse_scores(tfidf_vectors(queries, "query_id", model), tfidf_vectors(entries, "entry_id", model))
-    by_terms = ranked_with_zeros(queries, lexical, "bm25", entries, 4 * k, 9)
-    by_vectors = ranked_with_zeros(queries, dense, "dense", entries, 4 * k, 9)
-    best = ranked(fuse(by_terms, by_vectors), "fused", k, 12)
+    index = hybrid_index(entries, artefacts)
+    terms = settled(inverted.asked_terms(queries, index.lexical.terms), "asked-terms")
+    grams_ = settled(tfidf_vectors(queries, "query_id", index.model).select("query_id", F.col("gram").alias("term"), "weight"), "asked-grams")
+    by_terms = ranked_with_zeros(terms, index.lexical.blocks, "bm25", queries, entries, 4 * k, 9)
+    by_vectors = ranked_with_zeros(grams_, index.vectors, "dense", queries, entries, 4 * k, 9)
+    best = settled(ranked(fuse(by_terms, by_vectors), "fused", k, 12), "hybrid-best")
+    lexical = inverted.scores(terms, index.lexical.blocks, "bm25", best)
+    dense = inverted.scores(grams_, index.vectors, "dense", best)
     both = best.join(lexical, ["query_id", "entry_id"], "left").join(dense, ["query_id", "entry_id"], "left").na.fill(0.0, ["bm25", "dense"])
     return both.withColumn("rank", F.col("rank") - 1)

@@ -19,6 +19,7 @@ from ..operators.mapping import CHECK, LINK
 from ..operators.pairing import paired
 from ..session import settled
 from ..sources import readers
+from ..sources.artefacts import Artefacts
 from ..sources.readers import GOAL, PlanStore
 from .pipeline import BagOfWords, admit, finish, response
 
@@ -112,17 +113,18 @@ def extract_stage(complaints: DataFrame, articles: DataFrame, catalog: DataFrame
     return _counters(rows, audited(rows, "query_id", legal_uris(catalog)))
 
 
-def map_stage(catalog: DataFrame, source: str, path: str) -> DataFrame:
+def map_stage(catalog: DataFrame, source: str, path: str, artefacts: Artefacts | None = None) -> DataFrame:
     """What extract_stage wrote to source with links and final order, written to path.
 
-    Returns the counters, the actions of each category, how many auto ones have a link, and links by kind.
+    Of a reply the first plan is mapped. Returns the counters, the actions of each category, how many auto ones have a link,
+    and links by kind. artefacts: where the catalog's index is kept.
     """
     spark = catalog.sparkSession
     rows = spark.read.schema(STAGE).json(source)
     first = F.get("response.contexts", F.lit(0))
     flat = F.transform(first["actions"], lambda a: F.struct(a["actionName"].alias("name"), a["description"].alias("description"), a["category"].alias("category"), F.get(a["stepGroups"], F.lit(0))["steps"].alias("steps")))
     extracted = rows.withColumns({"goal": first["goal"], "plan_title": first["title"], "score": first["score"], "actions": flat})
-    done = settled(finish(extracted.where(first.isNotNull()).drop("response"), catalog), "plans")
+    done = settled(finish(extracted.where(first.isNotNull()).drop("response"), catalog, artefacts), "plans")
     readers.write_jsonl(_stage_rows(rows.drop("response"), done), path)
     mapped = spark.read.schema(STAGE).json(path)
     of_category = [F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]
@@ -151,10 +153,7 @@ def warm(catalog: DataFrame, source: str, store: PlanStore, embedder: BagOfWords
     new = settled(new, "warmed")
     if rebuild:
         store.clear(embedder.name)
-    plans, doors, made_by = store.read()
-    if made_by and made_by != embedder.name:
-        doors = doors.withColumn("vec", embedder.encode(F.col("text")))
-    admit(new, plans, doors, store, embedder)
+    admit(new, store, embedder, store.last())
     return new.count()
 
 

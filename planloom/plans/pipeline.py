@@ -17,6 +17,7 @@ from ..operators.mapping import map_actions
 from ..operators.ordering import order_actions
 from ..operators.retrieval import usable_entries
 from ..session import settled
+from ..sources.artefacts import Artefacts
 from ..sources.readers import GOAL, PlanStore, catalog_uris
 
 
@@ -41,13 +42,13 @@ class Settings:
     kind: str = "rules"
 
 
-def finish(extracted: DataFrame, catalog: DataFrame) -> DataFrame:
+def finish(extracted: DataFrame, catalog: DataFrame, artefacts: Artefacts | None = None) -> DataFrame:
     """Extracted complaints (query_id, ...) with mapped, ordered actions: plan_id, goal, title, score, actions with groups."""
     good = extracted.where("fallback IS NULL")
     exploded = good.select("query_id", F.posexplode("actions").alias("action_no", "a")).select(
         F.concat_ws(":", F.col("query_id").cast("string"), F.col("action_no").cast("string")).alias("action_id"), "query_id", "action_no", "a.*"
     )
-    mapped = map_actions(exploded, usable_entries(catalog))
+    mapped = map_actions(exploded, usable_entries(catalog), artefacts)
     row = F.struct("action_no", "name", "description", "category", "steps", "link", "check")
     nested = mapped.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("actions"))
     actions = F.transform(
@@ -77,23 +78,35 @@ def response(plans: DataFrame) -> Column:
     return F.struct(F.array(F.struct("goal", "title", "score", actions.alias("actions"))).alias("contexts")).cast(f"struct<contexts:array<{GOAL}>>")
 
 
-def admit(new: DataFrame, plans: DataFrame, doors: DataFrame, store: PlanStore, embedder: BagOfWords) -> None:
-    """Writes a version of the store in which new (its columns and normalized_query; one row a plan_id) replaced plans of their ids."""
-    top = F.coalesce(F.lit(doors.agg(F.max("seq")).first()[0]), F.lit(-1)) + 1
+def admit(new: DataFrame, store: PlanStore, embedder: BagOfWords, version: int, stream: dict | None = None) -> None:
+    """Writes a version of the store in which new (its columns and normalized_query; one row a plan_id) replaced plans of their ids.
+
+    version: the one that was read. Vectors of another embedder are made anew, and the store is written whole.
+    """
+    new = settled(new, "new-plans")
     # Sorted by ranges of plans: the numbers of the rows rise with plan_id and place, though no task has all of them.
-    ordered = cache.doors_of(new).orderBy("plan_id", "place").withColumn("seq", top + F.monotonically_increasing_id())
-    new_doors = ordered.withColumn("vec", embedder.encode(F.col("text")))
-    all_plans, all_doors = cache.put(plans, doors, new.drop("normalized_query"), new_doors.select("plan_id", "kind", "text", "norm", "vec", "seq"))
-    store.write(all_plans, all_doors, embedder.name)
+    ordered = cache.doors_of(new).orderBy("plan_id", "place").withColumn("seq", F.monotonically_increasing_id())
+    new_doors = ordered.withColumn("vec", embedder.encode(F.col("text"))).select("plan_id", "kind", "text", "norm", "vec", "seq")
+    made_by = store.commit(version)["embedder"]
+    if made_by not in (None, embedder.name):
+        plans, doors, _ = store.read(version)
+        store.write(plans, doors.withColumn("vec", embedder.encode(F.col("text"))), embedder.name)
+    if stream or not new.isEmpty():
+        store.put(new.drop("normalized_query"), new_doors, embedder.name, stream)
 
 
-def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder: BagOfWords | None = None, extractor: Extractor = rules_extractor, settings: Settings = Settings()) -> DataFrame:
+def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder: BagOfWords | None = None, extractor: Extractor = rules_extractor, settings: Settings = Settings(), batch: tuple[str, int] | None = None, artefacts: Artefacts | None = None) -> DataFrame:
     """A reply for each complaint (query_id, query, title, content): from the cache, from its article, or a fallback.
 
-    New plans without an audit error are written through. Articles without content count as no article.
+    New plans without an audit error are written through. Articles without content count as no article. batch: name of a
+    stream and number in it; a batch that was written through before is answered from the version that it read then.
+    artefacts: where the catalog's index is kept, so that it is built once for the same entries.
     """
     embedder = embedder or BagOfWords()
-    plans, doors, made_by = store.read()
+    before = store.batch_of(batch[0]) if batch else None
+    again = before is not None and before["batch"] == batch[1]
+    version = before["read"] if again else store.last()
+    plans, doors, made_by = store.read(version)
     if made_by and made_by != embedder.name:  # the vectors mean nothing to this embedder
         doors = doors.withColumn("vec", embedder.encode(F.col("text")))
     asked = complaints.withColumn("article", F.when(F.trim(F.coalesce("content", F.lit(""))) != "", t.article_hash(F.col("title"), F.col("content"))))
@@ -107,7 +120,7 @@ def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder
     )
     missed = asked.join(hits.select("query_id"), "query_id", "left_anti")
     extracted = settled(extract(missed, extractor, settings.kind), "extracted")
-    done = settled(finish(extracted, catalog), "plans")
+    done = settled(finish(extracted, catalog, artefacts), "plans")
     issues = audit(done.select("plan_id", "goal", "title", "score", "actions"), catalog_uris(catalog).union(catalog.sparkSession.createDataFrame([(w.PLACEHOLDER_URI,)], "uri string")))
     answered = done.withColumn("response", F.to_json(response(done), {"ignoreNullFields": "false"}))
     fresh = missed.select("query_id", "query").join(answered.select("query_id", "response", "query_variations"), "query_id", "left").join(extracted.select("query_id", "fallback"), "query_id").select(
@@ -122,5 +135,6 @@ def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder
     )
     # A reply has to be settled before the store it was looked up in changes.
     replies = settled(served.unionByName(fresh), "replies")
-    admit(new, plans, doors, store, embedder)
+    if not again:
+        admit(new, store, embedder, version, {"name": batch[0], "batch": batch[1], "read": version} if batch else None)
     return replies

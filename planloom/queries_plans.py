@@ -106,7 +106,7 @@ def _bench(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = _bench(spark, sf_dir)
-    best = retrieval.ranked(retrieval.bm25_scores(queries, retrieval.bm25_weights(corpus)), "bm25", 15, 6)
+    best = retrieval.bm25_top(queries, retrieval.inverted.bm25_index(corpus), 15)
     return best.select("query_id", "entry_id", "bm25", F.col("rank").cast("long").alias("rank"))
 
 
@@ -146,7 +146,7 @@ DENSE_SQL = f"WITH {_DENSE_CTE} SELECT query_id, entry_id, dense, rank FROM v WH
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items' BM25 list fused with the dense list of the vector of the same number."""
     queries, corpus = _bench(spark, sf_dir)
-    by_terms = retrieval.ranked(retrieval.bm25_scores(queries, retrieval.bm25_weights(corpus)), "bm25", 60, 6)
+    by_terms = retrieval.bm25_top(queries, retrieval.inverted.bm25_index(corpus), 60)
     v = _vectors(spark, sf_dir)
     scores = retrieval.dense_candidates(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v.select(F.col("vec_id").alias("entry_id"), "vec"), 60)
     by_vectors = retrieval.ranked(scores, "dense", 60, 6)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import exists
+from .plan_store import DOORS, PLANS, PlanStore
+
+__all__ = ["DOORS", "PLANS", "PlanStore", "exists"]  # beside what this module defines
+
 LINK_ROW = """id string, deeplink string, description string, message string, originalType string, qna_description string,
 validation struct<deeplink:string,key:string>"""
 CATALOG = f"deeplinks array<struct<{LINK_ROW.replace(' string', ':string').replace('validation struct', 'validation:struct')}>>"
@@ -16,8 +21,6 @@ category:string,stepGroups:array<struct<steps:array<string>,
 actionableDeeplink:struct<deeplink:string,description:string,message:string,classes:map<string,string>,originalType:string>,
 validationDeeplink:struct<deeplink:string,key:string,resultType:string,condition:string,value:string>>>>>>"""
 REPLY = f"query string, query_variations array<string>, response struct<contexts:array<{GOAL}>>, meta map<string,string>"
-PLANS = "plan_id string, query string, response string, variations array<string>, article string, created double"
-DOORS = "plan_id string, kind string, text string, norm string, vec array<float>, seq bigint"
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -72,45 +75,6 @@ def to_article(raw: Column) -> Column:
     return F.when(raw.isNull(), F.lit(None)).when(is_object, inner).otherwise(text)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-class PlanStore:
-    """The cache's tables under one folder. A write makes a new version, and readers keep the one they began with."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/info/_SUCCESS")))
-
-    def read(self) -> tuple[DataFrame, DataFrame, str | None]:
-        """plans, doors, name of the embedder that made the vectors."""
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], PLANS), self.spark.createDataFrame([], DOORS), None
-        at = f"{self.path}/v{versions[-1]}"
-        info = self.spark.read.schema("embedder string").parquet(f"{at}/info").first()
-        return self.spark.read.schema(PLANS).parquet(f"{at}/plans"), self.spark.read.schema(DOORS).parquet(f"{at}/doors"), info.embedder if info else None
-
-    def write(self, plans: DataFrame, doors: DataFrame, embedder: str) -> None:
-        """info is written last: a version without it was broken off and is never read."""
-        at = f"{self.path}/v{(self._versions() or [0])[-1] + 1}"
-        plans.write.mode("overwrite").parquet(f"{at}/plans")
-        doors.write.mode("overwrite").parquet(f"{at}/doors")
-        self.spark.createDataFrame([(embedder,)], "embedder string").coalesce(1).write.mode("overwrite").parquet(f"{at}/info")
-
-    def clear(self, embedder: str) -> None:
-        self.write(self.spark.createDataFrame([], PLANS), self.spark.createDataFrame([], DOORS), embedder)
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     """UTF-8 as it is, one reply a line."""
     df.write.mode("overwrite").json(path)
@@ -123,6 +87,7 @@ def write_report(metrics: DataFrame, path: str) -> None:
 
 def markdown_report(metrics: DataFrame, title: str) -> str:
     """A row of figures as a table; what is missing reads n/a."""
-    row = (metrics.first() or {}) and metrics.first().asDict()
+    first = metrics.first()
+    row = first.asDict() if first else {}
     shown = lambda v: "n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     return "\n".join([f"# {title}", "", "| figure | value |", "|---|---|", *(f"| {k} | {shown(v)} |" for k, v in row.items()), ""])
