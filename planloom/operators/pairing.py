@@ -1,16 +1,19 @@
 """Which article belongs to which complaint: equal texts first, else the most similar text of a ratio of 0.9 or more.
 
-A pair of this ratio agrees in so many characters that it must have trigrams in common, at least as many as `paired`
-counts; so only pairs that share these are compared one by one, and none that qualifies is missed.
+A pair of this ratio agrees in so many characters that it must have a number of trigrams in common, and so one of its
+rarest ones. Only texts that share a rare trigram are candidates, by a join on these (common trigrams join nothing), and
+only candidates with enough trigrams in common are compared one by one. None that qualifies is missed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import similarity
 from ..functions import text as t
+from ..session import settled
 
 LEAST_RATIO = 0.9
 
@@ -22,10 +25,55 @@ def bare(text: Column) -> Column:
 
 
 def _trigrams(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, gram, n, length; texts are padded by two characters on each side."""
+    """key, gram, length, n, places; texts are padded by two characters on each side."""
     padded = F.concat(F.lit("\x01\x01"), F.col(text), F.lit("\x02\x02"))
     grams = F.transform(F.sequence(F.lit(1), F.length(text) + 2), lambda i: F.substring(padded, i, F.lit(3)))
-    return rows.select(key, F.length(text).alias("length"), F.explode(grams).alias("gram")).groupBy(key, "gram", "length").agg(F.count("*").alias("n"))
+    return rows.select(key, F.length(text).alias("length"), F.posexplode(grams).alias("place", "gram")).groupBy(key, "gram", "length").agg(F.count("*").alias("n"), F.collect_list("place").alias("places"))
+
+
+def _apart(length_a: Column, length_b: Column) -> Column:
+    """Of two texts of these lengths and the least ratio, at most so many characters have no partner."""
+    return F.floor((1 - LEAST_RATIO) * (length_a + length_b) + 1e-9)
+
+
+def _common(length_a: Column, length_b: Column) -> Column:
+    """The least number of trigrams that two texts of these lengths and the least ratio have in common.
+
+    A character without a partner spoils three trigrams of its own text, and two of the other, whose neighbours it parts.
+    """
+    return F.ceil((length_a + length_b) / 2 + 2 - 2.5 * _apart(length_a, length_b))
+
+
+def _rarest(grams: DataFrame, frequency: DataFrame) -> DataFrame:
+    """key, gram, length, place: a text's rarest trigrams, so many that one of them is common to any text of the least ratio.
+
+    Of the trigrams that two such texts keep in common, c or more, take the rarest over all texts. The others are no
+    rarer, so at most length + 2 - c of a text's trigrams are. c is least for the shortest text that can reach the ratio.
+    """
+    key = grams.columns[0]
+    shortest = F.ceil(F.col("length") * LEAST_RATIO / (2 - LEAST_RATIO))
+    least = F.ceil(0.25 * (F.col("length") + shortest) + 2)
+    before = Window.partitionBy(key).orderBy("texts", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))
+    ordered = grams.join(frequency, "gram").withColumn("ahead", ahead)
+    return ordered.where(F.col("ahead") < F.col("length") + 3 - least).select(key, "gram", "length", F.explode("places").alias("place"))
+
+
+def candidates(rest: DataFrame, held: DataFrame) -> DataFrame:
+    """asked, held, of_asked, of_held: pairs of texts that share one of both's rarest trigrams, at near enough places.
+
+    A trigram that is kept moves by the characters without a partner before it: to the right by those of one text, to the
+    left by the other's. rest (asked) and held (held) have each text once. No pair of the least ratio is missing.
+    """
+    a, b = _trigrams(rest, "asked", "asked"), _trigrams(held, "held", "held")
+    frequency = a.select("gram").unionByName(b.select("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
+    frequency = settled(frequency, "trigram-frequency")
+    few_a = _rarest(a, frequency).withColumnsRenamed({"length": "of_asked", "place": "at"})
+    few_b = _rarest(b, frequency).withColumnsRenamed({"length": "of_held", "place": "held_at"})
+    apart, longer = _apart(F.col("of_asked"), F.col("of_held")), F.col("of_asked") - F.col("of_held")
+    moved = 2 * (F.col("at") - F.col("held_at"))
+    near = (F.abs(longer) <= apart) & (moved <= apart + longer) & (moved >= longer - apart)
+    return few_a.join(few_b, "gram").where(near).select("asked", "held", "of_asked", "of_held").distinct()
 
 
 def paired(complaints: DataFrame, articles: DataFrame) -> DataFrame:
@@ -34,18 +82,17 @@ def paired(complaints: DataFrame, articles: DataFrame) -> DataFrame:
     articles: original_query, title, content. Of equal texts and equal ratios the least title, then content, wins.
     """
     first = F.min(F.struct("title", "content")).alias("article")
-    held = articles.select(bare(F.col("original_query")).alias("held"), "title", "content").groupBy("held").agg(first)
+    held = settled(articles.select(bare(F.col("original_query")).alias("held"), "title", "content").groupBy("held").agg(first), "held-articles")
     asked = complaints.withColumn("asked", bare(F.col("query")))
     texts = asked.select("asked").distinct()
     exact = texts.join(held, F.col("asked") == F.col("held")).select("asked", "article")
-    rest = texts.join(exact, "asked", "left_anti")
-    a = _trigrams(rest, "asked", "asked").select("asked", "gram", F.col("n").alias("n_asked"), F.col("length").alias("of_asked"))
-    b = _trigrams(held, "held", "held").select("held", "gram", F.col("n").alias("n_held"), F.col("length").alias("of_held"))
-    # Of two texts of together s characters and this ratio, at most (1 - ratio) * s have no partner; each spoils three trigrams.
-    apart = F.floor((1 - LEAST_RATIO) * (F.col("of_asked") + F.col("of_held")) + 1e-9)
-    near = F.abs(F.col("of_asked") - F.col("of_held")) <= apart
-    shared = a.join(b, "gram").where(near).groupBy("asked", "held", "of_asked", "of_held").agg(F.sum(F.least("n_asked", "n_held")).alias("shared"))
-    few = shared.where(F.col("shared") >= F.greatest("of_asked", "of_held") + 2 - 3 * apart)
+    rest = settled(texts.join(exact, "asked", "left_anti"), "unpaired")
+    pairs = settled(candidates(rest, held), "pair-candidates")
+    # Of the candidates only, the trigrams that they share, as often as both have them.
+    own = pairs.join(_trigrams(rest, "asked", "asked").select("asked", "gram", F.col("n").alias("n_asked")), "asked")
+    both = own.join(_trigrams(held, "held", "held").select("held", "gram", F.col("n").alias("n_held")), ["held", "gram"])
+    shared = both.groupBy("asked", "held", "of_asked", "of_held").agg(F.sum(F.least("n_asked", "n_held")).alias("shared"))
+    few = shared.where(F.col("shared") >= _common(F.col("of_asked"), F.col("of_held")))
     scored = few.withColumn("ratio", similarity.sequences(F.col("asked"), F.col("held"))).where(F.col("ratio") >= LEAST_RATIO)
     best = scored.join(held, "held").groupBy("asked").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "article")).alias("b")).select("asked", F.col("b.article").alias("article"))
     found = exact.unionByName(best)

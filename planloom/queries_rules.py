@@ -295,6 +295,24 @@ def paired_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIRED_SQL = "SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'a' || s_suppkey END AS title FROM supplier"
 
+
+def paired_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each part two articles that differ in one letter, and a complaint with that letter and up to fourteen more wrong."""
+    key = F.col("p_partkey").cast("string")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.md5(key.cast("binary")), F.lit(" of "), F.lower("p_name")).alias("about"))
+    at = lambda letter: F.concat(F.substring("about", 1, 9), F.lit(letter), F.expr("substring(about, 11)"))
+    articles = [p.select(at(letter).alias("original_query"), F.concat(F.lit(f"{letter}-"), "p_partkey").alias("title"), F.lit("x").alias("content")) for letter in "zy"]
+    wrong = (F.col("p_partkey") % 15).cast("int")
+    right = F.concat(F.expr("substring(about, 1, length(about) - p_partkey % 15)"), F.repeat(F.lit("#"), wrong))
+    complaints = p.withColumn("about", right).select("p_partkey", at("#").alias("query"))
+    return pairing.paired(complaints, articles[0].unionByName(articles[1])).select("p_partkey", "title")
+
+
+# All but the wrong letters have partners, in both texts.
+PAIRED_PARTS_SQL = """
+SELECT p_partkey, CASE WHEN 1.0 - (1 + p_partkey % 15) / (36.0 + length(p_name)) >= 0.9 THEN 'y-' || p_partkey END AS title FROM part
+"""
+
 #: For queries of `queries_plans`.
 SQL_FOR = {"map_actions": MAP_SQL, "action_targets": TARGETS_SQL}
 
@@ -305,4 +323,5 @@ QUERIES = {
     "instructions": (instructions, INSTRUCTIONS_SQL),
     "article_rule": (article_rule, ARTICLE_SQL),
     "paired_complaints": (paired_complaints, PAIRED_SQL),
+    "paired_parts": (paired_parts, PAIRED_PARTS_SQL),
 }
