@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from . import wordlists as w
 
 TYPO_RATIO = 85.0
+#: Windows of a text that are compared together.
+WINDOWS_AT_ONCE = 1 << 16
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,25 +53,36 @@ def partial_ratio(a: str, b: str) -> float:
         return 0.0 if long_ else 100.0
     if short in long_:
         return 100.0
-    windows = [long_[i : i + n] for i in range(len(long_) - n + 1)]
-    windows += [long_[:k] for k in range(1, n)] + [long_[-k:] for k in range(1, n)]
-    if n > 63:
-        return max(indel_ratio(short, x) for x in windows)
-    # The same bit rows for all windows at once, a column of characters at a time.
+    # The bit rows of all windows at once, a column of characters at a time; a row is several 64-bit words with carries.
     alphabet = {c: k + 1 for k, c in enumerate(dict.fromkeys(short))}
-    where = np.zeros(len(alphabet) + 1, np.uint64)
+    words = -(-n // 64)
+    where = np.zeros((words, len(alphabet) + 1), np.uint64)
     for k, c in enumerate(short):
-        where[alphabet[c]] |= np.uint64(1 << k)
+        where[k // 64, alphabet[c]] |= np.uint64(1 << k % 64)
     codes = np.array([alphabet.get(c, 0) for c in long_], np.int64)
     at = np.array([*range(len(long_) - n + 1), *[0] * (n - 1), *range(len(long_) - 1, len(long_) - n, -1)])
     size = np.array([n] * (len(long_) - n + 1) + [*range(1, n)] * 2)
-    mask = np.uint64((1 << n) - 1)
-    row = np.full(len(at), mask)
+    return max(_window_ratios(where, codes, at[k : k + WINDOWS_AT_ONCE], size[k : k + WINDOWS_AT_ONCE], n) for k in range(0, len(at), WINDOWS_AT_ONCE))
+
+
+def _window_ratios(where: np.ndarray, codes: np.ndarray, at: np.ndarray, size: np.ndarray, n: int) -> float:
+    """The best indel ratio of a text of n characters with the windows at these places. where: by word and code, the bits
+    of the text's characters."""
+    words = len(where)
+    masks = [np.uint64((1 << min(64, n - 64 * k)) - 1) for k in range(words)]
+    rows = [np.full(len(at), mask) for mask in masks]
     for k in range(n):
-        inside = k < size
-        hit = row & np.where(inside, where[codes[np.minimum(at + k, len(codes) - 1)]], np.uint64(0))
-        row = (row + hit | row - hit) & mask
-    return float((200.0 * (n - np.bitwise_count(row)) / (n + size)).max())
+        column = np.where(k < size, codes[np.minimum(at + k, len(codes) - 1)], 0)
+        carry = np.zeros(len(at), np.uint64)
+        for word, mask in enumerate(masks):
+            row = rows[word]
+            hit = row & where[word][column]
+            low = row + hit
+            total = low + carry
+            carry = ((low < row) | (total < low)).astype(np.uint64)
+            rows[word] = (total | row - hit) & mask
+    common = n - sum(np.bitwise_count(row).astype(np.int64) for row in rows)
+    return float((200.0 * common / (n + size)).max())
 
 
 def name_words(text: str) -> list[str]:

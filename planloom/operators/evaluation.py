@@ -6,14 +6,72 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import settled
+
+#: Values of a group that one task may hold, and parts of a histogram.
+DIRECT_ROWS, BUCKETS = 100_000, 4096
 THRESHOLDS = tuple(round(0.70 + 0.025 * k, 3) for k in range(11))
 
 
 def latency_percentiles(df: DataFrame, value: str, key: Sequence[str] = (), shares: Sequence[float] = (0.5, 0.95), digits: int = 1) -> DataFrame:
-    """Exact percentiles with linear interpolation, named p50, p95 and so on, and n."""
-    found = [F.round(F.percentile(value, F.lit(s)), digits).alias(f"p{round(100 * s)}") for s in shares]
-    return df.groupBy(*key).agg(F.count(value).alias("n"), *found)
+    """Exact percentiles with linear interpolation, named p50, p95 and so on, and n. Nulls don't count.
+
+    Groups of up to DIRECT_ROWS values are aggregated as they are. Of larger ones no task holds the values: see `selected`.
+    """
+    names = {s: f"p{round(100 * s)}" for s in shares}
+    rows = df.select(*key, F.col(value).cast("double").alias("v"))
+    sizes = settled(rows.groupBy(*key).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "percentile-sizes")
+    large = sizes.where(F.col("n") > DIRECT_ROWS)
+    direct = lambda part: part.groupBy(*key).agg(F.count("v").alias("n"), *(F.round(F.percentile("v", F.lit(s)), digits).alias(name) for s, name in names.items()))
+    if large.isEmpty():
+        return direct(rows)
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in key] or [F.lit(True)]
+    hot = F.broadcast(large.select(*key))  # at most one group in DIRECT_ROWS rows
+    small = direct(rows.join(hot, same(rows, hot), "left_anti")) if key else None
+    place = (F.col("n") - 1) * F.col("share")
+    asked = large.select("*", F.explode(F.array(*map(F.lit, shares))).alias("share")).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))))
+    found = selected(rows, asked.select(*key, "rank", "low", "high").distinct(), key)
+    both = asked.join(found.withColumnsRenamed({k: f"{k} of" for k in key} | {"rank": "found_rank"}), [F.col("rank") == F.col("found_rank"), *(F.col(k).eqNullSafe(F.col(f"`{k} of`")) for k in key)])
+    part = F.abs(place - F.col("rank"))
+    # Between the two ranks; one rank alone counts whole.
+    each = both.groupBy(*key, "n", "share").agg((F.sum(F.col("v") * (1 - part))).alias("p"))
+    pivot = [F.round(F.max(F.when(F.col("share") == s, F.col("p"))), digits).alias(name) for s, name in names.items()]
+    result = each.groupBy(*key, "n").agg(*pivot).select(*key, "n", *names.values())
+    return result if small is None else small.unionByName(result)
+
+
+def selected(rows: DataFrame, asked: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key, rank, v: the value of each rank (from 0) in its group, by histograms that are refined where the ranks lie.
+
+    rows: key, v. asked: key, rank, low, high (the group's least and greatest value). A round counts the values between
+    low and high in BUCKETS equal parts, and goes on within the part that holds the rank, between the least and the
+    greatest value there, until all of it is one value or it has DIRECT_ROWS values at most, which are sorted.
+    """
+    alike = [F.col(k).eqNullSafe(F.col(f"`{k} of`")) for k in key]
+    todo = asked.select(*(F.col(k).alias(f"{k} of") for k in key), "rank", "low", "high", F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("held"))
+    own = [F.col(f"`{k} of`") for k in key]
+    open_ = (F.col("low") < F.col("high")) & (F.col("held").isNull() | (F.col("held") > DIRECT_ROWS))
+    inside = [*alike, F.col("v").between(F.col("low"), F.col("high"))]
+    while True:
+        todo = settled(todo, "percentile-ranges")
+        if todo.where(open_).isEmpty():
+            break
+        # A row for each rank asked of a large group, of which there is one in DIRECT_ROWS rows at most.
+        met = rows.join(F.broadcast(todo.where(open_)), inside)
+        # Halves, so that no difference overflows; where they are too small to differ, what is above the least is one part.
+        share = F.try_divide(F.col("v") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)
+        share = F.coalesce(share, (F.col("v") > F.col("low")).cast("double"))
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        counts = met.groupBy(*own, "rank", "before", bucket.alias("bucket")).agg(F.count("*").alias("held"), F.min("v").alias("low"), F.max("v").alias("high"))
+        ahead = F.sum("held").over(Window.partitionBy(*own, "rank").orderBy("bucket")) - F.col("held") + F.col("before")
+        here = counts.withColumn("ahead", ahead).where((F.col("ahead") <= F.col("rank")) & (F.col("rank") < F.col("ahead") + F.col("held")))
+        todo = todo.where(~open_).unionByName(here.select(*own, "rank", "low", "high", F.col("ahead").alias("before"), "held"))
+    few = rows.join(F.broadcast(todo.where("low < high")), inside)
+    place = F.row_number().over(Window.partitionBy(*own, "rank").orderBy("v")) - 1 + F.col("before")
+    sorted_ = few.withColumn("place", place).where(F.col("place") == F.col("rank")).select(*own, "rank", "v")
+    return sorted_.unionByName(todo.where("low = high").select(*own, "rank", F.col("low").alias("v"))).withColumnsRenamed({f"{k} of": k for k in key})
 
 
 def rate(hits: Column, of: Column, digits: int = 3) -> Column:
@@ -49,6 +107,12 @@ def threshold_sweep(outcomes: DataFrame, thresholds: Sequence[float] = THRESHOLD
     return hit_rates(crossed, F.col("threshold"), F.lit(margin), ["threshold"])
 
 
+def sizes(plans: DataFrame, doors: DataFrame, entries: DataFrame) -> DataFrame:
+    """plans, doors, entries: how many there are, in one row."""
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("of"), "n") for name, df in (("plans", plans), ("doors", doors), ("entries", entries))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).groupBy().pivot("of", ["plans", "doors", "entries"]).agg(F.first("n"))
+
+
 def determinism(replies: DataFrame, query: str, response: str) -> DataFrame:
     """n_queries, n_stable: whether each query always got one response."""
     by_query = replies.groupBy(query).agg(F.count_distinct(response).alias("n"))

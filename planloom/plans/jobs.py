@@ -17,6 +17,7 @@ from ..operators.audit import ERROR, audit
 from ..operators.extraction import Extractor, extract, rules_extractor
 from ..operators.mapping import CHECK, LINK
 from ..operators.pairing import paired
+from ..operators.validation import CATEGORIES, CONDITIONS, RESULT_TYPES, well_typed
 from ..session import settled
 from ..sources import readers
 from ..sources.artefacts import Artefacts
@@ -24,8 +25,6 @@ from ..sources.readers import GOAL, PlanStore
 from .pipeline import BagOfWords, admit, finish, response
 
 STAGE = f"query_id long, query string, article string, normalized_query string, query_variations array<string>, fallback string, response struct<contexts:array<{GOAL}>>"
-CATEGORIES = ("auto", "manual", "critical")
-RESULT_TYPES, CONDITIONS = ("boolean", "integer", "str", "float"), ("greater", "equal", "less")
 #: Codes of rules about form, which the report counts apart.
 FORM = ("GOAL_FORMAT", "TITLE_WORDS", "TITLE_CASE", "ACTION_NAME_CASE", "DESC_PREFIX", "DESC_WORDS")
 
@@ -33,7 +32,7 @@ FORM = ("GOAL_FORMAT", "TITLE_WORDS", "TITLE_CASE", "ACTION_NAME_CASE", "DESC_PR
 def well_formed(reply: Column) -> Column:
     """Whether each plan of a reply has all that a plan must have, with legal kinds. No plans, or a null reply, is legal.
 
-    It judges a reply as read: what has another type than it should is null then, and fails where null is not legal.
+    It judges a reply as read, by a reader that casts; `validation.well_typed` judges what stood there.
     """
     known = lambda c, legal: F.coalesce(c.isin(*legal), F.lit(True))
     every = lambda items, rule: items.isNotNull() & F.coalesce(F.forall(items, lambda x: F.coalesce(rule(x), F.lit(False))), F.lit(False))
@@ -70,8 +69,12 @@ def plans_of(replies: DataFrame, key: str) -> DataFrame:
 
 
 def audited(replies: DataFrame, key: str, uris: DataFrame) -> DataFrame:
-    """key, schema_valid, errors, warnings, codes (of errors): a row for each reply. Ill-formed replies are not audited."""
-    judged = replies.withColumn("schema_valid", well_formed(F.col("response")))
+    """key, schema_valid, errors, warnings, codes (of errors): a row for each reply. Ill-formed replies are not audited.
+
+    raw, if there is such a column, is the reply before it was cast, whose types are judged as well.
+    """
+    valid = well_formed(F.col("response"))
+    judged = replies.withColumn("schema_valid", well_typed(F.col("raw")) & valid if "raw" in replies.columns else valid)
     plans = plans_of(judged.where("schema_valid"), key)
     issues = audit(plans.drop(key), uris).join(plans.select("plan_id", key), "plan_id")
     is_error = F.col("severity") == ERROR

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import wordlists as w
-from .operators import cache, pairing
+from .operators import cache, pairing, validation
 from .queries_text import _CAP, _OWN, NORM, sql_list, table
 
 # ---- SQL of the rules, for texts of ASCII characters
@@ -313,6 +313,45 @@ PAIRED_PARTS_SQL = """
 SELECT p_partkey, CASE WHEN 1.0 - (1 + p_partkey % 15) / (36.0 + length(p_name)) >= 0.9 THEN 'y-' || p_partkey END AS title FROM part
 """
 
+
+def _reply_text() -> str:
+    """SQL of both engines: a reply of one plan by p_partkey, with members of right and wrong types, null or missing."""
+    one_of = lambda n, *cases: "CASE p_partkey % " + str(n) + "".join(f" WHEN {k} THEN '{c}'" for k, c in enumerate(cases)) + f" ELSE '{cases[-1]}' END"
+    goal = one_of(19, "7", "null", "[\"a\"]", "\"Follow these steps\"")
+    score = one_of(17, "0.5", "\"0.5\"", "\"high\"", "null", "[1]", "true", "1")
+    category = one_of(13, "", "\"category\":null,", "\"category\":\"often\",", "\"category\":3,", "\"category\":\"auto\",")
+    steps = one_of(11, "[\"Tap.\",3]", "\"Tap.\"", "[]", "null", "[\"Tap.\",null]", "{}", "[\"Tap.\",\"Turn on.\"]")
+    link = one_of(7, "null", "{\"deeplink\":\"a://b\",\"description\":\"Open\"}", "{\"deeplink\":5,\"description\":\"Open\"}", "{\"deeplink\":\"a://b\"}", "\"a://b\"", "null")
+    check = one_of(5, "null", "{\"deeplink\":\"c://d\",\"key\":\"K\",\"resultType\":\"boolean\",\"condition\":\"equal\",\"value\":\"True\"}", "{\"deeplink\":\"c://d\",\"key\":\"K\",\"value\":true}", "null")
+    contexts = lambda plan: f"CASE WHEN p_partkey % 23 = 0 THEN '{{}}' WHEN p_partkey % 23 = 1 THEN '{{\"contexts\":[]}}' WHEN p_partkey % 23 = 2 THEN '{{\"contexts\":null}}' WHEN p_partkey % 23 = 3 THEN '{{\"contexts\":{{}}}}' WHEN p_partkey % 23 = 4 THEN '[]' ELSE {plan} END"
+    plan = (
+        f"'{{\"contexts\":[{{\"goal\":' || {goal} || ',\"title\":\"' || p_name || '\",\"score\":' || {score} || ',\"more\":1,\"actions\":[{{\"actionName\":\"Adjust It\",\"description\":\"It will\",' || {category} ||"
+        f" '\"stepGroups\":[{{\"steps\":' || {steps} || ',\"actionableDeeplink\":' || {link} || ',\"validationDeeplink\":' || {check} || '}}]}}]}}]}}'"
+    )
+    return contexts(plan)
+
+
+def typed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each part's reply is of the right types."""
+    replies = table(spark, sf_dir, "part").select("p_partkey", F.parse_json(F.expr(_reply_text())).alias("reply"))
+    return replies.select("p_partkey", validation.well_typed(F.col("reply")).alias("valid"))
+
+
+TYPED_SQL = f"""
+WITH r AS (SELECT p_partkey, CAST({_reply_text()} AS JSON) AS j FROM part),
+c AS (SELECT p_partkey, j, j -> '$.contexts[0]' AS p, j -> '$.contexts[0].actions[0]' AS a, j -> '$.contexts[0].actions[0].stepGroups[0]' AS g FROM r),
+s AS (SELECT *, json_type(g, '$.actionableDeeplink') AS link, json_type(g, '$.validationDeeplink') AS check_, json_type(g, '$.steps') AS steps,
+  coalesce(json_type(j, '$.contexts'), 'NULL') AS contexts FROM c)
+SELECT p_partkey, json_type(j) = 'OBJECT' AND (contexts = 'NULL' OR (contexts = 'ARRAY' AND (json_array_length(j, '$.contexts') = 0 OR coalesce(
+  json_type(p, '$.goal') = 'VARCHAR' AND json_type(p, '$.title') = 'VARCHAR' AND json_type(p, '$.score') NOT IN ('ARRAY', 'OBJECT', 'NULL')
+  AND (json_type(p, '$.score') = 'BOOLEAN' OR try_cast(p ->> '$.score' AS DOUBLE) IS NOT NULL)
+  AND (coalesce(json_type(a, '$.category'), 'NULL') = 'NULL' OR (json_type(a, '$.category') = 'VARCHAR' AND (a ->> '$.category') IN ('auto', 'manual', 'critical')))
+  AND steps = 'ARRAY' AND len(list_filter(CASE WHEN steps = 'ARRAY' THEN CAST(g -> '$.steps' AS JSON[]) END, lambda x: json_type(x) <> 'VARCHAR' OR x IS NULL)) = 0
+  AND (link = 'NULL' OR (link = 'OBJECT' AND json_type(g, '$.actionableDeeplink.deeplink') = 'VARCHAR' AND json_type(g, '$.actionableDeeplink.description') = 'VARCHAR'))
+  AND (check_ = 'NULL' OR (check_ = 'OBJECT' AND json_type(g, '$.validationDeeplink.key') = 'VARCHAR' AND json_type(g, '$.validationDeeplink.value') = 'VARCHAR')), false)))) AS valid
+FROM s
+"""
+
 #: For queries of `queries_plans`.
 SQL_FOR = {"map_actions": MAP_SQL, "action_targets": TARGETS_SQL}
 
@@ -324,4 +363,5 @@ QUERIES = {
     "article_rule": (article_rule, ARTICLE_SQL),
     "paired_complaints": (paired_complaints, PAIRED_SQL),
     "paired_parts": (paired_parts, PAIRED_PARTS_SQL),
+    "typed_replies": (typed_replies, TYPED_SQL),
 }

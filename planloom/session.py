@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in spark.conf.getAll:  # what the caller set stays
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
     package = Path(__file__).parent
     at = Path(tempfile.mkdtemp(prefix="planloom-")) / "planloom.zip"
@@ -33,16 +36,34 @@ def ship(spark: SparkSession) -> None:
 
 @cache
 def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="planloom-")
+    folder = tempfile.mkdtemp(prefix="planloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + folder
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share and read back: computed once, its plan and lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's spark.checkpoint.dir, and a temporary one only where that is unset.
+    Where that is unset, a session whose executors are threads of this process has a temporary folder; any other fails,
+    as its machines would not see each other's files.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = _own_folder()
+    return f"{folder.rstrip('/')}/planloom-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables. Results that still rest on them can't be read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share and read back: computed once, its plan and lineage cut."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

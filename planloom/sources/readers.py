@@ -62,8 +62,10 @@ def review(spark: SparkSession, path: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, glob: str) -> DataFrame:
-    """file and reply of each JSON file that the glob names."""
-    return spark.read.schema(REPLY).json(glob, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    """file and reply of each JSON file that the glob names; raw: the response as it stands, before it is cast (null then, if it can't be)."""
+    rows = spark.read.schema("query string, response variant").json(glob, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+    cast = F.from_json(F.to_json("response"), f"struct<contexts:array<{GOAL}>>".replace("\n", ""))
+    return rows.select("query", F.col("response").alias("raw"), cast.alias("response"), "file")
 
 
 def to_article(raw: Column) -> Column:
