@@ -149,7 +149,8 @@ def partial_all(texts: Column, source: Column) -> Column:
         return pd.Series([None if t is None else [None if x is None else partial_ratio(x, s or "") for x in t] for t, s in zip(texts, source, strict=True)])
 
     over.__annotations__ = {"texts": pd.Series, "source": pd.Series, "return": pd.Series}
-    return F.pandas_udf(over, T.ArrayType(T.DoubleType()))(texts, source)
+    # Named nondeterministic, so that the optimizer leaves it where it stands and doesn't move it into other expressions' lambdas.
+    return F.pandas_udf(over, T.ArrayType(T.DoubleType())).asNondeterministic()(texts, source)
 
 
 def distinct_pairs(pairs: DataFrame, left: str, right: str, measure, out: str) -> DataFrame:
