@@ -1,8 +1,9 @@
 """Which article belongs to which complaint: equal texts first, else the most similar text of a ratio of 0.9 or more.
 
 A pair of this ratio agrees in so many characters that it must have a number of trigrams in common, and so one of its
-rarest ones. Only texts that share a rare trigram are candidates, by a join on these (common trigrams join nothing), and
-only candidates with enough trigrams in common are compared one by one. None that qualifies is missed.
+rarest ones, moved no further than the rest allows. Only texts that share a rare trigram meet, by a join on these (common
+trigrams join nothing), and only those with enough characters in common, counted in a few bits, are compared one by one.
+None that qualifies is missed.
 """
 
 from __future__ import annotations
@@ -24,11 +25,42 @@ def bare(text: Column) -> Column:
     return t.strip(F.regexp_replace(unnumbered, r"(?U)\s+", " "))
 
 
+#: A text's characters fall into BAGS classes, and of each up to DEEP are counted, a bit for each, in longs of eight classes.
+BAGS, DEEP = 32, 8
+
+
+def bag(text: Column) -> Column:
+    """struct(counts array<long>, more): a text's characters by class in unary numbers, and how many went beyond DEEP.
+
+    The bits that two texts' counts have in common, and the lesser of their `more`, are no fewer than their common characters.
+    """
+    classes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(BAGS)))
+    sizes = lambda codes: F.transform(F.sequence(F.lit(0), F.lit(BAGS - 1)), lambda k: F.size(F.filter(codes, lambda x: x == k)))
+    unary = lambda n: F.element_at(F.array(*(F.lit((1 << k) - 1).cast("long") for k in range(DEEP + 1))), F.least(n, F.lit(DEEP)) + 1)
+
+    def packed(n: Column) -> Column:
+        words = [F.lit(0).cast("long")] * (BAGS // DEEP)
+        for k in range(BAGS):
+            at = k // DEEP
+            # The highest place of a long is its sign, which shifting reaches without overflow.
+            words[at] = words[at].bitwiseOR(F.shiftleft(unary(F.element_at(n, k + 1)), DEEP * (k % DEEP)))
+        more = F.aggregate(n, F.lit(0), lambda s, x: s + F.greatest(x - DEEP, F.lit(0)))
+        return F.struct(F.array(*words).alias("counts"), more.alias("more"))
+
+    return t.let(classes, lambda codes: t.let(sizes(codes), packed))
+
+
+def _common_at_most(a: Column, b: Column) -> Column:
+    bits = [F.bit_count(a["counts"][k].bitwiseAND(b["counts"][k])) for k in range(BAGS // DEEP)]
+    return sum(bits, F.least(a["more"], b["more"]))
+
+
 def _trigrams(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, gram, length, n, places; texts are padded by two characters on each side."""
     padded = F.concat(F.lit("\x01\x01"), F.col(text), F.lit("\x02\x02"))
     grams = F.transform(F.sequence(F.lit(1), F.length(text) + 2), lambda i: F.substring(padded, i, F.lit(3)))
-    return rows.select(key, F.length(text).alias("length"), F.posexplode(grams).alias("place", "gram")).groupBy(key, "gram", "length").agg(F.count("*").alias("n"), F.collect_list("place").alias("places"))
+    each = rows.select(key, F.length(text).alias("length"), F.posexplode(grams).alias("place", "gram"))
+    return each.groupBy(key, "gram", "length").agg(F.count("*").alias("n"), F.collect_list("place").alias("places"))
 
 
 def _apart(length_a: Column, length_b: Column) -> Column:
@@ -36,14 +68,6 @@ def _apart(length_a: Column, length_b: Column) -> Column:
     return F.floor((1 - LEAST_RATIO) * (length_a + length_b) + 1e-9)
 
 
-def _common(length_a: Column, length_b: Column) -> Column:
-    """The least number of trigrams that two texts of these lengths and the least ratio have in common.
-
-    A character without a partner spoils three trigrams of its own text, and two of the other, whose neighbours it parts.
-    """
-    return F.ceil((length_a + length_b) / 2 + 2 - 2.5 * _apart(length_a, length_b))
-
-
 def _rarest(grams: DataFrame, frequency: DataFrame) -> DataFrame:
     """key, gram, length, place: a text's rarest trigrams, so many that one of them is common to any text of the least ratio.
 
@@ -60,20 +84,22 @@ def _rarest(grams: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def candidates(rest: DataFrame, held: DataFrame) -> DataFrame:
-    """asked, held, of_asked, of_held: pairs of texts that share one of both's rarest trigrams, at near enough places.
+    """asked, held: pairs of texts that share one of both's rarest trigrams, at near enough places, and enough characters.
 
     A trigram that is kept moves by the characters without a partner before it: to the right by those of one text, to the
     left by the other's. rest (asked) and held (held) have each text once. No pair of the least ratio is missing.
     """
-    a, b = _trigrams(rest, "asked", "asked"), _trigrams(held, "held", "held")
+    a, b = settled(_trigrams(rest, "asked", "asked"), "asked-trigrams"), settled(_trigrams(held, "held", "held"), "held-trigrams")
     frequency = a.select("gram").unionByName(b.select("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
     frequency = settled(frequency, "trigram-frequency")
-    few_a = _rarest(a, frequency).withColumnsRenamed({"length": "of_asked", "place": "at"})
-    few_b = _rarest(b, frequency).withColumnsRenamed({"length": "of_held", "place": "held_at"})
+    few_a = _rarest(a, frequency).withColumnsRenamed({"length": "of_asked", "place": "at"}).join(rest.select("asked", bag(F.col("asked")).alias("bag")), "asked")
+    few_b = _rarest(b, frequency).withColumnsRenamed({"length": "of_held", "place": "held_at"}).join(held.select("held", bag(F.col("held")).alias("held_bag")), "held")
     apart, longer = _apart(F.col("of_asked"), F.col("of_held")), F.col("of_asked") - F.col("of_held")
     moved = 2 * (F.col("at") - F.col("held_at"))
     near = (F.abs(longer) <= apart) & (moved <= apart + longer) & (moved >= longer - apart)
-    return few_a.join(few_b, "gram").where(near).select("asked", "held", "of_asked", "of_held").distinct()
+    # Of all characters at most `apart` have no partner, so the others are pairs.
+    enough = 2 * _common_at_most(F.col("bag"), F.col("held_bag")) >= F.col("of_asked") + F.col("of_held") - apart
+    return few_a.join(few_b, "gram").where(near & enough).select("asked", "held").distinct()
 
 
 def paired(complaints: DataFrame, articles: DataFrame) -> DataFrame:
@@ -88,12 +114,7 @@ def paired(complaints: DataFrame, articles: DataFrame) -> DataFrame:
     exact = texts.join(held, F.col("asked") == F.col("held")).select("asked", "article")
     rest = settled(texts.join(exact, "asked", "left_anti"), "unpaired")
     pairs = settled(candidates(rest, held), "pair-candidates")
-    # Of the candidates only, the trigrams that they share, as often as both have them.
-    own = pairs.join(_trigrams(rest, "asked", "asked").select("asked", "gram", F.col("n").alias("n_asked")), "asked")
-    both = own.join(_trigrams(held, "held", "held").select("held", "gram", F.col("n").alias("n_held")), ["held", "gram"])
-    shared = both.groupBy("asked", "held", "of_asked", "of_held").agg(F.sum(F.least("n_asked", "n_held")).alias("shared"))
-    few = shared.where(F.col("shared") >= _common(F.col("of_asked"), F.col("of_held")))
-    scored = few.withColumn("ratio", similarity.sequences(F.col("asked"), F.col("held"))).where(F.col("ratio") >= LEAST_RATIO)
+    scored = pairs.withColumn("ratio", similarity.sequences(F.col("asked"), F.col("held"))).where(F.col("ratio") >= LEAST_RATIO)
     best = scored.join(held, "held").groupBy("asked").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "article")).alias("b")).select("asked", F.col("b.article").alias("article"))
     found = exact.unionByName(best)
     return asked.join(found, "asked", "left").select(*complaints.columns, F.col("article.title").alias("title"), F.col("article.content").alias("content"))

@@ -44,5 +44,5 @@ def test_few_pairs_are_candidates(spark):
     asked = [t.replace("black", "blakc") for t in held] + [f"the screen of {core()} turns black" for _ in range(300)]
     pairs = pairing.candidates(spark.createDataFrame([(t,) for t in asked], "asked string"), spark.createDataFrame([(t,) for t in held], "held string")).collect()
     found = {(r.asked, r.held) for r in pairs}
-    # Of sixteen letters, chance trigrams at near places remain; the frame alone would pair all texts with all.
-    assert found >= set(zip(asked, held, strict=False)) and len(found) < 600 * 300 / 8
+    # The frame alone would pair all texts with all.
+    assert found >= set(zip(asked, held, strict=False)) and len(found) < 600 * 300 / 50
