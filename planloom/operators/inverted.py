@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import wordlists as w
-from ..session import settled
+from ..session import settled, spread
 
 BLOCK_ENTRIES, BLOCK_TOKENS = 2048, 1_000_000
 #: Terms of queries that the driver holds and sends to tasks at once.
@@ -91,7 +91,7 @@ def counted(corpus: DataFrame) -> DataFrame:
             columns = [ids, lengths.astype(np.int32), words.dictionary, sizes.astype(np.int32), (keys % len(ids)).astype(np.int32), tf.astype(np.int32)]
             yield pa.RecordBatch.from_arrays(list(map(_one, columns)), ["entries", "lengths", "terms", "sizes", "of", "tf"])
 
-    tokens = corpus.select("entry_id", t.tokenize(F.col("text")).alias("tokens"))
+    tokens = spread(corpus.select("entry_id", "text")).select("entry_id", t.tokenize(F.col("text")).alias("tokens"))
     kind = dict(corpus.dtypes)["entry_id"]
     return tokens.mapInArrow(build, f"entries array<{kind}>, lengths array<int>, terms array<string>, sizes array<int>, of array<int>, tf array<int>")
 

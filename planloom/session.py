@@ -61,6 +61,15 @@ def forget(spark: SparkSession) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to as many tasks as the cluster runs at once, where its input has fewer parts (a small file is one).
+
+    Larger inputs have more parts than that, and stay as they are: nothing large is shuffled.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder that all executors share and read back: computed once, its plan and lineage cut."""
     spark = df.sparkSession
