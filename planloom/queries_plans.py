@@ -487,6 +487,43 @@ def map_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.map_actions(actions, retrieval.usable_entries(_catalog(spark, sf_dir))).select("action_id", "kind", "category", "chosen_id", "name_score", F.col("link.deeplink").alias("uri"), F.col("check.value").alias("value"))
 
 
+def map_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's action on either side of the gate: settings found by their whole and longer names, refused ones (words in
+    another order), placeholders, actions by hand, critical ones. Where no direction is stated, the setting counts only."""
+    key, m = F.initcap("p_name"), F.col("p_partkey") % 8
+    turned = F.concat_ws(" ", F.reverse(F.split(key, " ")))
+    step = lambda *said: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in said))
+    second = (
+        F.when(m == 0, step("Turn on ", key, ".")).when(m == 1, step("Turn off ", key, ".")).when(m == 2, step("Tap on ", key, ".")).when(m == 4, step("Tap the ", turned, " icon."))
+        .when(m == 5, step("Ask about ", key, ".")).when(m == 7, step("Turn on ", key, " Level.")).otherwise(step("Turn on ", turned, "."))
+    )
+    first = F.when(m == 3, "Wake the phone.").when(m == 4, "Open the Quick settings panel.").when(m == 5, "Call the service line.").otherwise("Open Settings.")
+    name = F.when(m == 5, step("Contact Support for ", key)).when(m == 6, step("Factory Reset ", turned)).when(m.isin(3, 4), step("Adjust ", turned)).otherwise(step("Adjust ", key))
+    category = F.when(m == 5, "manual").when(m == 6, "critical").otherwise("auto")
+    actions = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("action_id"), name.alias("name"), category.alias("category"), F.array(first, second).alias("steps"), (m == 2).alias("open_direction"))
+    done = mapping.map_actions(actions, retrieval.usable_entries(_catalog(spark, sf_dir)))
+    stated = lambda c: F.when(~F.col("open_direction"), c)
+    chosen = F.when(F.col("open_direction"), F.split_part("chosen_id", F.lit(":"), F.lit(1))).otherwise(F.col("chosen_id"))
+    return done.select("action_id", "kind", "category", chosen.alias("chosen"), "name_score", stated(F.col("link.deeplink")).alias("uri"), stated(F.col("check.value")).alias("value"))
+
+
+# A longer name scores twice the common letters over the letters of both, " level" being six of them.
+MAP_BRANCHES_SQL = """
+WITH a AS (
+  SELECT p_partkey, p_partkey % 8 AS m, list_aggregate(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS key FROM part
+), b AS (
+  SELECT *, CASE WHEN m IN (0, 7) THEN 'onURL' WHEN m = 1 THEN 'offURL' END AS type, m IN (0, 1, 2, 7) AS found, m IN (4, 6) AS dummy FROM a
+)
+SELECT CAST(p_partkey AS VARCHAR) AS action_id, CASE WHEN found THEN 'catalog' WHEN dummy THEN 'dummy' ELSE 'none' END AS kind,
+  CASE WHEN m = 6 THEN 'critical' WHEN m IN (3, 5) THEN 'manual' ELSE 'auto' END AS category,
+  CASE WHEN m = 2 THEN key WHEN found THEN key || ':' || type END AS chosen,
+  CASE WHEN m = 7 THEN round(2.0 * length(key) / (2 * length(key) + 6), 3) WHEN found THEN 1.0 ELSE 0.0 END::DOUBLE AS name_score,
+  CASE WHEN type IS NOT NULL THEN 'app://' || lower(replace(key, ' ', '_')) || '/' || type WHEN dummy THEN 'voiceassist://dummy_positive' END AS uri,
+  CASE type WHEN 'onURL' THEN 'True' WHEN 'offURL' THEN 'False' END AS value
+FROM b
+"""
+
+
 def mapping_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index's first entry without the name gate, against the entry that each supplier's action was made from."""
     actions = _supplier_actions(spark, sf_dir)
@@ -550,6 +587,7 @@ SELECT event_type, round(avg(((event_id % 3000) * 0.15::DOUBLE + (event_id % 700
 
 QUERIES = {
     "map_actions": (map_actions, None),
+    "map_branches": (map_branches, MAP_BRANCHES_SQL),
     "mapping_ablation": (mapping_ablation, None),
     "catalog_uris": (catalog_uris, URIS_SQL),
     "link_coverage": (link_coverage, COVERAGE_SQL),
