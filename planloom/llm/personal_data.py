@@ -2,7 +2,8 @@ r"""Personal data (9): patterns propose spans, checksums confirm them, nearby wo
 
 Per kind, matches are leftmost and do not overlap; a match that its validator refuses is dropped without a retry.
 Base kinds: email, ip (parts at most 255), card (13 to 19 digits passing Luhn), phone (9 to 15 digits). They stay
-whatever their score. Added kinds: iban (mod 97, spaces allowed), ssn. Offsets count code points, end exclusive.
+whatever their score. Added kinds: iban (mod 97, spaces allowed, as long as its country's are), ssn. Offsets count code
+points, end exclusive.
 
 score: 0.4 for the pattern, 0.4 for a passed checksum, 0.3 for a context word of the kind, -0.3 for a word that speaks of
 examples, within CONTEXT characters on either side (at least 0, at most 1). The match of the same kind before the span
@@ -60,6 +61,16 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+# How many characters follow the country and the two check digits of an account number.
+IBAN_LENGTHS = {
+    "NO": 11, "BE": 12, "DK|FI|FO|GL|NL": 14, "MK|SI": 15, "AT|BA|EE|KZ|LT|LU|XK": 16, "CH|CR|HR|LI|LV": 17, "BG|BH|DE|GB|GE|IE|ME|RS|VA": 18, "AE|GI|IL|IQ|TL": 19,
+    "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG": 20, "PT|ST": 21, "IS|TR": 22, "FR|GR|IT|MC|MR|SM": 23, "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV": 24, "BR|PS|QA|UA": 25, "JO|KW|MU": 26, "MT|SC": 27, "LC": 28,
+}
+#: A known country's number ends where its length says, whatever follows; others, and broken off ones, are taken as far as they go.
+_KNOWN = "|".join(rf"(?:{countries})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}" for countries, n in IBAN_LENGTHS.items())
+IBAN = rf"(?:{_KNOWN}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})"
+
+
 def mod97(iban: Column) -> Column:
     """Whether the account number, its first four characters moved to the end and letters read as 10 to 35, is 1 modulo 97."""
     moved = F.concat(F.substring(iban, 5, 100), F.substring(iban, 1, 4))
@@ -82,7 +93,7 @@ KINDS = (
     Kind("ip", lambda t: F.rlike(t, F.lit(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: _part(m, 1) & _part(m, 2) & _part(m, 3) & _part(m, 4), False, "ip|host|server|address", True),
     Kind("card", lambda t: F.rlike(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){12}")), r"[0-9](?:[\x20-]?[0-9]){12,}+", _card, True, "card|visa|master|pay", True),
     Kind("phone", lambda t: F.contains(t, F.lit("+")), r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), False, "phone|call|tel|mobile", True),
-    Kind("iban", lambda t: F.rlike(t, F.lit(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}")), r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))), True, "iban|account|bank", False),
+    Kind("iban", lambda t: F.rlike(t, F.lit(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}")), IBAN, lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))), True, "iban|account|bank", False),
     Kind("ssn", lambda t: F.rlike(t, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")), r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda m: F.lit(True), False, "ssn|social security", False),
 )
 
@@ -195,7 +206,7 @@ _PLAIN = {
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: TRY_CAST(p AS HUGEINT) <= 255)) = 4"),
     "card": (r"[0-9]([\x20-]?[0-9])+", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, 1 + length(regexp_replace(m, '[^0-9]', '', 'g'))), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)] END)) % 10 = 0"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
-    "iban": (r"[A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]){11,30}", "list_reduce(list_transform(range(1, 1 + length(replace(m, ' ', ''))), lambda i: ascii((replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4])[i])), lambda a, c: CASE WHEN c < 65 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END, 0) = 1 AND score >= 60"),
+    "iban": (IBAN, "list_reduce(list_transform(range(1, 1 + length(replace(m, ' ', ''))), lambda i: ascii((replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4])[i])), lambda a, c: CASE WHEN c < 65 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END, 0) = 1 AND score >= 60"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "score >= 60"),
 }
 

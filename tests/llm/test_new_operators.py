@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planloom.llm import base, clusters, exact_dedup, main_text, mixing, ngram_join, periodic, suffix_dedup, top_k
+from planloom.llm import base, clusters, exact_dedup, main_text, mixing, ngram_join, periodic, personal_data, suffix_dedup, top_k
 
 # ---- periodic runs
 
@@ -336,3 +336,14 @@ def test_ngram_join_with_one_bucket_of_most_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.class_id, r.n_links, r.kept) for r in ngram_join.near_duplicates(df).collect()}
     assert got == {2**60 + k: (2**60, 59, k == 0) for k in range(60)} | {k: (k, 0, True) for k in range(20)}
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = {
+        "to DE89 3704 0044 0532 0130 00 AND MORE": "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432XYZ": "GB82WEST12345698765432", "NO93 8601 1117 947 12": "NO93 8601 1117 947",
+        "DE89 3704 0044 0532 0130 01 AND": None, "DE89 3704 0044": None, "BE68 5390 0754 7034": "BE68 5390 0754 7034",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.iban for r in personal_data.personal_data(rows).collect()}
+    for k, (text, want) in enumerate(texts.items()):
+        assert [text[s.start : s.end] for s in got[k]] == ([want] if want else [])
