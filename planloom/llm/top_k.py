@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import table, written
+from .base import BROADCAST_ROWS, table, written
 
 SCALE, K, EVERY = 1024, 10, 100
 PIVOTS, PIVOT_SAMPLE = 128, 4096
@@ -215,7 +215,9 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         met = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("home", F.explode("homes"))
         met = written(met.join(blocks, ["dim", "home"]).withColumn("block", spread(F.col("blocks"))).drop("homes", "blocks"), f"{name}-queries")
         # Candidates go only where a query asks.
-        where = F.broadcast(met.select(*(F.col(c).alias(c) for c in ("dim", "home", "query_block"))).distinct())
+        where = written(met.select("dim", "home", "query_block").distinct(), f"{name}-where")
+        if where.count() <= BROADCAST_ROWS:
+            where = F.broadcast(where)
         dealt = rows.join(blocks, ["dim", "home"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks")).cast("int"))
         dealt = dealt.join(where, ["dim", "home"]).drop("blocks")
         return written(met.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(lambda q, c: search_block(q, c, k), SCORED), name)

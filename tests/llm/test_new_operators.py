@@ -232,6 +232,7 @@ def test_top_k_of_large_ids_and_scores(spark, monkeypatch, block):
     for name in ("CANDIDATES_A_BLOCK", "QUERIES_A_BLOCK"):
         monkeypatch.setattr(top_k, name, block)
     monkeypatch.setattr(top_k, "FLOOR_ROWS", 3)
+    monkeypatch.setattr(top_k, "BROADCAST_ROWS", 300_000 if block > 7 else 0)
     base_id, rng = 2**60 // 100 * 100, np.random.default_rng(8)
     rows = [(base_id + k, [900_000.0 + float(rng.integers(0, 7)) / 1024, float(rng.integers(-3, 3)) / 1024]) for k in range(220)]
     rows += [(None, [1.0, 1.0]), (base_id + 1000, [2.0]), (base_id + 1100, None)]
