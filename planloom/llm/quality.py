@@ -10,8 +10,8 @@ documents of at most LONGEST bytes, so the driver holds no more than 2 * DICTION
 calibration rows are measured in tasks. Every row's whole text is scored, whatever its length.
 
 Null texts count as empty; empty texts get the score of their (equal) sizes. Rows with a null or other label than 0 and 1
-are not learned from, nor are doc_ids with both labels or without a document. Of repeated doc_ids each row is learned
-from. If a class has no rows to learn from, every score is the share of label 1 (0.5 without labels). An empty table
+are not learned from, nor are doc_ids with both labels or without a document. Of repeated doc_ids each different
+text is learned from. If a class has no rows to learn from, every score is the share of label 1 (0.5 without labels). An empty table
 gives no rows. Columns besides doc_id and text are not read.
 """
 
