@@ -56,28 +56,32 @@ def nearest(queries: DataFrame, entries: DataFrame, k: int, digits: int) -> Data
     return in_blocks(queries.select("query_id", F.col("vec").alias("asked_vec")), entries.select("entry_id", "vec"), run, "query_id long, entry_id long, dense double")
 
 
+def two_of_block(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+    """query_id, plan_id, similarity, seq of the two plans of d (plan_id, held, entry_id, vec) nearest to each of q (query_id, article, asked_vec)."""
+    found = []
+    if len(q) and len(d):
+        d = d.sort_values(["plan_id", "entry_id"])
+        plans, start = np.unique(d.plan_id.to_numpy(dtype=str), return_index=True)
+        seq, owner = d.entry_id.to_numpy(), np.repeat(np.arange(len(plans)), np.diff([*start, len(d)]))
+        scores = products(matrix(q.asked_vec), matrix(d.vec))
+        asked, held = q.article.to_numpy(dtype=object), d.held.to_numpy(dtype=object)
+        free = np.array([a is None or a != a for a in asked])[:, None] | np.array([h is None or h != h for h in held])[None, :]
+        scores[~(free | (asked[:, None] == held[None, :]))] = -np.inf
+        best = np.maximum.reduceat(scores, start, axis=1)
+        first = np.minimum.reduceat(np.where(scores == best[:, owner], seq, np.iinfo(np.int64).max), start, axis=1)
+        order = np.argsort(-best, axis=1, kind="stable")[:, :2]
+        found = [(query_id, plans[j], best[i, j], first[i, j]) for i, query_id in enumerate(q.query_id) for j in order[i] if best[i, j] > -np.inf]
+    return pd.DataFrame(found, columns=["query_id", "plan_id", "similarity", "seq"]).astype({"query_id": "int64", "similarity": "float64", "seq": "int64"})
+
+
+NEAREST_PLAN = "query_id long, plan_id string, similarity double, seq long"
+
+
 def two_nearest_plans(queries: DataFrame, doors: DataFrame) -> DataFrame:
     """query_id, plan_id, similarity, seq: the two nearest plans within each block, which the two nearest of all are among.
 
     queries: query_id, article, vec. doors: plan_id, held (the plan's article), seq, vec. Of a plan's equally near doors
     the first counts, of equally near plans the smaller id.
     """
-
-    def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(q) and len(d):
-            d = d.sort_values(["plan_id", "entry_id"])
-            plans, start = np.unique(d.plan_id.to_numpy(dtype=str), return_index=True)
-            seq, owner = d.entry_id.to_numpy(), np.repeat(np.arange(len(plans)), np.diff([*start, len(d)]))
-            scores = products(matrix(q.asked_vec), matrix(d.vec))
-            asked, held = q.article.to_numpy(dtype=object), d.held.to_numpy(dtype=object)
-            free = np.array([a is None or a != a for a in asked])[:, None] | np.array([h is None or h != h for h in held])[None, :]
-            scores[~(free | (asked[:, None] == held[None, :]))] = -np.inf
-            best = np.maximum.reduceat(scores, start, axis=1)
-            first = np.minimum.reduceat(np.where(scores == best[:, owner], seq, np.iinfo(np.int64).max), start, axis=1)
-            order = np.argsort(-best, axis=1, kind="stable")[:, :2]
-            found = [(query_id, plans[j], best[i, j], first[i, j]) for i, query_id in enumerate(q.query_id) for j in order[i] if best[i, j] > -np.inf]
-        return pd.DataFrame(found, columns=["query_id", "plan_id", "similarity", "seq"]).astype({"query_id": "int64", "similarity": "float64", "seq": "int64"})
-
     entries = doors.select(F.col("seq").alias("entry_id"), "plan_id", "held", "vec")
-    return in_blocks(queries.select("query_id", "article", F.col("vec").alias("asked_vec")), entries, run, "query_id long, plan_id string, similarity double, seq long")
+    return in_blocks(queries.select("query_id", "article", F.col("vec").alias("asked_vec")), entries, two_of_block, NEAREST_PLAN)

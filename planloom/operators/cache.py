@@ -6,6 +6,7 @@ A door is a phrasing of a plan's query; seq orders them, the last of equal norms
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 from ..functions import wordlists as w
 from ..functions.vectors import two_nearest_plans
+from . import door_index
 from .relational import upsert
 
 def allowed(asked: Column, held: Column) -> Column:
@@ -28,14 +30,19 @@ def exact_hits(queries: DataFrame, plans: DataFrame, doors: DataFrame) -> DataFr
     return asked.join(held, "norm").where(allowed(F.col("article"), F.col("held"))).select("query_id", "plan_id")
 
 
-def best_by_plan(queries: DataFrame, plans: DataFrame, doors: DataFrame) -> DataFrame:
+def best_by_plan(queries: DataFrame, plans: DataFrame, doors: DataFrame, centres: np.ndarray | None = None) -> DataFrame:
     """query_id, plan_id, similarity, seq of the nearest door of the plans that can be a query's first or second.
 
-    queries: query_id (long), vec, article. Nothing as large as all pairs leaves a task.
+    queries: query_id (long), vec, article. Nothing as large as all pairs leaves a task. centres: those that the doors'
+    home, reach and size come from; then doors that can't matter are passed over, and the rows of a query's first and
+    second plan are the same.
     """
-    held = doors.select("plan_id", "seq", "vec").join(plans.select("plan_id", F.col("article").alias("held")), "plan_id")
+    if centres is not None:
+        pairs = door_index.two_nearest_plans(queries, plans, doors, centres)
+    else:
+        held = doors.select("plan_id", "seq", "vec").join(plans.select("plan_id", F.col("article").alias("held")), "plan_id")
+        pairs = two_nearest_plans(queries, held)
     nearest = F.max(F.struct("similarity", (-F.col("seq")).alias("first")))
-    pairs = two_nearest_plans(queries, held)
     return pairs.groupBy("query_id", "plan_id").agg(nearest.alias("d")).select("query_id", "plan_id", "d.similarity", (-F.col("d.first")).alias("seq"))
 
 
@@ -50,14 +57,14 @@ def is_hit(threshold: float = w.CACHE_THRESHOLD, margin: float = w.CACHE_MARGIN)
     return (F.col("similarity") >= threshold) & (F.col("margin") >= margin)
 
 
-def lookup(queries: DataFrame, plans: DataFrame, doors: DataFrame, threshold: float = w.CACHE_THRESHOLD, margin: float = w.CACHE_MARGIN) -> DataFrame:
+def lookup(queries: DataFrame, plans: DataFrame, doors: DataFrame, threshold: float = w.CACHE_THRESHOLD, margin: float = w.CACHE_MARGIN, centres: np.ndarray | None = None) -> DataFrame:
     """query_id, plan_id, match, similarity, margin of the queries (query_id, text, article, vec) that hit.
 
-    Vectors are compared only for what has no exact hit.
+    Vectors are compared only for what has no exact hit. centres: as `best_by_plan` takes them.
     """
     exact = exact_hits(queries, plans, doors).select("query_id", "plan_id", F.lit("exact").alias("match"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("margin"))
     rest = queries.join(exact.select("query_id"), "query_id", "left_anti")
-    near = top_two(best_by_plan(rest, plans, doors)).where(is_hit(threshold, margin))
+    near = top_two(best_by_plan(rest, plans, doors, centres)).where(is_hit(threshold, margin))
     return exact.unionByName(near.select("query_id", "plan_id", F.lit("semantic").alias("match"), "similarity", "margin"))
 
 

@@ -10,8 +10,9 @@ from .functions import similarity
 from .functions import text as t
 from .functions import wordlists as w
 from .operators import audit as rules
-from .operators import cache, evaluation, extraction, mapping, ordering, relational, retrieval
+from .operators import cache, door_index, evaluation, extraction, mapping, ordering, relational, retrieval
 from .queries_text import NORM, TOKENS, table
+from .session import settled
 from .sources import readers
 
 COSINE = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
@@ -229,12 +230,17 @@ SELECT query_id, CASE WHEN d.norm IS NOT NULL THEN substr(sha1(c.norm), 1, 16) E
 """
 
 
-def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth vector against the others, whose labels are plans."""
+def _asked_and_held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, plans and doors: every twentieth vector against the others, whose labels are plans."""
     v = _vectors(spark, sf_dir)
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec", F.lit(None).cast("string").alias("article"), F.col("label").alias("expected"))
     doors = v.where("vec_id % 20 <> 0").select(F.col("label").cast("string").alias("plan_id"), "vec", F.col("vec_id").alias("seq"))
     plans = doors.select("plan_id").distinct().withColumn("article", F.lit(None).cast("string"))
+    return asked, plans, doors
+
+
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, plans, doors = _asked_and_held(spark, sf_dir)
     return cache.top_two(cache.best_by_plan(asked, plans, doors)).join(asked.select("query_id", "expected"), "query_id")
 
 
@@ -252,6 +258,16 @@ n AS (SELECT query_id, expected, plan_id, round(sim, 4) AS similarity, round(sim
 SEMANTIC_SQL = f"WITH {_NEAR_CTE} SELECT query_id, plan_id, similarity, margin, seq, similarity >= 0.3 AND margin >= 0.02 AS hit FROM n"
 
 
+def door_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookup through an index of doors by centre, written before it is searched."""
+    asked, plans, doors = _asked_and_held(spark, sf_dir)
+    centres = door_index.fit(doors)
+    if centres is not None:
+        doors = settled(door_index.homed(doors, centres).repartitionByRange("home", "reach").sortWithinPartitions("home", "reach"), "doors")
+    near = cache.top_two(cache.best_by_plan(asked, plans, doors, centres))
+    return near.select("query_id", "plan_id", "similarity", "margin", "seq", cache.is_hit(0.3, 0.02).alias("hit"))
+
+
 #: The cache's own range in steps of 0.025, and lower ones that the driver's vectors reach.
 THRESHOLDS = [0.2, 0.3, 0.4, 0.5, *(round(0.7 + 0.025 * k, 3) for k in range(11))]
 
@@ -608,6 +624,7 @@ QUERIES = {
     "catalog_filter": (catalog_filter, CATALOG_SQL),
     "exact_cache_lookup": (exact_cache_lookup, EXACT_SQL),
     "cache_semantic_lookup": (cache_semantic_lookup, SEMANTIC_SQL),
+    "door_index_lookup": (door_index_lookup, SEMANTIC_SQL),
     "cache_doors": (cache_doors, DOORS_SQL),
     "threshold_sweep": (threshold_sweep, SWEEP_SQL),
     "latency_percentiles": (latency_percentiles, PERCENTILE_SQL),
