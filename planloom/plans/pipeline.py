@@ -107,12 +107,13 @@ def answer(complaints: DataFrame, catalog: DataFrame, store: PlanStore, embedder
     again = before is not None and before["batch"] == batch[1]
     version = before["read"] if again else store.last()
     plans, doors, made_by = store.read(version)
+    centres = store.centres(version)
     if made_by and made_by != embedder.name:  # the vectors mean nothing to this embedder
-        doors = doors.withColumn("vec", embedder.encode(F.col("text")))
+        doors, centres = doors.withColumn("vec", embedder.encode(F.col("text"))), None
     asked = complaints.withColumn("article", F.when(F.trim(F.coalesce("content", F.lit(""))) != "", t.article_hash(F.col("title"), F.col("content"))))
     asked = settled(asked, "complaints")
     queries = settled(asked.select("query_id", F.col("query").alias("text"), "article", embedder.encode(F.col("query")).alias("vec")), "vectors")
-    hits = cache.lookup(queries, plans, doors, settings.threshold, settings.margin).join(plans.select("plan_id", F.col("response").alias("held"), "variations"), "plan_id")
+    hits = cache.lookup(queries, plans, doors, settings.threshold, settings.margin, centres).join(plans.select("plan_id", F.col("response").alias("held"), "variations"), "plan_id")
     hits = settled(hits, "hits")
     served = hits.join(asked.select("query_id", "query"), "query_id").select(
         "query_id", "query", F.col("variations").alias("query_variations"), F.col("held").alias("response"), F.lit(True).alias("cache_hit"),

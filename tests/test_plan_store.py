@@ -6,8 +6,10 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import numpy as np
 import pytest
 
+from planloom.operators import cache
 from planloom.plans.pipeline import BagOfWords, answer
 from planloom.sources import files
 from planloom.sources.plan_store import DOORS, PLANS, PlanStore
@@ -116,3 +118,39 @@ def test_another_embedder_writes_the_store_whole(spark, catalog, tmp_path):  # n
     assert got[2].cache_hit and json.loads(got[2].response) == first
     plans, doors, made_by = store.read()
     assert made_by == BagOfWords(64).name and {len(r.vec) for r in doors.collect()} == {64} and plans.count() >= 1
+
+
+def test_writes_extend_the_index_of_doors(spark, tmp_path):
+    """Doors of every version have homes, a search of the store gives the rows of all doors, and a whole version gets new centres."""
+    store = PlanStore(spark, f"file://{tmp_path}/s", compact_after=3)
+    rng = np.random.default_rng(3)
+
+    def put(first, n):
+        rows = [(f"p{k}", f"q{k}", "r", [], None, 0.0) for k in range(first, first + n)]
+        doors = [(r[0], "query", r[1], r[1], [float(x) for x in rng.normal(size=6)], k) for k, r in enumerate(rows)]
+        return store.put(spark.createDataFrame(rows, PLANS), spark.createDataFrame(doors, DOORS), "e")
+
+    def same():
+        plans, doors, _ = store.read()
+        queries = spark.createDataFrame([(k, None, [float(x) for x in rng.normal(size=6)]) for k in range(20)], "query_id long, article string, vec array<float>")
+        rows = lambda centres: sorted(map(tuple, cache.top_two(cache.best_by_plan(queries, plans, doors, centres)).collect()))
+        assert rows(store.centres()) == rows(None)
+
+    put(0, 40)
+    first = store.commit(1)
+    assert first["centres"] == first["placed_by"] and len(store.centres()) == 7
+    put(30, 20)
+    assert store.commit(2)["centres"] == first["centres"] and store.read()[1].where("home IS NULL").count() == 0
+    same()
+    # One that placed its doors by other centres, as a writer does that began with an empty store.
+    rows = [("late", "q", "r", [], None, 0.0)]
+    other = store._written(spark.createDataFrame(rows, PLANS), spark.createDataFrame([("late", "query", "q", "q", [9.0] * 6, 0)], DOORS))
+    store._claimed(False, other, "e")
+    assert [r.plan_id for r in store.read()[1].where("home IS NULL").collect()] == ["late"]
+    same()
+    put(60, 5)
+    assert store.commit(store.last())["whole"] and store.commit(store.last())["centres"] != first["centres"]
+    assert store.read()[1].where("home IS NULL").count() == 0
+    same()
+    store.vacuum(store.last())
+    assert len(files.names(spark, f"file://{tmp_path}/s/centres")) == 1
