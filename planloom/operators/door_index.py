@@ -172,10 +172,15 @@ def met(queries: DataFrame, lines: pd.DataFrame, centres: np.ndarray, floors: bo
 
 
 def _scored(asked: DataFrame, plans: DataFrame, doors: DataFrame, lines: pd.DataFrame, blocks: int) -> DataFrame:
-    """The two nearest plans within each band that a query meets."""
+    """The two nearest plans within the bands of each bucket that a query meets."""
     spark = asked.sparkSession
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    needed = {r.code for r in asked.select(F.explode("codes").alias("code")).distinct().collect()}  # of the bands, which are few
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"code": sorted({code for batch in batches for codes in batch.codes for code in codes})}, dtype="int64")
+
+    # Each task names a band once, so what is collected is a line for each of the few bands.
+    needed = {r.code for r in asked.select("codes").mapInPandas(once, "code long").distinct().collect()}
     own = [tuple(map(int, r)) for r in lines.loc[lines.code.isin(needed), ["code", "bucket", "parts"]].to_numpy()]
     of_band = F.broadcast(spark.createDataFrame(own, "code long, bucket long, parts long"))
     homes = sorted({code // BANDS for code, _, _ in own if code >= 0})
@@ -189,7 +194,10 @@ def _scored(asked: DataFrame, plans: DataFrame, doors: DataFrame, lines: pd.Data
         at = wants.groupby(wants, sort=False).groups
         q = q[["query_id", "article", "asked_vec"]]
         out = [vectors.two_of_block(q.loc[at[code]], of_code) for code, of_code in d.groupby("code") if code in at]
-        return pd.concat(out) if out else vectors.two_of_block(q[:0], d)
+        if not out:
+            return vectors.two_of_block(q[:0], d)
+        best = pd.concat(out).sort_values(["similarity", "seq"], ascending=[False, True]).drop_duplicates(["query_id", "plan_id"])
+        return best.sort_values(["query_id", "similarity", "plan_id"], ascending=[True, False, True]).groupby("query_id").head(2)
 
     return asked.groupBy("query_block", "bucket").cogroup(near.groupBy("for_block", "bucket")).applyInPandas(run, vectors.NEAREST_PLAN)
 
