@@ -138,12 +138,14 @@ def _first(bound: np.ndarray, n: np.ndarray, doors: int) -> np.ndarray:
 
 
 def met(queries: DataFrame, lines: pd.DataFrame, centres: np.ndarray, floors: bool) -> DataFrame:
-    """query_id, article, asked_vec, bucket, codes, doors: the bands that a query meets, by bucket, and the doors in them.
+    """query_id, article, asked_vec, bucket, spans, doors: the bands that a query meets, by bucket, and the doors in them.
+
+    spans: numbers of the first line and the one after the last, for each run of neighbouring lines, one after another.
 
     queries: query_id, article, vec, and where `floors` is set floor (null: none): then the bands after the first ones
     whose bound reaches it.
     """
-    code, n, bucket, parts = (lines[c].to_numpy(dtype=np.int64) for c in ("code", "n", "bucket", "parts"))
+    n, bucket, parts = (lines[c].to_numpy(dtype=np.int64) for c in ("n", "bucket", "parts"))
     first = FIRST
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,14 +163,16 @@ def met(queries: DataFrame, lines: pd.DataFrame, centres: np.ndarray, floors: bo
                     spread = parts[own]
                     at = np.repeat(bucket[own] - np.cumsum(spread) + spread, spread) + np.arange(spread.sum())
                     cuts = np.flatnonzero(np.diff(at)) + 1
-                    every, share = np.repeat(code[own], spread), np.repeat(n[own] / spread, spread)
-                    for k, codes, doors in zip(np.split(at, cuts), np.split(every, cuts), np.split(share, cuts)):
+                    every, share = np.repeat(own, spread), np.repeat(n[own] / spread, spread)
+                    for k, at_lines, doors in zip(np.split(at, cuts), np.split(every, cuts), np.split(share, cuts)):
                         if len(k):
-                            rows.append((query_id, article, vec, k[0], codes, doors.sum()))
-                yield pd.DataFrame(rows, columns=["query_id", "article", "asked_vec", "bucket", "codes", "doors"])
+                            gaps = np.flatnonzero(np.diff(at_lines) != 1)
+                            spans = np.stack([at_lines[[0, *(gaps + 1)]], at_lines[[*gaps, -1]] + 1], axis=1).ravel()
+                            rows.append((query_id, article, vec, k[0], spans, doors.sum()))
+                yield pd.DataFrame(rows, columns=["query_id", "article", "asked_vec", "bucket", "spans", "doors"])
 
     columns = ["query_id", "article", F.col("vec").cast("array<double>").alias("vec"), *(["floor"] if floors else [])]
-    return queries.select(*columns).mapInPandas(run, "query_id long, article string, asked_vec array<double>, bucket long, codes array<long>, doors double")
+    return queries.select(*columns).mapInPandas(run, "query_id long, article string, asked_vec array<double>, bucket long, spans array<long>, doors double")
 
 
 def _scored(asked: DataFrame, plans: DataFrame, doors: DataFrame, lines: pd.DataFrame, blocks: int) -> DataFrame:
@@ -177,23 +181,31 @@ def _scored(asked: DataFrame, plans: DataFrame, doors: DataFrame, lines: pd.Data
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"code": sorted({code for batch in batches for codes in batch.codes for code in codes})}, dtype="int64")
+        met_here = np.zeros(of_lines, dtype=bool)
+        for batch in batches:
+            for spans in batch.spans:
+                for first, stop in spans.reshape(-1, 2):
+                    met_here[first:stop] = True
+        yield pd.DataFrame({"line": np.flatnonzero(met_here)})
 
+    of_lines = len(lines)
     # Each task names a band once, so what is collected is a line for each of the few bands.
-    needed = {r.code for r in asked.select("codes").mapInPandas(once, "code long").distinct().collect()}
-    own = [tuple(map(int, r)) for r in lines.loc[lines.code.isin(needed), ["code", "bucket", "parts"]].to_numpy()]
-    of_band = F.broadcast(spark.createDataFrame(own, "code long, bucket long, parts long"))
-    homes = sorted({code // BANDS for code, _, _ in own if code >= 0})
+    needed = sorted(r.line for r in asked.select("spans").mapInPandas(once, "line long").distinct().collect())
+    own = [(line, *map(int, lines.loc[line, ["code", "bucket", "parts"]])) for line in needed]
+    of_band = F.broadcast(spark.createDataFrame(own, "line long, code long, bucket long, parts long"))
+    homes = sorted({code // BANDS for _, code, _, _ in own if code >= 0})
     near = doors.where(F.col("home").isin(homes) | F.col("home").isNull()).select("plan_id", F.col("seq").alias("entry_id"), "vec", _code().alias("code"))
-    near = near.join(of_band, "code").withColumn("bucket", F.col("bucket") + F.pmod(F.xxhash64("plan_id", "entry_id"), F.col("parts"))).drop("parts")
+    near = near.join(of_band, "code").withColumn("bucket", F.col("bucket") + F.pmod(F.xxhash64("plan_id", "entry_id"), F.col("parts"))).drop("parts", "code")
     near = near.join(plans.select("plan_id", F.col("article").alias("held")), "plan_id")
     near = near.join(asked.select(F.col("query_block").alias("for_block"), F.col("bucket").alias("bucket")).distinct(), "bucket")
 
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        wants = q.codes.explode()
-        at = wants.groupby(wants, sort=False).groups
+        wants = np.zeros((len(q), of_lines), dtype=bool)
+        for row, spans in zip(wants, q.spans):
+            for first, stop in spans.reshape(-1, 2):
+                row[first:stop] = True
         q = q[["query_id", "article", "asked_vec"]]
-        out = [vectors.two_of_block(q.loc[at[code]], of_code) for code, of_code in d.groupby("code") if code in at]
+        out = [vectors.two_of_block(q[wants[:, line]], of_line) for line, of_line in d.groupby("line") if wants[:, line].any()]
         if not out:
             return vectors.two_of_block(q[:0], d)
         best = pd.concat(out).sort_values(["similarity", "seq"], ascending=[False, True]).drop_duplicates(["query_id", "plan_id"])
