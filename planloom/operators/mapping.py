@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import similarity
 from ..functions import text as t
 from ..functions import wordlists as w
+from ..session import settled
 from ..sources.artefacts import Artefacts
 from .ordering import categorize
 from .retrieval import hybrid
@@ -111,7 +112,22 @@ def best_entries(actions: DataFrame, entries: DataFrame, artefacts: Artefacts |
 def map_actions(actions: DataFrame, entries: DataFrame, artefacts: Artefacts | None = None) -> DataFrame:
     """Actions (action_id, name, category, steps, ...) with kind (catalog, dummy, none), link, check, chosen_id, name_score
     and their final category. Manual actions never get a link, and so aren't searched for one. artefacts: where the entries'
-    index is kept from call to call."""
+    index is kept from call to call.
+
+    What an action gets rests on its name, category and steps alone: each different action is mapped once, and joined to
+    all that are alike.
+    """
+    said = ["name", "category", "steps"]
+    alike = settled(actions.select(*said).distinct().withColumn("action_id", F.monotonically_increasing_id()), "different-actions")
+    mapped = _mapped(alike, entries, artefacts).select(F.struct(*said).alias("said"), F.struct("kind", "link", "check", "chosen_id", "name_score", F.col("final").alias("category")).alias("got"))
+    mapped = settled(mapped, "mapped-actions")
+    same = [actions[c].eqNullSafe(mapped["said"][c]) for c in said]
+    new = ["kind", "link", "check", "chosen_id", "name_score", "category"]
+    return actions.join(mapped, same).withColumns({c: F.col("got")[c] for c in new}).drop("said", "got")
+
+
+def _mapped(actions: DataFrame, entries: DataFrame, artefacts: Artefacts | None) -> DataFrame:
+    """Different actions (action_id, name, category, steps) with what they get; final: their category after that."""
     searched = actions.where("category <> 'manual'").select("action_id", "name", "steps")
     best = best_entries(searched, entries, artefacts).join(entries, "entry_id").select("action_id", F.struct("entry_id", "deeplink", "description", "message", "original_type", "key", "validation_link").alias("entry"), F.round("name_score", 3).alias("name_score"))
     rows = actions.join(best, "action_id", "left")
@@ -133,6 +149,6 @@ def map_actions(actions: DataFrame, entries: DataFrame, artefacts: Artefacts | N
             "check": F.when(F.col("kind") == "catalog", check),
             "chosen_id": F.when(F.col("kind") == "catalog", F.col("entry.entry_id")),
             "name_score": F.coalesce("name_score", F.lit(0.0)),
-            "category": category,
+            "final": category,
         }
-    ).drop("entry")
+    )

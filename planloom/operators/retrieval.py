@@ -196,8 +196,16 @@ def hybrid(queries: DataFrame, entries: DataFrame, k: int = w.RETRIEVAL_TOP_K, a
     """query_id, entry_id, fused, dense, bm25, rank (from 0) of the k best entries by both lists.
 
     Lists are cut at 4k; an entry without a common term has bm25 0 and still takes a rank, as the lists are full. Only
-    pairs that share a term or a gram can be scored, and of these only what may reach a list.
+    pairs that share a term or a gram can be scored, and of these only what may reach a list. Equal texts are searched once.
     """
+    asked = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = settled(asked.select("text").distinct().withColumn("text_id", F.monotonically_increasing_id()), "hybrid-texts")
+    found = settled(_hybrid(texts.withColumnRenamed("text_id", "query_id"), entries, k, artefacts).withColumnRenamed("query_id", "text_id"), "hybrid-found")
+    return asked.join(texts, "text").join(found, "text_id").drop("text", "text_id")
+
+
+def _hybrid(queries: DataFrame, entries: DataFrame, k: int, artefacts: Artefacts | None) -> DataFrame:
+    """`hybrid` of queries with numbers of their own, each text once."""
     index = hybrid_index(entries, artefacts)
     terms = settled(inverted.asked_terms(queries, index.lexical.terms), "asked-terms")
     grams_ = settled(tfidf_vectors(queries, "query_id", index.model).select("query_id", F.col("gram").alias("term"), "weight"), "asked-grams")
