@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import text as t
 from ..functions import wordlists as w
 from ..functions.vectors import nearest
-from ..session import settled
+from ..session import settled, spread
 from ..sources.artefacts import Artefacts, digest_of
 from . import inverted
 
@@ -113,20 +113,36 @@ def grams(text: Column, least: int = 3, most: int = 5) -> Column:
 
 
 def tfidf_fit(corpus: DataFrame) -> DataFrame:
-    """gram, idf = ln((1 + N) / (1 + df)) + 1."""
+    """gram, idf = ln((1 + N) / (1 + df)) + 1. Equal texts are cut up once."""
+    texts = corpus.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("rows"))
     n = corpus.agg(F.count("*").alias("n"))
-    df = corpus.select("entry_id", F.explode(F.array_distinct(grams(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    df = texts.select("rows", F.explode(F.array_distinct(grams(F.col("text")))).alias("gram")).groupBy("gram").agg(F.sum("rows").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+#: Grams of a model that are broadcast; a larger model is joined by a shuffle.
+MODEL_GRAMS = 300_000
+
+
 def tfidf_vectors(texts: DataFrame, key: str, model: DataFrame) -> DataFrame:
     """key, gram, weight: sparse vectors of length 1; grams that the model lacks are left out."""
     counts = texts.select(key, F.explode(grams(F.col("text"))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
-    raw = counts.join(model, "gram").select(key, "gram", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    # A frequent gram's rows are not brought together for its idf unless there are too many grams to send to all tasks.
+    held = F.broadcast(model) if model.count() <= MODEL_GRAMS else model
+    raw = counts.join(held, "gram").select(key, "gram", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "gram", (F.col("raw") / length).alias("weight"))
 
 
+def tfidf_arrays(texts: DataFrame, key: str, model: DataFrame) -> DataFrame:
+    """key, vector (array of gram and weight): the rows of `tfidf_vectors` by text, where equal texts are weighed once."""
+    asked = texts.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    different = spread(settled(asked.select("text").distinct().withColumn("text_id", F.monotonically_increasing_id()), "tfidf-texts"))
+    vectors = tfidf_vectors(different, "text_id", model).groupBy("text_id").agg(F.collect_list(F.struct("gram", "weight")).alias("vector"))
+    vectors = settled(different.join(vectors, "text_id").select("text", "vector"), "tfidf-arrays")
+    return asked.join(vectors, "text").select(key, "vector")
+
+
 def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, entry_id, dense: cosines of sparse vectors that share a gram."""
     a, b = queries.withColumnRenamed("weight", "a"), corpus.withColumnRenamed("weight", "b")

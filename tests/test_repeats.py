@@ -62,3 +62,17 @@ def test_a_task_holds_the_products_of_a_slice():
     scores = np.stack(q.asked_vec) @ np.stack(d.vec).T
     best = np.array([scores[:, k::9].max(1) for k in range(9)])
     assert np.allclose(found.similarity.to_numpy().reshape(n, 2), -np.sort(-best, axis=0)[:2].T)
+
+
+def test_frequent_grams_are_not_brought_together(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, ["ab cd", "ab", None, " "][k % 4]) for k in range(40)], "entry_id long, text string")
+    model = retrieval.tfidf_fit(texts)
+    plain = {}
+    for r in retrieval.tfidf_vectors(texts, "entry_id", model).collect():
+        plain.setdefault(r.entry_id, set()).add((r.gram, round(r.weight, 9)))
+    cut = []
+    whole = retrieval.tfidf_vectors
+    monkeypatch.setattr(retrieval, "tfidf_vectors", lambda t, *rest: cut.append(t.count()) or whole(t, *rest))
+    got = {r.entry_id: {(v.gram, round(v.weight, 9)) for v in r.vector} for r in retrieval.tfidf_arrays(texts, "entry_id", model).collect()}
+    assert got == plain and len(got) == 20 and cut == [4]
+    assert "BroadcastHashJoin" in whole(texts, "entry_id", model)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
