@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settled, spread
+
 
 def first_of(df: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:
     """One row for each key, the first in the order, which has to be total for the result to be defined."""
@@ -43,3 +45,12 @@ def running_seen(df: DataFrame, flag: Column, key: Sequence[str], *order: Column
     """Whether the flag held in an earlier row of the key."""
     before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.max(flag.cast("int")).over(before), F.lit(0)) == 1
+
+
+def once_each(rows: DataFrame, given: Sequence[str], made: dict[str, Column]) -> DataFrame:
+    """rows with the columns of made, which rest on the given columns alone: worked out once for each different row of
+    these, by as many tasks as the cluster runs at once, and joined to all that are alike."""
+    different = spread(settled(rows.select(*given).distinct(), "different-rows"))
+    done = settled(different.select(F.struct(*given).alias("_given"), F.struct(*(c.alias(name) for name, c in made.items())).alias("_made")), "made-once")
+    same = [rows[c].eqNullSafe(done["_given"][c]) for c in given]
+    return rows.join(done, same).select(*(rows[c] for c in rows.columns), *(F.col("_made")[name].alias(name) for name in made))

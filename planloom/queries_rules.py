@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .functions import wordlists as w
-from .operators import cache, pairing, validation
+from .operators import cache, pairing, relational, validation
 from .queries_text import _CAP, _OWN, NORM, sql_list, table
+from .session import spread
 
 # ---- SQL of the rules, for texts of ASCII characters
 
@@ -94,14 +95,15 @@ FROM part
 
 def fixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, goals, action names and descriptions after the fixers."""
-    said = _said(table(spark, sf_dir, "part"))
-    return said.select(
-        "p_partkey",
-        t.build_goal(F.col("title"), F.lit("Configuration")).alias("goal"),
-        t.fix_title(F.col("title"), F.col("article")).alias("title"),
-        t.fix_action_name(F.col("name")).alias("name"),
-        t.fix_description(F.col("description"), F.col("heading")).alias("description"),
-    )
+    said = _said(spread(table(spark, sf_dir, "part"))).select("p_partkey", "title", "article", "name", "description", "heading")
+    fixed = {
+        "goal": t.build_goal(F.col("title"), F.lit("Configuration")),
+        "fixed_title": t.fix_title(F.col("title"), F.col("article")),
+        "fixed_name": t.fix_action_name(F.col("name")),
+        "fixed_description": t.fix_description(F.col("description"), F.col("heading")),
+    }
+    rows = relational.once_each(said, ["title", "article", "name", "description", "heading"], fixed)
+    return rows.select("p_partkey", "goal", F.col("fixed_title").alias("title"), F.col("fixed_name").alias("name"), F.col("fixed_description").alias("description"))
 
 
 _TOKENS = r"[^A-Za-z0-9\- ]+"
@@ -143,7 +145,7 @@ FIXED_SQL = (
 
 def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, descriptions, topics, kinds and titles that rules make of headings, steps and article titles."""
-    said = _said(table(spark, sf_dir, "part")).withColumn("action", t.rule_action_name(F.col("heading"), F.col("steps")))
+    said = _said(spread(table(spark, sf_dir, "part"))).withColumn("action", t.rule_action_name(F.col("heading"), F.col("steps")))
     said = said.withColumns({"topic": t.rule_topic(F.col("article")), "kind": t.goal_kind(F.col("article"))})
     return said.select("p_partkey", "action", t.rule_description(F.col("action")).alias("description"), "topic", "kind", t.rule_title(F.col("topic"), F.col("kind")).alias("title"))
 
@@ -202,8 +204,8 @@ _PARAGRAPH_SQL = """SELECT p_partkey, '1. Please then tap ' || p_name || '.  Als
 
 
 def cleaned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _instructions(table(spark, sf_dir, "part"))
-    return p.select("p_partkey", F.array_join(t.clean_steps(F.array("said")), "|").alias("steps"))
+    p = _instructions(spread(table(spark, sf_dir, "part")))
+    return relational.once_each(p, ["said"], {"steps": F.array_join(t.clean_steps(F.array("said")), "|")}).select("p_partkey", "steps")
 
 
 def _lead(x: str) -> str:
@@ -229,8 +231,9 @@ STEPS_SQL = (
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What rules extraction takes for an instruction, by sentence."""
-    p = _instructions(table(spark, sf_dir, "part")).select("p_partkey", F.posexplode(t.sentences(F.col("said"))).alias("k", "s"))
-    return p.select("p_partkey", F.col("k").cast("long").alias("sentence_no"), t.imperative(F.col("s")).alias("instruction"))
+    p = _instructions(spread(table(spark, sf_dir, "part")))
+    given = relational.once_each(p, ["said"], {"given": F.transform(t.sentences(F.col("said")), lambda s: t.imperative(s))})
+    return given.select("p_partkey", F.posexplode("given").alias("k", "instruction")).select("p_partkey", F.col("k").cast("long").alias("sentence_no"), "instruction")
 
 
 #: By sentence of `_instructions`: what is left of it.

@@ -64,6 +64,24 @@ def test_a_task_holds_the_products_of_a_slice():
     assert np.allclose(found.similarity.to_numpy().reshape(n, 2), -np.sort(-best, axis=0)[:2].T)
 
 
+def test_alike_rows_are_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from planloom.operators import relational
+
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def shout(x):
+        counted.add(1)
+        return None if x is None else x.upper()
+
+    rows = spark.createDataFrame([(k, [None, "a", "b"][k % 3], k % 2) for k in range(60)], "k long, x string, y int")
+    got = relational.once_each(rows, ["x", "y"], {"z": shout(F.col("x"))}).collect()
+    assert sorted((r.k, r.x, r.y, r.z) for r in got) == [(k, x := [None, "a", "b"][k % 3], k % 2, x and x.upper()) for k in range(60)]
+    assert counted.value == 6
+
+
 def test_frequent_grams_are_not_brought_together(spark, monkeypatch):
     texts = spark.createDataFrame([(k, ["ab cd", "ab", None, " "][k % 4]) for k in range(40)], "entry_id long, text string")
     model = retrieval.tfidf_fit(texts)
