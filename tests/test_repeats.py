@@ -94,3 +94,46 @@ def test_frequent_grams_are_not_brought_together(spark, monkeypatch):
     got = {r.entry_id: {(v.gram, round(v.weight, 9)) for v in r.vector} for r in retrieval.tfidf_arrays(texts, "entry_id", model).collect()}
     assert got == plain and len(got) == 20 and cut == [4]
     assert "BroadcastHashJoin" in whole(texts, "entry_id", model)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_gates_pass_all_that_the_searches_change(spark):
+    """Texts at the gates' edges, cleaned with and without them."""
+    from pyspark.sql import functions as F
+
+    from planloom.functions import text as t
+    from planloom.functions import wordlists as w
+
+    said = [
+        "See\u00a0. Go to x", "V\u0131\u017fit!", "\u017fee at", "Clic\u212a here now", "Read more\u2003deta\u0130ls", "learn MORE", "onl\u0131ne at home", "a  b ,c", "x..y", "a\u0085b\u2028", "\u3000Tap it\u3000", "www.\u00e9.com a@b.co",
+        "Please then also tap it.", "You can also please let's try to tap the key", "If it rings, you should tap it", "if, tap it", "for x: tap: go on", "Tap, as follows", "some steps: tap it", "\u2003Tap\u2003it -", "- tap -", "", " ", "a", None, "WWW.X go", "[a](b) tap HTTP://x y", "at", "to\t.", "x\n,",
+    ]
+    plain_strip = lambda x, c=r"\s": F.regexp_replace(x, f"(?U)^[{c}]+|[{c}]+$", "")
+
+    def plain_scrub(out):
+        for pattern in (w.MD_LINK, w.SCHEME_URL, w.WWW, w.EMAIL, w.DOMAIN):
+            out = F.regexp_replace(out, pattern, "$1" if pattern == w.MD_LINK else "")
+        out = F.regexp_replace(F.regexp_replace(out, w.DANGLING, ""), r"(?U)\s+([.,;:!?])", "$1")
+        return plain_strip(F.regexp_replace(F.regexp_replace(out, r"([.,;:!?])\1+", "$1"), r"(?U)\s{2,}", " "), " ,;:")
+
+    def plain_step(x):
+        s = plain_strip(F.regexp_replace(plain_scrub(F.coalesce(x, F.lit(""))), w.BULLET, ""))
+        for _ in range(3):
+            s = plain_strip(F.regexp_replace(s, w.LEAD_FILLER, ""))
+        s = plain_strip(F.regexp_replace(s, r"(?U)\s+", " "), r" \-")
+        capital = F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
+        return F.when((F.size(t.words(s)) >= 2) & ~s.rlike(w.STEP_NOISE), F.when(capital.rlike(r"[.!?]$"), capital).otherwise(F.concat(capital, F.lit("."))))
+
+    x = F.col("x")
+    rows = spark.createDataFrame([(v,) for v in said], "x string")
+    got = rows.select("x", t.strip(x).alias("a"), plain_strip(x).alias("b"), t.scrub(x).alias("c"), plain_scrub(x).alias("d"), t.clean_step(x).alias("e"), plain_step(x).alias("f")).collect()
+    assert len(got) == len(said)
+    for r in got:
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f), r.x
+    once = rows.select(t.first_of_each(F.array(F.lit("B"), F.lit("a"), F.lit("b"), x, F.lit("A"), F.lit("c"))).alias("y"), "x").collect()
+    for r in once:
+        seen, want = set(), []
+        for v in ["B", "a", "b", r.x, "A", "c"]:
+            if v is not None and v.lower() not in seen:
+                seen.add(v.lower())
+                want.append(v)
+        assert r.y == want
