@@ -192,6 +192,21 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_weights_do_not_run_off():
+    """Texts that lie far out: whole Newton steps swing here between no text and every text from 0.7, and never settle."""
+    for seed in (17, 18, 23, 64):
+        rng = np.random.default_rng(seed)
+        good = np.arange(240) % 7 > 0
+        base = np.where(good, 1.0, -1.0) * rng.lognormal(0, 0.7, 240) + rng.standard_t(2, 240) * 0.3
+        x = np.stack([base, base - rng.lognormal(-1, 1, 240), base + rng.normal(0, 0.1, 240)], axis=1)
+        mean, scale = x.mean(0), x.std(0)
+        a = quality.design(x, mean, scale)
+        weights = quality.calibrated(a, good.astype(float))
+        p = quality.probability(x, quality.Model(b"", b"", tuple(mean), tuple(scale), tuple(weights)))
+        assert np.abs(a.T @ (good - p) - quality.RIDGE * weights).max() < 1e-2  # the least loss has no slope
+        assert 0.75 < (p >= quality.ACCEPTED_FROM).mean() < 0.9 and ((p >= 0.5) == good).mean() > 0.9
+
+
 def test_quality_without_labels_and_odd_texts(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = docs_of(spark, [(1, None, "s"), (2, "", "s"), (3, "x" * 300_000, None)])
