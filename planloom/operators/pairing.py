@@ -1,16 +1,20 @@
 """Which article belongs to which complaint: equal texts first, else the most similar text of a ratio of 0.9 or more.
 
-A pair of this ratio agrees in so many characters that it must have a number of trigrams in common, and so one of its
-rarest ones, moved no further than the rest allows. Only texts that share a rare trigram meet, by a join on these (common
-trigrams join nothing), and only those with enough characters in common, counted in a few bits, are compared one by one.
-None that qualifies is missed.
+A pair of this ratio differs in so few characters that of some more pieces of one text, which don't overlap, one is whole
+in the other, moved no further than the rest allows. Only texts that share such a piece meet, by a join on the rarest
+pieces, and only those with enough characters in common, counted in a few bits, are compared one by one. High ratios are
+tried first: they leave few differences, so few and long pieces. None that qualifies is missed.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import similarity
 from ..functions import text as t
@@ -47,7 +51,8 @@ def bag(text: Column) -> Column:
         more = F.aggregate(n, F.lit(0), lambda s, x: s + F.greatest(x - DEEP, F.lit(0)))
         return F.struct(F.array(*words).alias("counts"), more.alias("more"))
 
-    return t.let(classes, lambda codes: t.let(sizes(codes), packed))
+    # The cast names the fields: names within lambdas are lost when the column is written.
+    return t.let(classes, lambda codes: t.let(sizes(codes), packed)).cast("struct<counts:array<bigint>,more:int>")
 
 
 def _common_at_most(a: Column, b: Column) -> Column:
@@ -55,51 +60,108 @@ def _common_at_most(a: Column, b: Column) -> Column:
     return sum(bits, F.least(a["more"], b["more"]))
 
 
-def _trigrams(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, gram, length, n, places; texts are padded by two characters on each side."""
-    padded = F.concat(F.lit("\x01\x01"), F.col(text), F.lit("\x02\x02"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) + 2), lambda i: F.substring(padded, i, F.lit(3)))
-    each = rows.select(key, F.length(text).alias("length"), F.posexplode(grams).alias("place", "gram"))
-    return each.groupBy(key, "gram", "length").agg(F.count("*").alias("n"), F.collect_list("place").alias("places"))
-
-
-def _apart(length_a: Column, length_b: Column) -> Column:
+def _apart(length_a: Column, length_b: Column, least: float) -> Column:
     """Of two texts of these lengths and the least ratio, at most so many characters have no partner."""
-    return F.floor((1 - LEAST_RATIO) * (length_a + length_b) + 1e-9)
-
+    return F.floor((1 - least) * (length_a + length_b) + 1e-9)
 
-def _rarest(grams: DataFrame, frequency: DataFrame) -> DataFrame:
-    """key, gram, length, place: a text's rarest trigrams, so many that one of them is common to any text of the least ratio.
 
-    Of the trigrams that two such texts keep in common, c or more, take the rarest over all texts. The others are no
-    rarer, so at most length + 2 - c of a text's trigrams are. c is least for the shortest text that can reach the ratio.
-    """
-    key = grams.columns[0]
-    shortest = F.ceil(F.col("length") * LEAST_RATIO / (2 - LEAST_RATIO))
-    least = F.ceil(0.25 * (F.col("length") + shortest) + 2)
-    before = Window.partitionBy(key).orderBy("texts", "gram").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))
-    ordered = grams.join(frequency, "gram").withColumn("ahead", ahead)
-    return ordered.where(F.col("ahead") < F.col("length") + 3 - least).select(key, "gram", "length", F.explode("places").alias("place"))
+#: Lengths of grams that a text may be cut into, and how many of the commonest trigrams serve to tell rare grams.
+GRAMS, COMMONEST = (1, 2, 3, 4, 5, 6, 8), 50_000
+#: Rows of grams that are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 500_000
 
 
-def candidates(rest: DataFrame, held: DataFrame) -> DataFrame:
-    """asked, held: pairs of texts that share one of both's rarest trigrams, at near enough places, and enough characters.
+def cuts(text: str, least: float, letters: frozenset[str], often: dict[str, int], after: dict[str, int]) -> list[tuple[int, int, int, int]]:
+    """(place, length, strange before, strange after) of grams, one of which at least is whole in any text of the least ratio.
 
-    A trigram that is kept moves by the characters without a partner before it: to the right by those of one text, to the
+    Strange characters are in no held text, so they have no partner. If n characters have h strange ones, ratio R leaves
+    (2(1-R)n - (2-R)h) / R others, of both texts, without one at most. Each spoils one of the grams, which don't overlap
+    and have no strange character: so one more is taken, of the length that makes the rarest. None: nothing reaches R.
+    `often` (trigrams) and `after` (pairs that begin them) only say which grams are rare: any choice finds all pairs.
+    """
+    strange = [0]
+    for c in text:
+        strange.append(strange[-1] + (c not in letters))
+    n, h = len(text), strange[-1]
+    need = math.floor((2 * (1 - least) * n - (2 - least) * h) / least + 1e-9) + 1
+    if need < 1:
+        return []
+
+    def met(at: int, q: int) -> float:
+        if q < 3:
+            return 1e12 / 30**q
+        times = float(often.get(text[at : at + 3], 1))
+        for k in range(at + 1, at + q - 2):
+            times *= often.get(text[k : k + 3], 1) / after.get(text[k : k + 2], 1)
+        return times
+
+    best = None
+    for q in GRAMS:
+        places, at = [], 0
+        while at + q <= n:
+            whole = strange[at + q] == strange[at]
+            if whole:
+                places.append(at)
+            at += q if whole else 1
+        if len(places) >= need:
+            rarest = sorted((met(at, q), at) for at in places)[:need]
+            best = min(best or (math.inf,), (sum(r[0] for r in rarest), q, [r[1] for r in rarest]))
+    return [(at, best[1], strange[at], h - strange[at]) for at in best[2]] if best else []
+
+
+def _grams(q: int) -> Column:
+    """All grams of that length of the column held, in order."""
+    return F.transform(F.sequence(F.lit(1), F.length("held") - (q - 1)), lambda i: F.substring(F.col("held"), i, F.lit(q)))
+
+
+def _cutter(held: DataFrame) -> Callable[[float], Column]:
+    """A function of the least ratio: the cuts of the column asked."""
+    letters = frozenset(r[0] for r in held.select(F.explode(F.array_distinct(F.split("held", "")))).distinct().collect())
+    often = held.where(F.length("held") > 2).select(F.explode(_grams(3)).alias("g")).groupBy("g").count().orderBy(F.desc("count"), "g").limit(COMMONEST).collect()
+    after: dict[str, int] = {}
+    for g, times in (often := {r[0]: r[1] for r in often}).items():
+        after[g[:2]] = after.get(g[:2], 0) + times
+
+    def cutter(at_least: float) -> Column:
+        @F.pandas_udf("array<struct<at int, q int, before int, behind int>>")
+        def cut(texts: pd.Series) -> pd.Series:
+            return pd.Series([cuts(t, at_least, letters, often, after) for t in texts], dtype=object)
+
+        return cut(F.col("asked"))
+
+    return cutter
+
+
+def candidates(rest: DataFrame, held: DataFrame, least: float = LEAST_RATIO, cutter: Callable[[float], Column] | None = None) -> DataFrame:
+    """asked, held: pairs of texts that share a gram of `cuts`, at near enough places, and enough characters.
+
+    A gram that is kept moves by the characters without a partner before it: to the right by those of one text, to the
     left by the other's. rest (asked) and held (held) have each text once. No pair of the least ratio is missing.
     """
-    a, b = settled(_trigrams(rest, "asked", "asked"), "asked-trigrams"), settled(_trigrams(held, "held", "held"), "held-trigrams")
-    frequency = a.select("gram").unionByName(b.select("gram")).groupBy("gram").agg(F.count("*").alias("texts"))
-    frequency = settled(frequency, "trigram-frequency")
-    few_a = _rarest(a, frequency).withColumnsRenamed({"length": "of_asked", "place": "at"}).join(rest.select("asked", bag(F.col("asked")).alias("bag")), "asked")
-    few_b = _rarest(b, frequency).withColumnsRenamed({"length": "of_held", "place": "held_at"}).join(held.select("held", bag(F.col("held")).alias("held_bag")), "held")
-    apart, longer = _apart(F.col("of_asked"), F.col("of_held")), F.col("of_asked") - F.col("of_held")
-    moved = 2 * (F.col("at") - F.col("held_at"))
-    near = (F.abs(longer) <= apart) & (moved <= apart + longer) & (moved >= longer - apart)
+    rest, held = (df if "bag" in df.columns else settled(df.withColumn("bag", bag(F.col(df.columns[0]))), "bags") for df in (rest, held))
+    each = rest.withColumn("cuts", (cutter or _cutter(held))(least)).where(F.size("cuts") > 0)
+    each = each.select(F.xxhash64("asked").alias("id"), "asked", F.length("asked").alias("of_asked"), "bag", F.explode("cuts").alias("c")).select("*", "c.*")
+    few = settled(each.withColumn("gram", F.expr("substring(asked, at + 1, q)")).drop("c", "asked"), "asked-grams")
+    lengths = [r.q for r in few.select("q").distinct().collect()]
+    if not lengths:
+        return rest.crossJoin(held.select("held")).select("asked", "held").where(F.lit(False))
+    keys = F.broadcast(few) if few.count() <= BROADCAST_GRAMS else few
+    of_held = held.select("held", F.length("held").alias("of_held"), F.col("bag").alias("held_bag"))
+    apart, longer = _apart(F.col("of_asked"), F.col("of_held"), least), F.col("of_asked") - F.col("of_held")
+    right = F.col("at") - F.col("held_at")
+    left_lost = F.greatest(F.abs(right), 2 * F.col("before") - right)
+    right_lost = F.greatest(F.abs(longer - right), 2 * F.col("behind") - (longer - right))
     # Of all characters at most `apart` have no partner, so the others are pairs.
     enough = 2 * _common_at_most(F.col("bag"), F.col("held_bag")) >= F.col("of_asked") + F.col("of_held") - apart
-    return few_a.join(few_b, "gram").where(near & enough).select("asked", "held").distinct()
+    found = []
+    for q in lengths:
+        moved = of_held.where(F.length("held") >= q).select("*", F.posexplode(_grams(q)).alias("held_at", "gram"))
+        found.append(moved.join(keys.where(F.col("q") == q), "gram").where((left_lost + right_lost <= apart) & enough).select("id", "held"))
+    return reduce(DataFrame.unionByName, found).distinct().join(rest.select(F.xxhash64("asked").alias("id"), "asked"), "id").select("asked", "held")
+
+
+#: Least ratios that are tried in turn: a text that has found a partner of one needs no wider search.
+TURNS = (0.98, 0.96, 0.94, 0.92, LEAST_RATIO)
 
 
 def paired(complaints: DataFrame, articles: DataFrame) -> DataFrame:
@@ -113,8 +175,14 @@ def paired(complaints: DataFrame, articles: DataFrame) -> DataFrame:
     texts = asked.select("asked").distinct()
     exact = texts.join(held, F.col("asked") == F.col("held")).select("asked", "article")
     rest = settled(texts.join(exact, "asked", "left_anti"), "unpaired")
-    pairs = settled(candidates(rest, held), "pair-candidates")
-    scored = pairs.withColumn("ratio", similarity.sequences(F.col("asked"), F.col("held"))).where(F.col("ratio") >= LEAST_RATIO)
+    cutter, turns = _cutter(held), []
+    rest, bags = settled(rest.withColumn("bag", bag(F.col("asked"))), "asked-bags"), settled(held.select("held", bag(F.col("held")).alias("bag")), "held-bags")
+    for least in TURNS:
+        pairs = settled(candidates(rest, bags, least, cutter), "pair-candidates")
+        alike = pairs.withColumn("ratio", similarity.sequences(F.col("asked"), F.col("held"))).where(F.col("ratio") >= least)
+        turns.append(settled(alike, "alike-texts"))
+        rest = rest.join(turns[-1].select("asked").distinct(), "asked", "left_anti")
+    scored = reduce(DataFrame.unionByName, turns)
     best = scored.join(held, "held").groupBy("asked").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "article")).alias("b")).select("asked", F.col("b.article").alias("article"))
     found = exact.unionByName(best)
     return asked.join(found, "asked", "left").select(*complaints.columns, F.col("article.title").alias("title"), F.col("article.content").alias("content"))

@@ -46,3 +46,37 @@ def test_few_pairs_are_candidates(spark):
     found = {(r.asked, r.held) for r in pairs}
     # The frame alone would pair all texts with all.
     assert found >= set(zip(asked, held, strict=False)) and len(found) < 600 * 300 / 50
+
+
+def test_cuts_leave_a_gram_whole_in_every_text_of_the_ratio():
+    rng = random.Random(3)
+    often = {"".join(rng.choices("abcd", k=3)): rng.randrange(1, 50) for _ in range(40)}
+    n = 0
+    for _ in range(3000):
+        b = "".join(rng.choices("abcd", k=rng.randrange(1, 45)))
+        a = b
+        for _ in range(rng.randrange(0, 6)):
+            at = rng.randrange(len(a) + 1)
+            a = rng.choice([a[:at] + a[at + 1 :], a[:at] + rng.choice("abcd#") + a[at:], a[:at] + rng.choice("abcd#") + a[at + 1 :]])
+        for least in pairing.TURNS:
+            if a and sequence_ratio(a, b) >= least:
+                n += 1
+                assert any(b.find(a[at : at + q]) >= 0 and a.count("#", 0, at) == left and a.count("#", at + q) == right for at, q, left, right in pairing.cuts(a, least, frozenset("abcd"), often, {})), (a, b, least)
+    assert n > 2000
+
+
+def test_random_digits_meet_by_long_grams():
+    """Trigrams of digits are in so many texts that these would meet by the square of their number."""
+    rng = random.Random(4)
+    digits = "0123456789abcdef"
+    often = {a + b + c: 1000 for a in digits for b in digits for c in digits} | {g: 200_000 for g in (" of", "of ", "f r", " re", "red", "ed ", "d p", " pa", "par", "art")}
+    after = {}
+    for g, times in often.items():
+        after[g[:2]] = after.get(g[:2], 0) + times
+    letters = frozenset(digits + " ofredpart")
+    text = "".join(rng.choices(digits, k=32)) + " of red part"
+    for wrong, least, length in ((1, 0.98, 8), (2, 0.96, 6), (4, 0.92, 5), (6, 0.9, 5)):
+        asked = text[:9] + "#" + text[10 : len(text) - wrong + 1] + "#" * (wrong - 1)
+        made = pairing.cuts(asked, least, letters, often, after)
+        assert made is not None and all(q >= length for _, q, _, _ in made), (wrong, made)
+    assert pairing.cuts(text[:20] + "#" * 12 + text[32:], 0.9, letters, often, after) == []
