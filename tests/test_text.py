@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import oracle
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from planloom import queries_text
 from planloom.functions import similarity, text
 
 
@@ -94,3 +98,18 @@ def test_ratios():
     )
     for s, t in (("tap display", "open the disply and tap it"), ("abcdefg", "gfedcbaabdefg"), ("zz", "abc")):
         assert abs(similarity.partial_ratio(s, t) - brute(s, t)) < 1e-9
+
+
+def test_odd_documents_are_one_section_each_as_in_sql(spark, tmp_path, monkeypatch):
+    """Headings, doubled quotes, marks, odd white space and empty texts: what only large tables have."""
+    breaks = "\n \r\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+    texts = [
+        "one\n# two\nthree", "## 2. only", "#", "a###\n ### b", 'say ""no"" now', '"" x', "\x01a\x02b\x03", "\x02", "\xa0nbsp\xa0\nb　", " ", "  ​",
+        "", " \t\n ", None, "\n\n", breaks.join("abc"), "a \t b\t\n\t c ", "x): y (z): w", "one@two", "a\x1fb\x1f", "tail \n",
+    ]
+    langs = ["en", None, "", " d e ", "@", "1. x", 'f""r', "a\nb", "#"]
+    rows = [(len(langs) * i + k, text, lang) for i, text in enumerate(texts) for k, lang in enumerate(langs)]
+    ids, texts, langs = map(list, zip(*rows, strict=True))
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string())}), tmp_path / "documents.parquet")
+    monkeypatch.setattr(oracle, "AT", str(tmp_path))
+    oracle.assert_same_rows(spark, queries_text.split_sections, queries_text.SECTIONS_SQL)
