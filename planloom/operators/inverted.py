@@ -112,7 +112,7 @@ def impacts(blocks: DataFrame, mean_length: float) -> DataFrame:
 
 def bm25_index(corpus: DataFrame) -> Index:
     """The index of a corpus. It is tokenised once; the blocks' counts lie in the shared folder."""
-    blocks = settled(counted(corpus), "bm25-counts")
+    blocks = settled(counted(corpus), "bm25-counts", large_rows=True)
     sums = blocks.agg(F.sum(F.size("entries")).alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("tokens")).first()
     docs, mean_length = sums.docs or 0, (sums.tokens or 0) / (sums.docs or 1) or 1.0
     counts = blocks.select(F.explode(F.arrays_zip("terms", "sizes")).alias("e")).groupBy(F.col("e.terms").alias("term")).agg(F.sum("e.sizes").alias("df"))

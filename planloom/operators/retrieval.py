@@ -202,7 +202,7 @@ def hybrid_index(entries: DataFrame, artefacts: Artefacts | None = None) -> Hybr
         return {"blocks": lexical.blocks, "terms": lexical.terms, "model": model, "vectors": vectors}
 
     if artefacts is None:
-        found = {name: settled(df, f"hybrid-{name}") for name, df in build().items()}
+        found = {name: settled(df, f"hybrid-{name}", name in ("blocks", "vectors")) for name, df in build().items()}
     else:
         found = artefacts.get("hybrid", digest_of(entries, "entry_id", "text", made_by="bm25+tfidf:3-5"), build)
     return HybridIndex(inverted.Index(found["blocks"], found["terms"]), found["model"], found["vectors"])

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import LARGE_ROWS
 from . import files
 
 
@@ -37,7 +38,7 @@ class Artefacts:
             mine = uuid.uuid4().hex
             tables = build()
             for name, df in tables.items():
-                df.write.parquet(f"{at}/{mine}/{name}")
+                df.write.options(**LARGE_ROWS).parquet(f"{at}/{mine}/{name}")
             if not files.claim(self.spark, f"{at}/current", "\n".join([mine, *tables])):
                 files.delete(self.spark, f"{at}/{mine}")
         made, *names = files.read(self.spark, f"{at}/current").split("\n")
