@@ -2,23 +2,25 @@
 
 A pair of this ratio differs in so few characters that of some more pieces of one text, which don't overlap, one is whole
 in the other, moved no further than the rest allows. Only texts that share such a piece meet, by a join on the rarest
-pieces, and only those with enough characters in common, counted in a few bits, are compared one by one. High ratios are
+pieces, to which the other texts bring only pieces that a Bloom filter of the asked ones has, and only those with enough characters in common, counted in a few bits, are compared one by one. High ratios are
 tried first: they leave few differences, so few and long pieces. None that qualifies is missed.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity
 from ..functions import text as t
-from ..session import settled
+from ..session import settled, spread
 
 LEAST_RATIO = 0.9
 
@@ -55,9 +57,14 @@ def bag(text: Column) -> Column:
     return t.let(classes, lambda codes: t.let(sizes(codes), packed)).cast("struct<counts:array<bigint>,more:int>")
 
 
-def _common_at_most(a: Column, b: Column) -> Column:
-    bits = [F.bit_count(a["counts"][k].bitwiseAND(b["counts"][k])) for k in range(BAGS // DEEP)]
-    return sum(bits, F.least(a["more"], b["more"]))
+def _common_at_most(a: Column) -> Column:
+    """Of the bag a and the one in the columns of `_in_columns`."""
+    bits = [F.bit_count(a["counts"][k].bitwiseAND(F.col(f"counts{k}"))) for k in range(BAGS // DEEP)]
+    return sum(bits, F.least(a["more"], F.col("more")))
+
+
+def _in_columns(a: Column) -> list[Column]:
+    return [*(a["counts"][k].alias(f"counts{k}") for k in range(BAGS // DEEP)), a["more"].alias("more")]
 
 
 def _apart(length_a: Column, length_b: Column, least: float) -> Column:
@@ -87,12 +94,15 @@ def cuts(text: str, least: float, letters: frozenset[str], often: dict[str, int]
     if need < 1:
         return []
 
+    first = [often.get(text[k : k + 3], 1) for k in range(n - 2)]
+    more = [times / after.get(text[k : k + 2], 1) for k, times in enumerate(first)]
+
     def met(at: int, q: int) -> float:
         if q < 3:
             return 1e12 / 30**q
-        times = float(often.get(text[at : at + 3], 1))
+        times = float(first[at])
         for k in range(at + 1, at + q - 2):
-            times *= often.get(text[k : k + 3], 1) / after.get(text[k : k + 2], 1)
+            times *= more[k]
         return times
 
     best = None
@@ -123,15 +133,80 @@ def _cutter(held: DataFrame) -> Callable[[float], Column]:
         after[g[:2]] = after.get(g[:2], 0) + times
 
     def cutter(at_least: float) -> Column:
-        @F.pandas_udf("array<struct<at int, q int, before int, behind int>>")
+        @F.pandas_udf("array<struct<at int, q int, before int, behind int, key long>>")
         def cut(texts: pd.Series) -> pd.Series:
-            return pd.Series([cuts(t, at_least, letters, often, after) for t in texts], dtype=object)
+            made = lambda t: [(at, q, *strange, int(gram_keys(codes_of([t[at : at + q]]), q)[0])) for at, q, *strange in cuts(t, at_least, letters, often, after)]
+            return pd.Series([made(t) for t in texts], dtype=object)
 
-        return cut(F.col("asked"))
+        # Named nondeterministic, so that it is evaluated once, and not for the filter on it again.
+        return cut.asNondeterministic()(F.col("asked"))
 
     return cutter
 
 
+def codes_of(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def gram_keys(codes: np.ndarray, q: int) -> np.ndarray:
+    """A number of 64 bits for each q characters in a row. Equal grams have equal numbers; others seldom do, and only meet in vain."""
+    n = max(0, len(codes) - q + 1)
+    key = np.full(n, q, np.uint64)
+    for k in range(q):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
+
+
+#: Bits of `asked_bits`: a power of 2, SLOTS_A_KEY for a key, at most MOST_SLOTS (32 MB).
+SLOTS_A_KEY, LEAST_SLOTS, MOST_SLOTS = 32, 1 << 12, 1 << 28
+
+
+def asked_bits(few: DataFrame, keys: int) -> np.ndarray:
+    """A Bloom filter of the column key, two bits for each: where one of them is missing, no text asks for a gram of that key."""
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SLOTS_A_KEY * keys).bit_length()))
+    places = F.array(F.col("key").bitwiseAND(F.lit(slots - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(slots - 1)))
+    word = F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")
+    found = few.select(F.explode(places).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(word).toArrow()
+    bits = np.zeros(slots // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+
+
+def asked_places(held: DataFrame, few: DataFrame, keys: int) -> DataFrame:
+    """key, held_at, held_id, of_held and the bag's columns: the places of held texts whose gram some text may ask for.
+
+    Only these are joined and perhaps shuffled, without their text: a few bytes, and none for a gram that nobody asks for.
+    """
+    lengths = sorted(r.q for r in few.select("q").distinct().collect())
+    shared = held.sparkSession.sparkContext.broadcast(asked_bits(few, keys))
+    names = ["held_id", "of_held", *(f"counts{k}" for k in range(BAGS // DEEP)), "more"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            size = batch.column("of_held").to_numpy()
+            codes, own = codes_of(batch.column("held").to_pylist()), np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            left = size[own] - place
+            for q in lengths:
+                key = gram_keys(codes, q)
+                met = np.flatnonzero((left[: len(key)] >= q) & _has(bits, key.view(np.uint64)))
+                met = met[_has(bits, key[met].view(np.uint64) >> np.uint64(32))]
+                rows = pa.array(own[met])
+                columns = [pa.array(key[met]), pa.array(place[met].astype(np.int32)), *(batch.column(name).take(rows) for name in names)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "held_at", *names])
+
+    given = held.select("held", F.xxhash64("held").alias("held_id"), F.length("held").alias("of_held"), *_in_columns(F.col("bag")))
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(run, ", ".join(["key long", "held_at int", *(f"{name} {kinds[name]}" for name in names)]))
+
+
 def candidates(rest: DataFrame, held: DataFrame, least: float = LEAST_RATIO, cutter: Callable[[float], Column] | None = None) -> DataFrame:
     """asked, held: pairs of texts that share a gram of `cuts`, at near enough places, and enough characters.
 
@@ -139,25 +214,23 @@ def candidates(rest: DataFrame, held: DataFrame, least: float = LEAST_RATIO, cut
     left by the other's. rest (asked) and held (held) have each text once. No pair of the least ratio is missing.
     """
     rest, held = (df if "bag" in df.columns else settled(df.withColumn("bag", bag(F.col(df.columns[0]))), "bags") for df in (rest, held))
-    each = rest.withColumn("cuts", (cutter or _cutter(held))(least)).where(F.size("cuts") > 0)
-    each = each.select(F.xxhash64("asked").alias("id"), "asked", F.length("asked").alias("of_asked"), "bag", F.explode("cuts").alias("c")).select("*", "c.*")
-    few = settled(each.withColumn("gram", F.expr("substring(asked, at + 1, q)")).drop("c", "asked"), "asked-grams")
-    lengths = [r.q for r in few.select("q").distinct().collect()]
-    if not lengths:
+    each = spread(rest).withColumn("cuts", (cutter or _cutter(held))(least)).where(F.size("cuts") > 0)
+    each = each.select(F.xxhash64("asked").alias("id"), F.length("asked").alias("of_asked"), "bag", F.explode("cuts").alias("c")).select("*", "c.*")
+    few = settled(each.drop("c"), "asked-grams")
+    n = few.count()
+    if not n:
         return rest.crossJoin(held.select("held")).select("asked", "held").where(F.lit(False))
-    keys = F.broadcast(few) if few.count() <= BROADCAST_GRAMS else few
-    of_held = held.select("held", F.length("held").alias("of_held"), F.col("bag").alias("held_bag"))
+    keys = F.broadcast(few) if n <= BROADCAST_GRAMS else few
     apart, longer = _apart(F.col("of_asked"), F.col("of_held"), least), F.col("of_asked") - F.col("of_held")
     right = F.col("at") - F.col("held_at")
     left_lost = F.greatest(F.abs(right), 2 * F.col("before") - right)
     right_lost = F.greatest(F.abs(longer - right), 2 * F.col("behind") - (longer - right))
     # Of all characters at most `apart` have no partner, so the others are pairs.
-    enough = 2 * _common_at_most(F.col("bag"), F.col("held_bag")) >= F.col("of_asked") + F.col("of_held") - apart
-    found = []
-    for q in lengths:
-        moved = of_held.where(F.length("held") >= q).select("*", F.posexplode(_grams(q)).alias("held_at", "gram"))
-        found.append(moved.join(keys.where(F.col("q") == q), "gram").where((left_lost + right_lost <= apart) & enough).select("id", "held"))
-    return reduce(DataFrame.unionByName, found).distinct().join(rest.select(F.xxhash64("asked").alias("id"), "asked"), "id").select("asked", "held")
+    enough = 2 * _common_at_most(F.col("bag")) >= F.col("of_asked") + F.col("of_held") - apart
+    near = asked_places(held, few, n).join(keys, "key").where((left_lost + right_lost <= apart) & enough)
+    found = settled(near.select("id", "held_id").distinct(), "near-ids")
+    texts = found.join(held.select(F.xxhash64("held").alias("held_id"), "held"), "held_id")
+    return texts.join(rest.select(F.xxhash64("asked").alias("id"), "asked"), "id").select("asked", "held")
 
 
 #: Least ratios that are tried in turn: a text that has found a partner of one needs no wider search.

@@ -6,6 +6,7 @@ import random
 
 from planloom.functions.similarity import sequence_ratio
 from planloom.operators import pairing
+from pyspark.sql import functions as F
 
 
 def _edited(rng, text, n):
@@ -80,3 +81,22 @@ def test_random_digits_meet_by_long_grams():
         made = pairing.cuts(asked, least, letters, often, after)
         assert made is not None and all(q >= length for _, q, _, _ in made), (wrong, made)
     assert pairing.cuts(text[:20] + "#" * 12 + text[32:], 0.9, letters, often, after) == []
+
+
+def test_texts_bring_only_asked_grams_to_the_join(spark):
+    """All grams of all held texts, with the texts, filled the disks; now those that are asked for, and few others, go without."""
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choices("0123456789abcdef", k=32)) + " of réd 🙂 part"
+    held = [text() for _ in range(400)] + ["", "ab"]
+    asked = [(t[at : at + q], q) for t in held[:20] for at, q in ((3, 8), (20, 6), (len(t) - 5, 5))]
+    keys = {int(pairing.gram_keys(pairing.codes_of([g]), q)[0]) for g, q in asked}
+    few = spark.createDataFrame([(k, q) for k, q in zip(keys, [8, 6, 5] * len(keys), strict=False)], "key long, q int")
+    of_held = spark.createDataFrame([(t,) for t in held], "held string").withColumn("bag", pairing.bag(F.col("held")))
+    ids = {r.held_id: r.held for r in of_held.select(F.xxhash64("held").alias("held_id"), "held").collect()}
+    found = pairing.asked_places(of_held, few, len(keys)).collect()
+    met = {(ids[r.held_id], r.held_at, q) for r in found for q in (5, 6, 8) if int(pairing.gram_keys(pairing.codes_of([ids[r.held_id][r.held_at : r.held_at + q]]), q)[0:1].sum()) == r.key}
+    every = {(t, at, q) for t in held for q in (5, 6, 8) for at in range(len(t) - q + 1)}
+    assert met >= {(t, at, q) for t, at, q in every if (t[at : at + q], q) in set(asked)}
+    # The last grams of all texts are alike; of the others next to none is asked for.
+    assert len(found) == len(met) < 400 + 60 + len(every) / 50 and len(every) > 40_000
+    assert "held" not in pairing.asked_places(of_held, few, len(keys)).columns
